@@ -31,14 +31,23 @@ def exact_quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     small_rows: int = SMALL_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
-    """Long form: the ``by`` columns, ``column``, ``prob``, ``value`` (null for a group without values)."""
+    """Long form: the ``by`` columns, ``column``, ``prob``, ``value`` (null for a group without values).
+
+    ``small`` skips the size check for a caller that made it already.
+    """
     wanted = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
-    if wanted.limit(small_rows + 1).count() <= small_rows:
+    if is_small(wanted, small_rows) if small is None else small:
         return _built_in(wanted, columns, probs, by)
     return _bracketed(wanted, columns, probs, by)
 
 
+def is_small(df: DataFrame, small_rows: int = SMALL_ROWS) -> bool:
+    """Whether ``df`` has at most ``small_rows`` rows; counting stops there."""
+    return df.limit(small_rows + 1).count() <= small_rows
+
+
 def _built_in(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
     points = F.array(*[F.lit(float(p)) for p in probs])
     wide = df.groupBy(*by).agg(*[F.percentile(c, points).alias(c) for c in columns])

@@ -29,9 +29,9 @@ def standardize_columns(df: DataFrame) -> DataFrame:
 
 
 def parse_times(df: DataFrame, columns: Sequence[str] = TIME_COLUMNS) -> DataFrame:
-    """Text to timestamp; text that is no timestamp fails the job (ANSI cast)."""
+    """Text to a wall-clock timestamp; text that is no timestamp fails the job (ANSI cast)."""
     return df.withColumns({
-        c: F.col(c).cast("timestamp")
+        c: F.col(c).cast("timestamp_ntz")
         for c in columns
         if c in df.columns and isinstance(df.schema[c].dataType, T.StringType)
     })

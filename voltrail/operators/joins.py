@@ -25,8 +25,8 @@ def keep_members(df: DataFrame, members: DataFrame, key: str = STATION) -> DataF
 
 
 def drop_members(df: DataFrame, members: DataFrame, key: str = STATION) -> DataFrame:
-    """Rows whose key is not in ``members``."""
-    return df.join(size_checked(members.select(key)), key, "left_anti")
+    """Rows whose key is not in ``members``; AQE broadcasts ``members`` if its shuffled size is small."""
+    return df.join(members.select(key), key, "left_anti")
 
 
 def attach_cluster(sessions: DataFrame, clusters: DataFrame | None, unknown: str = "unknown") -> DataFrame:
@@ -69,6 +69,7 @@ def unknown_stations(requests: DataFrame, known: DataFrame) -> DataFrame:
 
 def unknown_station_sample(requests: DataFrame, known: DataFrame, n: int = 5) -> DataFrame:
     """Requested unknown stations, each with the first ``n`` known ids as a hint."""
+    # The sample is n ids, whatever the number of stations.
     hint = (
         known.select(STATION).distinct().orderBy(STATION).limit(n)
         .agg(F.array_join(F.sort_array(F.collect_list(STATION)), ", ").alias("hint"))

@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from voltrail.operators.reports import DATE, daily_agg, hourly_agg, station_master
 
 
+# The CSV writer's default format stops at milliseconds.
+FULL_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+CSV_OPTIONS = {"header": True, "timestampFormat": FULL_TIME, "timestampNTZFormat": FULL_TIME}
+
+
 def write_csv(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
     return path
 
 

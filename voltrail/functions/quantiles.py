@@ -19,10 +19,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voltrail.operators.joins import size_checked
+from voltrail.session import cut_lineage
 
 SMALL_ROWS = 2_000_000
-SKETCH_ACCURACY = 20_000
-BRACKET_MARGIN = 5.0 / SKETCH_ACCURACY
+# Rank error of the sketch is n / accuracy. A grouped sketch is kept smaller, as a task holds one per group.
+ACCURACY, GROUPED_ACCURACY = 100_000, 20_000
 
 
 def exact_quantiles(
@@ -60,12 +61,14 @@ def _built_in(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
 
 
 def _bracketed(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
-    edges = [e for p in probs for e in (max(0.0, p - BRACKET_MARGIN), min(1.0, p + BRACKET_MARGIN))]
+    accuracy = GROUPED_ACCURACY if by else ACCURACY
+    margin = 2.0 / accuracy
+    edges = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
     points = F.array(*[F.lit(e) for e in edges])
-    sketch = df.groupBy(*by).agg(
+    sketch = cut_lineage(df.groupBy(*by).agg(
         *[F.count(c).alias(f"n_{c}") for c in columns],
-        *[F.approx_percentile(c, points, SKETCH_ACCURACY).alias(f"cut_{c}") for c in columns],
-    )
+        *[F.approx_percentile(c, points, accuracy).alias(f"cut_{c}") for c in columns],
+    ))
     if by:
         # Null group keys form a group too, so the lookup back to the rows is null-safe.
         named = sketch.select(*[F.col(k).alias(f"by_{k}") for k in by], *[c for c in sketch.columns if c not in by])

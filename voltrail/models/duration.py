@@ -63,11 +63,12 @@ class Prepared:
 def prepare(features: DataFrame, share: float = 0.2, seed: int = SEED) -> Prepared:
     """Split by row, learn imputation and encoding on the train part, and store the encoded rows.
 
-    Iterative fits read the stored rows; the feature windows run once.
+    Pass ``features`` as a stored table (``cut_lineage``), as it is read for every learning step. The
+    iterative fits then read the encoded rows that are stored here.
     """
     wanted = [ROW_ID, *NUMERIC_FEATURES, *CATEGORICAL_FEATURES, MINUTES]
-    stored = cut_lineage(features.select(*wanted, is_test_row(ROW_ID, share, seed).alias("is_test")))
-    train, test = stored.filter(~F.col("is_test")), stored.filter("is_test")
+    marked = features.select(*wanted, is_test_row(ROW_ID, share, seed).alias("is_test"))
+    train, test = marked.filter(~F.col("is_test")), marked.filter("is_test")
     model = build_preprocessor(train).fit(train)
     return Prepared(model, cut_lineage(prepared_rows(model, train)), prepared_rows(model, test))
 

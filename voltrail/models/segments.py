@@ -35,10 +35,13 @@ def scale_features(features: DataFrame, columns: list[str] = SEGMENT_FEATURES) -
 
 
 def assemble(scaled: DataFrame, partitions: int = STATION_PARTITIONS) -> DataFrame:
-    """Feature vectors in a layout that depends on the station ids only, stored for the iterative fits."""
+    """Feature vectors in a layout that depends on the station ids only, stored for the iterative fits.
+
+    Cached on top of the stored copy: an iteration reads memory, a lost executor re-reads the files.
+    """
     vectors = VectorAssembler(inputCols=SEGMENT_FEATURES, outputCol="features").transform(scaled)
     laid_out = vectors.select(STATION, "features").repartition(partitions, STATION).sortWithinPartitions(STATION)
-    return cut_lineage(laid_out)
+    return cut_lineage(laid_out).persist()
 
 
 @dataclass
@@ -50,15 +53,22 @@ class Segmentation:
 
 
 def fit_kmeans(vectors: DataFrame, k: int = CLUSTERS, restarts: int = RESTARTS, seed: int = SEED,
-               parallelism: int = 4) -> KMeansModel:
+               parallelism: int = 8) -> KMeansModel:
     """Best of several seeded runs by training cost; the runs are independent Spark jobs side by side."""
     def one(s: int) -> tuple[float, int, KMeansModel]:
-        model = KMeans(k=k, seed=s, featuresCol="features", predictionCol="raw_cluster").fit(vectors)
+        model = _one_kmeans(vectors, k, s)
         return model.summary.trainingCost, s, model
 
+    return min(_side_by_side(vectors.sparkSession, one, range(seed, seed + restarts), parallelism), key=lambda r: r[:2])[2]
+
+
+def _one_kmeans(vectors: DataFrame, k: int, seed: int) -> KMeansModel:
+    return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="raw_cluster").fit(vectors)
+
+
+def _side_by_side(spark: SparkSession, work, items, parallelism: int) -> list:
     with ThreadPoolExecutor(parallelism) as pool:
-        runs = list(pool.map(inheritable_thread_target(vectors.sparkSession)(one), range(seed, seed + restarts)))
-    return min(runs, key=lambda r: r[:2])[2]
+        return list(pool.map(inheritable_thread_target(spark)(work), items))
 
 
 def segment(features: DataFrame, k: int = CLUSTERS, restarts: int = RESTARTS, seed: int = SEED) -> Segmentation:
@@ -110,8 +120,11 @@ SILHOUETTE_SCHEMA = "k int, silhouette double"
 def silhouette(spark: SparkSession, vectors: DataFrame, ks=range(2, 11), seed: int = SEED) -> DataFrame:
     """Mean silhouette for each number of clusters (one number per k reaches the driver)."""
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="raw_cluster")
-    rows = [(k, float(evaluator.evaluate(fit_kmeans(vectors, k, 1, seed).transform(vectors)))) for k in ks]
-    return spark.createDataFrame(rows, SILHOUETTE_SCHEMA)
+
+    def one(k: int) -> tuple[int, float]:
+        return k, float(evaluator.evaluate(_one_kmeans(vectors, k, seed).transform(vectors)))
+
+    return spark.createDataFrame(_side_by_side(spark, one, ks, 8), SILHOUETTE_SCHEMA)
 
 
 def pca_projection(segmentation: Segmentation) -> DataFrame:

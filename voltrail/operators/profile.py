@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from voltrail.functions.quantiles import exact_quantiles
+from voltrail.functions.scalar import clip
 from voltrail.schema import MINUTES, STATION
 
 
@@ -143,16 +145,48 @@ def sessions_per_station_hist(df: DataFrame, bins: int = 30) -> DataFrame:
     return histogram(per_station, "sessions", bins)
 
 
+PAIR_SCHEMA = "x int, y int, n double, sx double, sy double, sxx double, syy double, sxy double"
+
+
+def _pair_sums(batches: Iterator[pd.DataFrame], shift: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Sums over pairwise complete rows of one task, as one small row per pair."""
+    total = None
+    for batch in batches:
+        values = batch.to_numpy(dtype=float) - shift
+        known = ~np.isnan(values)
+        v, k = np.where(known, values, 0.0), known.astype(float)
+        sums = np.stack([k.T @ k, v.T @ k, (v * v).T @ k, v.T @ v])
+        total = sums if total is None else total + sums
+    if total is not None:
+        n, sx, sxx, sxy = total
+        x, y = np.indices(n.shape)
+        grids = [x, y, n, sx, sx.T, sxx, sxx.T, sxy]
+        yield pd.DataFrame(dict(zip(["x", "y", "n", "sx", "sy", "sxx", "syy", "sxy"], [g.ravel() for g in grids])))
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of all numeric pairs over pairwise complete rows, long form, both orders.
 
-    One pass for all pairs.
+    All pairs in one scan: each task turns its Arrow batches into pair sums by matrix products and emits
+    one row per pair. One ``corr`` per pair would need several hundred aggregation buffers, which
+    Spark runs without code generation. Values are shifted by the column means, so the sums do not cancel.
     """
     columns = list(columns or numeric_columns(df))
-    pairs = [(a, a) for a in columns] + list(combinations(columns, 2))
-    row = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        for x, y in {(a, b), (b, a)}:
-            cells.append(F.struct(F.lit(x).alias("column_x"), F.lit(y).alias("column_y"), F.col(f"r{i}").alias("corr")))
-    return row.select(F.inline(F.array(*cells)))
+    # One number per column.
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns]).first()
+    shift = np.array([means[c] or 0.0 for c in columns])
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    sums = (
+        values.mapInPandas(lambda batches: _pair_sums(batches, shift), PAIR_SCHEMA)
+        .groupBy("x", "y")
+        .agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    )
+    spread = F.sqrt(
+        (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
+        * (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy"))
+    )
+    raw = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(spread, F.lit(0.0))
+    names = F.array(*[F.lit(c) for c in columns])
+    return sums.select(
+        names[F.col("x")].alias("column_x"), names[F.col("y")].alias("column_y"), clip(raw, -1.0, 1.0).alias("corr")
+    )

@@ -113,39 +113,39 @@ def _clip_sql(value: str, low: str, high: str) -> str:
 CAPACITY_RATIO = ("CASE WHEN battery_capacity_kwh IS NULL OR battery_capacity_kwh = 0 THEN 0e0 "
                   "ELSE energy_consumed_kwh / battery_capacity_kwh END")
 SCALARS = {
-    "soc_delta": ("soc_delta_pct", S.soc_delta("state_of_charge_start_pct", "state_of_charge_end_pct"),
+    "soc_delta": ("soc_delta_pct", lambda: S.soc_delta("state_of_charge_start_pct", "state_of_charge_end_pct"),
                   "state_of_charge_end_pct - state_of_charge_start_pct", True),
-    "is_weekend": ("is_weekend", S.is_weekend("day_of_week"),
+    "is_weekend": ("is_weekend", lambda: S.is_weekend("day_of_week"),
                    "CAST(day_of_week IN ('Saturday', 'Sunday') AS INT)", False),
-    "session_month": ("session_month", F.month(START), "CAST(month(charging_start_time) AS INT)", False),
+    "session_month": ("session_month", lambda: F.month(START), "CAST(month(charging_start_time) AS INT)", False),
     "temperature_band": (
-        "temperature_band", S.temperature_band("temperature_degc"),
+        "temperature_band", lambda: S.temperature_band("temperature_degc"),
         "CASE WHEN temperature_degc <= 0 THEN 'freezing' WHEN temperature_degc <= 10 THEN 'cold' WHEN temperature_degc "
         "<= 20 THEN 'mild' WHEN temperature_degc <= 30 THEN 'warm' WHEN temperature_degc > 30 THEN 'hot' "
         "ELSE 'unknown' END", False),
     "start_hour_bin": (
-        "start_hour_bin", S.start_hour_bin("start_hour"),
+        "start_hour_bin", lambda: S.start_hour_bin("start_hour"),
         "CASE WHEN start_hour <= 6 THEN 'overnight' WHEN start_hour <= 12 THEN 'morning' WHEN start_hour <= 18 "
         "THEN 'afternoon' WHEN start_hour <= 24 THEN 'evening' ELSE 'unknown' END", False),
-    "energy_to_capacity": ("energy_to_capacity_ratio", S.energy_to_capacity(ENERGY, "battery_capacity_kwh"),
+    "energy_to_capacity": ("energy_to_capacity_ratio", lambda: S.energy_to_capacity(ENERGY, "battery_capacity_kwh"),
                            f"greatest(0e0, least(5e0, {CAPACITY_RATIO}))", True),
-    "weather_stress": ("weather_stress_index", S.weather_stress("temperature_degc"),
+    "weather_stress": ("weather_stress_index", lambda: S.weather_stress("temperature_degc"),
                        "abs(temperature_degc - 22)", True),
-    "humidity_proxy": ("humidity_proxy", S.humidity_proxy("temperature_degc"),
+    "humidity_proxy": ("humidity_proxy", lambda: S.humidity_proxy("temperature_degc"),
                        _clip_sql("(100 - abs(temperature_degc - 20) * 3)", "0e0", "100e0"), True),
-    "hour_block": ("hour_block", S.hour_block("start_hour"), "CAST(start_hour // 4 * 4 AS INT)", False),
-    "clip_round": ("served_minutes", S.served_duration(MINUTES),
+    "hour_block": ("hour_block", lambda: S.hour_block("start_hour"), "CAST(start_hour // 4 * 4 AS INT)", False),
+    "clip_round": ("served_minutes", lambda: S.served_duration(MINUTES),
                    "round_even(" + _clip_sql("charging_duration_minutes", "5e0", "240e0") + ", 1)", True),
-    "date_text": ("date_text", F.concat_ws(" / ", S.iso_date(START), S.short_date(START)),
+    "date_text": ("date_text", lambda: F.concat_ws(" / ", S.iso_date(START), S.short_date(START)),
                   "concat(strftime(charging_start_time, '%Y-%m-%d'), ' / ', strftime(charging_start_time, '%b %d'))",
                   False),
-    "energy_needed": ("energy_needed_kwh", S.energy_needed("state_of_charge_start_pct", "state_of_charge_end_pct",
+    "energy_needed": ("energy_needed_kwh", lambda: S.energy_needed("state_of_charge_start_pct", "state_of_charge_end_pct",
                                                            "battery_capacity_kwh"),
                       "(state_of_charge_end_pct - state_of_charge_start_pct) / 100 * battery_capacity_kwh", True),
-    "safe_divide": ("km_per_degree", S.safe_divide("distance_driven_since_last_charge_km", "vehicle_age_years", 0.0),
+    "safe_divide": ("km_per_degree", lambda: S.safe_divide("distance_driven_since_last_charge_km", "vehicle_age_years", 0.0),
                     "CASE WHEN vehicle_age_years IS NULL OR vehicle_age_years = 0 THEN 0e0 ELSE "
                     "distance_driven_since_last_charge_km / vehicle_age_years END", True),
-    "null_to_default": ("charging_rate_kw", F.coalesce("charging_rate_kw", F.lit(0.0)),
+    "null_to_default": ("charging_rate_kw", lambda: F.coalesce("charging_rate_kw", F.lit(0.0)),
                         "coalesce(charging_rate_kw, 0e0)", True),
 }
 
@@ -153,7 +153,7 @@ SCALARS = {
 def _register_scalar(name: str, column: str, expression, sql: str, is_double: bool) -> None:
     @query(name, f"SELECT row_id, {sql} AS {column} FROM sessions", (column,) if is_double else ())
     def _(spark, sf_dir):
-        return sessions(spark, sf_dir).select(ROW_ID, expression.alias(column))
+        return sessions(spark, sf_dir).select(ROW_ID, expression().alias(column))
 
 
 for _name, _spec in SCALARS.items():

@@ -157,11 +157,16 @@ def _(spark, sf_dir):
     [f"SELECT '{c}', NULL, (SELECT {c} FROM features WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
      for c in CATEGORICAL_FEATURES]), ("median",), extra=FEATURES)
 def _(spark, sf_dir):
-    return P.fill_table(labelled_features(spark, sf_dir))
+    return P.fill_table(stored_features(spark, sf_dir))
+
+
+def stored_features(spark, sf_dir):
+    """The feature table on reliable storage: imputation, encoding and scoring read it several times."""
+    return once(spark, sf_dir, "features", lambda: cut_lineage(labelled_features(spark, sf_dir)))
 
 
 def prepared(spark, sf_dir) -> D.Prepared:
-    return once(spark, sf_dir, "prepared", lambda: D.prepare(labelled_features(spark, sf_dir)))
+    return once(spark, sf_dir, "prepared", lambda: D.prepare(stored_features(spark, sf_dir)))
 
 
 TRAIN = {**FEATURES, **{
@@ -262,7 +267,7 @@ def _(spark, sf_dir):
     """Persist the encoding and the model as one pipeline, load it and score all sessions with it."""
     path = OUT.save_model(D.as_pipeline(prepared(spark, sf_dir), forest(spark, sf_dir)),
                           scratch_path(spark, "pipeline"))
-    return PipelineModel.load(path).transform(labelled_features(spark, sf_dir)).select(
+    return PipelineModel.load(path).transform(stored_features(spark, sf_dir)).select(
         ROW_ID, F.col("prediction").alias("predicted_minutes")
     )
 

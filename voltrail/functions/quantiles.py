@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from voltrail.operators.joins import size_checked
 from voltrail.session import cut_lineage
 
-SMALL_ROWS = 2_000_000
+SMALL_ROWS = 300_000
 # Rank error of the sketch is n / accuracy. A grouped sketch is kept smaller, as a task holds one per group.
 ACCURACY, GROUPED_ACCURACY = 100_000, 20_000
 
@@ -33,6 +33,7 @@ def exact_quantiles(
     by: Sequence[str] = (),
     small_rows: int = SMALL_ROWS,
     small: bool | None = None,
+    accuracy: int | None = None,
 ) -> DataFrame:
     """Long form: the ``by`` columns, ``column``, ``prob``, ``value`` (null for a group without values).
 
@@ -41,12 +42,12 @@ def exact_quantiles(
     wanted = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
     if is_small(wanted, small_rows) if small is None else small:
         return _built_in(wanted, columns, probs, by)
-    return _bracketed(wanted, columns, probs, by)
+    return _bracketed(wanted, columns, probs, by, accuracy or (GROUPED_ACCURACY if by else ACCURACY))
 
 
 def is_small(df: DataFrame, small_rows: int = SMALL_ROWS) -> bool:
-    """Whether ``df`` has at most ``small_rows`` rows; counting stops there."""
-    return df.limit(small_rows + 1).count() <= small_rows
+    """Whether ``df`` has at most ``small_rows`` rows (a count; a limit would move rows to one task)."""
+    return df.count() <= small_rows
 
 
 def _built_in(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
@@ -60,9 +61,10 @@ def _built_in(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
     return wide.select(*by, F.inline(F.array(*cells)))
 
 
-def _bracketed(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
-    accuracy = GROUPED_ACCURACY if by else ACCURACY
-    margin = 2.0 / accuracy
+def _bracketed(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str], accuracy: int
+) -> DataFrame:
+    margin = 3.0 / accuracy
     edges = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
     points = F.array(*[F.lit(e) for e in edges])
     sketch = cut_lineage(df.groupBy(*by).agg(
@@ -80,7 +82,7 @@ def _bracketed(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by
         rows = df.withColumns({name: _literal(only[name]) for name in sketch.columns})
 
     cells = [
-        _cell(c, p, F.col(f"cut_{c}")[2 * i], F.col(f"cut_{c}")[2 * i + 1])
+        _cell(c, p, F.col(f"cut_{c}")[2 * i], F.col(f"cut_{c}")[2 * i + 1], accuracy)
         for c in columns
         for i, p in enumerate(probs)
     ]
@@ -115,9 +117,12 @@ def _bracketed(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by
     return _with_empty_groups(found, sketch, columns, probs, by)
 
 
-def _cell(column: str, prob: float, low: Column, high: Column) -> Column:
+def _cell(column: str, prob: float, low: Column, high: Column, accuracy: int) -> Column:
     v = F.col(column)
-    place = F.when(v < low, -1).when(v <= high, 0)
+    # A group of fewer rows than the accuracy is bounded and needs no bracket; beyond that the margin
+    # of three sketch errors is at least three rows, so it also covers the rounding of ranks.
+    whole = (F.col(f"n_{column}") <= accuracy) & v.isNotNull()
+    place = F.when(whole, 0).when(v < low, -1).when(v <= high, 0)
     return F.struct(
         F.lit(column).alias("column"),
         F.lit(float(prob)).alias("prob"),

@@ -20,6 +20,7 @@ from voltrail.functions.scalar import clip, iso_date, served_sessions, short_dat
 from voltrail.operators.joins import size_checked
 from voltrail.operators.windows import holdout_split, rolling14
 from voltrail.schema import STATION
+from voltrail.session import cut_lineage
 
 # Model settings.
 WEEKDAY_SHRINKAGE = 3
@@ -102,20 +103,25 @@ def future(coefficients: DataFrame, horizon: int, key: str = STATION, ci: float
 
 
 def forecast(series: DataFrame, horizon: int = 30, key: str = STATION, ci: float = 80) -> DataFrame:
-    """History days and future days of every series, with bands."""
-    coefficients = fit(series, key)
-    spread = F.stddev_samp(F.col("y") - F.col("yhat")).over(Window.partitionBy(key))
-    sigma = F.coalesce(spread, F.lit(0.0)) * band_width(ci)
-    history = (
-        in_sample(series, key)
-        .filter(F.col("slope").isNotNull())
-        .withColumn("_half", sigma)
-        .select(
-            key, "ds", "yhat", (F.col("yhat") - F.col("_half")).alias("yhat_lower"),
-            (F.col("yhat") + F.col("_half")).alias("yhat_upper"),
-        )
-    )
-    return history.unionByName(future(coefficients, horizon, key, ci))
+    """History days and future days of every series, with bands.
+
+    The coefficients are spread over the series by windows on the same partitioning, and the last day of
+    a series carries the future days: one pass, no join.
+    """
+    whole = Window.partitionBy(key)
+    fitted = in_sample(series, key).filter(F.col("slope").isNotNull())
+    coefficients = {
+        "last_day": F.max("ds").over(whole),
+        "sigma": F.coalesce(F.stddev_samp(F.col("y") - F.col("yhat")).over(whole), F.lit(0.0)),
+        **{
+            name: F.coalesce(F.max(F.when(F.col("weekday") == i, F.col("weekday_effect"))).over(whole), F.lit(0.0))
+            for i, name in enumerate(EFFECTS)
+        },
+    }
+    ahead = F.sequence(F.date_add("ds", 1), F.date_add("ds", horizon))
+    days = F.when(F.col("ds") == F.col("last_day"), F.concat(F.array("ds"), ahead)).otherwise(F.array("ds"))
+    points = fitted.withColumns(coefficients).withColumn("ds", F.explode(days))
+    return predict(points, ci).select(key, "ds", "yhat", "yhat_lower", "yhat_upper")
 
 
 def _mape() -> Column:
@@ -139,6 +145,7 @@ def leaderboard(scores: DataFrame, key: str = STATION) -> DataFrame:
 
 def leaderboard_summary(scores: DataFrame) -> DataFrame:
     """Stations trained and the median errors, as one row."""
+    scores = cut_lineage(scores)
     medians = exact_quantiles(scores, ["mae", "rmse"], [0.5])
     middle = medians.agg(*[
         F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"median_{c}") for c in ("mae", "rmse")

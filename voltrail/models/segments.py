@@ -72,7 +72,11 @@ def _side_by_side(spark: SparkSession, work, items, parallelism: int) -> list:
 
 
 def segment(features: DataFrame, k: int = CLUSTERS, restarts: int = RESTARTS, seed: int = SEED) -> Segmentation:
-    """Label every station; clusters are numbered by mean session count, least first."""
+    """Label every station; clusters are numbered by mean session count, least first.
+
+    The station table is stored first, so the sessions are aggregated once.
+    """
+    features = cut_lineage(features)
     vectors = assemble(scale_features(features))
     model = fit_kmeans(vectors, k, restarts, seed)
     volume = SEGMENT_FEATURES.index("session_count")

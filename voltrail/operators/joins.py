@@ -13,15 +13,16 @@ BROADCAST_ROWS = 200_000
 def size_checked(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if it holds at most ``limit`` rows; else leave the join to AQE.
 
-    The count stops at ``limit + 1`` rows. Beyond the limit the join is a shuffle join, and AQE
-    splits the partitions of hot keys.
+    ``df`` should be a stored or cheap table, as counting evaluates it. Beyond the limit the join is a
+    shuffle join, and AQE splits the partitions of hot keys.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if df.count() <= limit else df
 
 
-def keep_members(df: DataFrame, members: DataFrame, key: str = STATION) -> DataFrame:
-    """Rows whose key is in ``members``."""
-    return df.join(size_checked(members.select(key)), key, "left_semi")
+def keep_members(df: DataFrame, members: DataFrame, key: str = STATION, top_n: bool = False) -> DataFrame:
+    """Rows whose key is in ``members``; ``top_n`` says that a limit already bounds their number."""
+    ids = members.select(key)
+    return df.join(F.broadcast(ids) if top_n else size_checked(ids), key, "left_semi")
 
 
 def drop_members(df: DataFrame, members: DataFrame, key: str = STATION) -> DataFrame:

@@ -107,7 +107,8 @@ def category_top_values(df: DataFrame, columns: Sequence[str] | None = None, n:
     """
     columns = (text_columns(df) if columns is None else list(columns))[:5]
     counts = _value_counts(df, columns)
-    unique = counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique_values"))
+    # Reads ``n`` as well, so that both branches are one plan and share its shuffle.
+    unique = counts.groupBy("column").agg(F.count_if(F.col("n") > 0).alias("unique_values"))
     place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))
     top = counts.withColumn("place", place).filter(F.col("place") <= n)
     return top.join(unique, "column").select(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from voltrail.functions.quantiles import exact_quantiles
 from voltrail.functions.scalar import iso_date, safe_divide, share_of
 from voltrail.operators.joins import keep_members
-from voltrail.schema import ENERGY, MINUTES, START, STATION, STATION_MASTER_COLUMNS, WEEKDAYS
+from voltrail.schema import ENERGY, MINUTES, SEGMENT_FEATURES, START, STATION, STATION_MASTER_COLUMNS, WEEKDAYS
 
 DATE = "session_date"
 
@@ -76,15 +76,16 @@ def hourly_agg(df: DataFrame) -> DataFrame:
 # --- KPI rows -------------------------------------------------------------------------------------
 
 def kpi_analytics(df: DataFrame) -> DataFrame:
+    # The peak hour is a count of 24 groups. As ``mode`` beside the distinct count it would be
+    # aggregated per station in sorted order.
     return df.agg(
         F.count(F.lit(1)).alias("total_sessions"),
         F.bround(F.sum(ENERGY), 2).alias("total_energy_kwh"),
         F.bround(F.avg(MINUTES), 2).alias("avg_session_duration_minutes"),
-        F.mode("start_hour", True).alias("peak_hour"),
         F.countDistinct(STATION).alias("total_stations"),
         iso_date(F.min(START)).alias("first_date"),
         iso_date(F.max(START)).alias("last_date"),
-    )
+    ).withColumn("peak_hour", peak_hour(df).select("start_hour").scalar())
 
 
 def kpi_dashboard(df: DataFrame) -> DataFrame:
@@ -183,42 +184,57 @@ def top_scope(df: DataFrame, n: int = 50) -> DataFrame:
 
 # --- station features -----------------------------------------------------------------------------
 
-def station_features(df: DataFrame) -> DataFrame:
-    """Nine features per station in one pass; a station whose values are all null gets 0."""
-    keyed = df.filter(F.col(STATION).isNotNull())
-    return keyed.groupBy(STATION).agg(
+def _station_measures(df: DataFrame) -> DataFrame:
+    return df.filter(F.col(STATION).isNotNull()).groupBy(STATION).agg(
         F.count(F.lit(1)).alias("session_count"),
-        F.countDistinct("user_id").alias("unique_users"),
         F.avg(ENERGY).alias("avg_energy_kwh"),
         F.avg(MINUTES).alias("avg_duration_min"),
         F.avg("charging_cost_usd").alias("avg_cost_usd"),
         F.avg("distance_driven_since_last_charge_km").alias("avg_distance_km"),
         F.avg("temperature_degc").alias("avg_temperature_c"),
+        *_shares(),
+    )
+
+
+def _shares() -> list:
+    return [
         share_of("charger_type", "DC Fast Charger").alias("dc_fast_ratio"),
         share_of("user_type", "Commuter").alias("commuter_ratio"),
-    ).na.fill(0.0)
+    ]
+
+
+def _station_users(df: DataFrame) -> DataFrame:
+    return df.filter(F.col(STATION).isNotNull()).groupBy(STATION).agg(F.countDistinct("user_id").alias("unique_users"))
+
+
+def station_features(df: DataFrame) -> DataFrame:
+    """Nine features per station; a station whose values are all null gets 0.
+
+    The distinct users are counted apart from the means: in one aggregate every (station, user) pair
+    would carry all the sums through the shuffle, and users are close to unique. Apart, the means shuffle
+    one row per station and task, and the users two columns.
+    """
+    features = _station_measures(df).join(_station_users(df), STATION).na.fill(0.0)
+    return features.select(STATION, *SEGMENT_FEATURES)
 
 
 def station_features_joined(df: DataFrame) -> DataFrame:
-    """The same table built from two aggregates joined one-to-one on the station."""
-    keyed = df.filter(F.col(STATION).isNotNull())
-    shares = keyed.groupBy(STATION).agg(
-        share_of("charger_type", "DC Fast Charger").alias("dc_fast_ratio"),
-        share_of("user_type", "Commuter").alias("commuter_ratio"),
-    )
-    measures = station_features(df).drop("dc_fast_ratio", "commuter_ratio")
-    return measures.join(shares, STATION, "inner").na.fill(0.0)
+    """The same table with the two shares from an aggregate of their own, joined one-to-one."""
+    shares = df.filter(F.col(STATION).isNotNull()).groupBy(STATION).agg(*_shares())
+    measures = _station_measures(df).drop("dc_fast_ratio", "commuter_ratio")
+    joined = measures.join(_station_users(df), STATION).join(shares, STATION, "inner").na.fill(0.0)
+    return joined.select(STATION, *SEGMENT_FEATURES)
 
 
 # --- daily series ---------------------------------------------------------------------------------
 
-def scoped_series(daily: DataFrame, stations: DataFrame | None = None, station: str | None = None) -> DataFrame:
-    """Sessions per day over one station, a set of stations, or all."""
+def scoped_series(daily: DataFrame, top: DataFrame | None = None, station: str | None = None) -> DataFrame:
+    """Sessions per day over one station, the top stations (``top_scope``), or all."""
     scoped = daily
     if station is not None:
         scoped = scoped.filter(F.col(STATION) == station)
-    if stations is not None:
-        scoped = keep_members(scoped, stations)
+    if top is not None:
+        scoped = keep_members(scoped, top, top_n=True)
     return scoped.groupBy(F.col(DATE).alias("ds")).agg(F.sum("total_sessions").alias("y")).orderBy("ds")
 
 

@@ -23,7 +23,7 @@ DAY_MICROS = 86_400_000_000
 WEEK_MINUTES = 7 * 24 * 60
 
 # A station with more sessions than this is cut in slices.
-MAX_GROUP_ROWS = 5_000_000
+MAX_GROUP_ROWS = 1_000_000
 # ... or with more than 1/SHARE of all sessions, whichever is larger: so at most SHARE stations are cut.
 SHARE = 10_000
 SLICES_PER_LIMIT = 8

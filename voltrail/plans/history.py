@@ -9,11 +9,12 @@ from voltrail.operators import reports as R, windows as W
 from voltrail.operators.cleaning import restore_order
 from voltrail.operators.features import engineer_features
 from voltrail.operators.joins import attach_cluster
-from voltrail.plans.registry import query
+from voltrail.plans.registry import once, query
 from voltrail.plans.reporting import SERIES
 from voltrail.schema import (
     CATEGORICAL_FEATURES, ENERGY, MINUTES, NUMERIC_FEATURES, ROW_ID, START, STATION,
 )
+from voltrail.session import cut_lineage
 from voltrail.sources.mapping import long_sessions, requests, rule_labels, sessions
 
 NEEDED = [ROW_ID, STATION, START, MINUTES, "temperature_degc"]
@@ -189,9 +190,13 @@ FEATURE_COLUMNS = [c for c in NUMERIC_FEATURES + CATEGORICAL_FEATURES]
 NOT_DOUBLE = {"start_hour", "is_weekend", "session_month"}
 
 
+def stored_labels(spark, sf_dir):
+    """Station labels from the rule, stored as the segment table is."""
+    return once(spark, sf_dir, "labels", lambda: cut_lineage(rule_labels(sessions(spark, sf_dir))))
+
+
 def labelled_features(spark, sf_dir):
-    df = sessions(spark, sf_dir)
-    return engineer_features(df, rule_labels(df))
+    return engineer_features(sessions(spark, sf_dir), stored_labels(spark, sf_dir))
 
 
 @query("engineer_features", f"SELECT row_id, {', '.join(FEATURE_COLUMNS)}, charging_duration_minutes FROM features",
@@ -203,5 +208,4 @@ def _(spark, sf_dir):
 @query("attach_cluster", "SELECT row_id, charging_station_id, coalesce(CAST(cluster AS VARCHAR), 'unknown') AS "
        "station_cluster_label FROM sessions LEFT JOIN labels USING (charging_station_id)")
 def _(spark, sf_dir):
-    df = sessions(spark, sf_dir)
-    return attach_cluster(df.select(ROW_ID, STATION), rule_labels(df))
+    return attach_cluster(sessions(spark, sf_dir).select(ROW_ID, STATION), stored_labels(spark, sf_dir))

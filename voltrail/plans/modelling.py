@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from voltrail.models import duration as D, heuristic as H, preprocess as P, segments as G
 from voltrail.operators import joins as J, reports as R, tables as T
-from voltrail.plans.history import FEATURES, labelled_features
+from voltrail.plans.history import FEATURES, labelled_features, stored_labels
 from voltrail.plans.registry import once, query
 from voltrail.plans.reporting import FEATURE_DOUBLES, STATION_FEATURES
 from voltrail.schema import (
@@ -16,12 +16,7 @@ from voltrail.schema import (
 )
 from voltrail.session import cut_lineage, scratch_path
 from voltrail.sources import sinks as OUT
-from voltrail.sources.mapping import requests, rule_labels, sessions
-
-
-def stored_labels(spark, sf_dir):
-    """Station labels from the rule, stored as the segment table is."""
-    return once(spark, sf_dir, "labels", lambda: cut_lineage(rule_labels(sessions(spark, sf_dir))))
+from voltrail.sources.mapping import requests, sessions
 
 
 # --- cluster lookups ------------------------------------------------------------------------------

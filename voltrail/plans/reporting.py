@@ -394,7 +394,7 @@ def _(spark, sf_dir):
     daily = R.daily_agg(df)
     scopes = {
         "all": R.scoped_series(daily),
-        "top50": R.scoped_series(daily, stations=R.top_scope(df)),
+        "top50": R.scoped_series(daily, top=R.top_scope(df)),
         "station": R.scoped_series(daily, station="Station_7"),
     }
     parts = [s.select(F.lit(n).alias("scope"), "ds", "y") for n, s in scopes.items()]
@@ -428,7 +428,7 @@ def _(spark, sf_dir):
        "(SELECT charging_station_id FROM top50)", extra=TOP50)
 def _(spark, sf_dir):
     df = sessions(spark, sf_dir)
-    return J.keep_members(df.select("row_id", STATION), R.top_scope(df))
+    return J.keep_members(df.select("row_id", STATION), R.top_scope(df), top_n=True)
 
 
 @query("ordered_reports", "SELECT row_number() OVER (ORDER BY sessions DESC, charging_station_id) AS place, "

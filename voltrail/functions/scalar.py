@@ -86,8 +86,8 @@ def served_duration(minutes: Col) -> Column:
 
 
 def served_sessions(yhat: Col) -> Column:
-    """One decimal, never negative."""
-    return clip(F.bround(_c(yhat), 1), low=0.0)
+    """One decimal, never negative. Ties are seen at six decimals, so the last bits of a fit do not decide them."""
+    return clip(F.bround(F.round(_c(yhat), 6), 1), low=0.0)
 
 
 def iso_date(day: Col) -> Column:

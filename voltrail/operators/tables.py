@@ -14,7 +14,9 @@ from voltrail.schema import SEGMENT_FEATURES, STATION
 
 
 def _fixed(column: str, digits: int) -> Column:
-    return F.when(F.col(column).isNull(), "n/a").otherwise(F.format_string(f"%.{digits}f", F.col(column).cast("double")))
+    # The pattern form rounds the stored binary value, half to even, and groups no thousands.
+    text = F.call_function("format_number", F.col(column).cast("double"), F.lit("0." + "0" * digits))
+    return F.coalesce(text, F.lit("n/a"))
 
 
 def _line(*cells: Column) -> Column:

@@ -195,7 +195,7 @@ SERVE = {**STATION_FIT, "asked": "SELECT * FROM requests JOIN st_coef USING (cha
 
 
 @query("forecast_serve", "SELECT request_id, charging_station_id, strftime(ds, '%Y-%m-%d') AS date, "
-       "greatest(0e0, round_even(yhat, 1)) AS sessions FROM (" + future_sql("st_", "days", 80, "asked") + ")",
+       "greatest(0e0, round_even(round(yhat, 6), 1)) AS sessions FROM (" + future_sql("st_", "days", 80, "asked") + ")",
        ("sessions",), extra=SERVE)
 def _(spark, sf_dir):
     return M.serve(requests(spark, sf_dir), station_coefficients(spark, sf_dir))

@@ -15,6 +15,8 @@ The result is exact. If a bracket ever missed its rank the job fails; it cannot
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -81,54 +83,65 @@ def _bracketed(
         only = sketch.first()
         rows = df.withColumns({name: _literal(only[name]) for name in sketch.columns})
 
-    cells = [
-        _cell(c, p, F.col(f"cut_{c}")[2 * i], F.col(f"cut_{c}")[2 * i + 1], accuracy)
-        for c in columns
-        for i, p in enumerate(probs)
-    ]
-    # Values below a bracket collapse to one counted marker, those above it are not emitted.
-    counts = (
-        rows.select(*by, F.inline(F.filter(F.array(*cells), lambda x: x["place"] <= 0)))
-        .groupBy(*by, "column", "prob", "n", "place", "v")
-        .agg(F.count(F.lit(1)).alias("k"))
+    wanted = [(c, p, i) for c in columns for i, p in enumerate(probs)]
+    cells = [_cell(c, p, i, accuracy) for c, p, i in wanted]
+    # Few rows hold a value inside any bracket; this plain predicate drops the others before the reshape.
+    inside = rows.filter(reduce(or_, [_in_bracket(c, i, accuracy) for c, _, i in wanted])).select(
+        *by, F.inline(F.filter(F.array(*cells), lambda x: x["v"].isNotNull()))
     )
-    group = [*by, "column", "prob", "n"]
-    upto = F.sum("k").over(Window.partitionBy(*group).orderBy("place", "v"))
+    counts = inside.groupBy(*by, "column", "prob", "n", "v").agg(F.count(F.lit(1)).alias("k"))
+    below = rows.groupBy(*by).agg(*[
+        F.count_if(_below_bracket(c, i, accuracy)).alias(f"below_{j}") for j, (c, _, i) in enumerate(wanted)
+    ]).select(*[F.col(k).alias(f"by_{k}") for k in by], F.inline(F.array(*[
+        F.struct(F.lit(c).alias("below_column"), F.lit(float(p)).alias("below_prob"), F.col(f"below_{j}").alias("below"))
+        for j, (c, p, _) in enumerate(wanted)
+    ])))
+    same = [F.col(k).eqNullSafe(F.col(f"by_{k}")) for k in by]
+    same += [F.col("column") == F.col("below_column"), F.col("prob") == F.col("below_prob")]
+
+    group = [*by, "column", "prob", "n", "below"]
+    upto = F.col("below") + F.sum("k").over(Window.partitionBy(*group).orderBy("v"))
     rank = F.col("prob") * (F.col("n") - 1)
     low, high = F.floor(rank), F.ceil(rank)
 
     def value_at(index: Column) -> Column:
-        return F.min(F.when((F.col("place") == 0) & (F.col("upto") > index), F.col("v")))
+        return F.min(F.when(F.col("upto") > index, F.col("v")))
 
-    inside = (
-        counts.withColumn("upto", upto)
+    ends = (
+        counts.join(below, same)
+        .withColumn("upto", upto)
         .groupBy(*group)
-        .agg(
-            value_at(low).alias("a"),
-            value_at(high).alias("b"),
-            F.sum(F.when(F.col("place") < 0, F.col("k")).otherwise(0)).alias("below"),
-        )
+        .agg(value_at(low).alias("a"), value_at(high).alias("b"))
     )
     missed = F.col("a").isNull() | F.col("b").isNull() | (F.col("below") > low)
     exact = F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")).otherwise(
         F.col("a") + (F.col("b") - F.col("a")) * (rank - low)
     )
-    found = inside.select(*by, "column", "prob", exact.alias("value"))
+    found = ends.select(*by, "column", "prob", exact.alias("value"))
     return _with_empty_groups(found, sketch, columns, probs, by)
 
 
-def _cell(column: str, prob: float, low: Column, high: Column, accuracy: int) -> Column:
-    v = F.col(column)
-    # A group of fewer rows than the accuracy is bounded and needs no bracket; beyond that the margin
-    # of three sketch errors is at least three rows, so it also covers the rounding of ranks.
-    whole = (F.col(f"n_{column}") <= accuracy) & v.isNotNull()
-    place = F.when(whole, 0).when(v < low, -1).when(v <= high, 0)
+def _is_whole(column: str, accuracy: int) -> Column:
+    """A group of fewer rows than the accuracy is bounded and needs no bracket. Beyond that the margin of
+    three sketch errors is at least three rows, so it also covers the rounding of ranks."""
+    return F.col(f"n_{column}") <= accuracy
+
+
+def _in_bracket(column: str, i: int, accuracy: int) -> Column:
+    v, cuts = F.col(column), F.col(f"cut_{column}")
+    return v.isNotNull() & (_is_whole(column, accuracy) | v.between(cuts[2 * i], cuts[2 * i + 1]))
+
+
+def _below_bracket(column: str, i: int, accuracy: int) -> Column:
+    return ~_is_whole(column, accuracy) & (F.col(column) < F.col(f"cut_{column}")[2 * i])
+
+
+def _cell(column: str, prob: float, i: int, accuracy: int) -> Column:
     return F.struct(
         F.lit(column).alias("column"),
         F.lit(float(prob)).alias("prob"),
         F.col(f"n_{column}").alias("n"),
-        place.alias("place"),
-        F.when(place == 0, v).alias("v"),
+        F.when(_in_bracket(column, i, accuracy), F.col(column)).alias("v"),
     )
 
 

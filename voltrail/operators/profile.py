@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -52,19 +53,28 @@ def missing_report_short(df: DataFrame, columns: Sequence[str] | None = None) ->
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
-def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None, **options) -> DataFrame:
-    columns = list(columns or numeric_columns(df))
-    moments = df.agg(*[
+# Seven buffers per column: twelve columns stay below the 100 fields up to which Spark generates code.
+MOMENT_COLUMNS = 12
+
+
+def _moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.agg(*[
         F.struct(
             F.lit(c).alias("column"),
             F.count(c).alias("count"),
-            F.avg(c).alias("mean"),
+            (F.sum(F.col(c).cast("double")) / F.nullif(F.count(c), F.lit(0))).alias("mean"),
             F.stddev_samp(c).alias("std"),
             F.min(c).cast("double").alias("min"),
             F.max(c).cast("double").alias("max"),
         ).alias(c)
         for c in columns
     ]).select(F.inline(F.array(*[F.col(c) for c in columns])))
+
+
+def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None, **options) -> DataFrame:
+    columns = list(columns or numeric_columns(df))
+    parts = [_moments(df, columns[i:i + MOMENT_COLUMNS]) for i in range(0, len(columns), MOMENT_COLUMNS)]
+    moments = reduce(DataFrame.unionByName, parts)
     ranks = exact_quantiles(df, columns, list(QUARTILES.values()), **options)
     wide = ranks.groupBy("column").agg(
         *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for n, p in QUARTILES.items()]

@@ -18,7 +18,7 @@ MISSING_MARKS = ["", "NA", "N/A", "n/a", "NaN", "nan", "-nan", "-NaN", "null", "
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether any file matches; works for every file system Spark can read."""
     try:
-        spark.read.format("binaryFile").load(path).select("path").isEmpty()
+        spark.read.format("binaryFile").load(path)  # resolves the path, reads nothing
         return True
     except (AnalysisException, Py4JJavaError):
         return False

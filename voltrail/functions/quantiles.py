@@ -5,9 +5,9 @@ in one buffer, so beyond ``SMALL_ROWS`` rows a bracket is used instead:
 
 1. one mergeable sketch per group (``approx_percentile``) gives two values that enclose each wanted
    rank with a wide margin over the sketch's error bound;
-2. one counting pass finds how many values lie below each bracket, and value counts inside it;
-3. the wanted ranks are read off the cumulative counts inside the brackets, which hold a fixed small
-   fraction of the group's rows.
+2. one counting pass finds how many values lie below each bracket and at its ends;
+3. the values strictly inside a bracket, a fixed small fraction of the group's rows, are counted, and
+   the wanted ranks are read off the cumulative counts.
 
 The result is exact. If a bracket ever missed its rank the job fails; it cannot return a wrong value.
 """
@@ -24,8 +24,11 @@ from voltrail.operators.joins import size_checked
 from voltrail.session import cut_lineage
 
 SMALL_ROWS = 300_000
-# Rank error of the sketch is n / accuracy. A grouped sketch is kept smaller, as a task holds one per group.
-ACCURACY, GROUPED_ACCURACY = 100_000, 20_000
+# The rank error of a sketch is n / accuracy, and a bracket spans six such errors. The accuracy grows with
+# the rows so that a bracket holds about BRACKET_ROWS; a task holds one sketch per group, so grouped
+# sketches stay smaller.
+BRACKET_ROWS = 10_000_000
+LEAST_ACCURACY, MOST_ACCURACY, MOST_GROUPED_ACCURACY = 2_000, 100_000, 20_000
 
 
 def exact_quantiles(
@@ -34,22 +37,20 @@ def exact_quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     small_rows: int = SMALL_ROWS,
-    small: bool | None = None,
+    rows: int | None = None,
     accuracy: int | None = None,
 ) -> DataFrame:
     """Long form: the ``by`` columns, ``column``, ``prob``, ``value`` (null for a group without values).
 
-    ``small`` skips the size check for a caller that made it already.
+    ``rows`` is the row count of ``df``, for a caller that has it already.
     """
     wanted = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
-    if is_small(wanted, small_rows) if small is None else small:
+    # A plain count: a limit below it would move rows to one task.
+    rows = wanted.count() if rows is None else rows
+    if rows <= small_rows:
         return _built_in(wanted, columns, probs, by)
-    return _bracketed(wanted, columns, probs, by, accuracy or (GROUPED_ACCURACY if by else ACCURACY))
-
-
-def is_small(df: DataFrame, small_rows: int = SMALL_ROWS) -> bool:
-    """Whether ``df`` has at most ``small_rows`` rows (a count; a limit would move rows to one task)."""
-    return df.count() <= small_rows
+    most = MOST_GROUPED_ACCURACY if by else MOST_ACCURACY
+    return _bracketed(wanted, columns, probs, by, accuracy or min(most, max(LEAST_ACCURACY, 6 * rows // BRACKET_ROWS)))
 
 
 def _built_in(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
@@ -63,106 +64,109 @@ def _built_in(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
     return wide.select(*by, F.inline(F.array(*cells)))
 
 
+# Three counters per cell: 32 cells stay below the 100 fields up to which Spark generates code.
+CELLS_PER_SCAN = 32
+
+
 def _bracketed(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str], accuracy: int
 ) -> DataFrame:
     margin = 3.0 / accuracy
     edges = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
     points = F.array(*[F.lit(e) for e in edges])
-    sketch = cut_lineage(df.groupBy(*by).agg(
-        *[F.count(c).alias(f"n_{c}") for c in columns],
-        *[F.approx_percentile(c, points, accuracy).alias(f"cut_{c}") for c in columns],
-    ))
-    if by:
-        # Null group keys form a group too, so the lookup back to the rows is null-safe.
-        named = sketch.select(*[F.col(k).alias(f"by_{k}") for k in by], *[c for c in sketch.columns if c not in by])
-        same = [F.col(k).eqNullSafe(F.col(f"by_{k}")) for k in by]
-        rows = df.join(size_checked(named), same, "inner")
-    else:
-        # One row of a few dozen numbers.
-        only = sketch.first()
-        rows = df.withColumns({name: _literal(only[name]) for name in sketch.columns})
-
-    wanted = [(c, p, i) for c in columns for i, p in enumerate(probs)]
-    cells = [_cell(c, p, i, accuracy) for c, p, i in wanted]
-    # Few rows hold a value inside any bracket; this plain predicate drops the others before the reshape.
-    inside = rows.filter(reduce(or_, [_in_bracket(c, i, accuracy) for c, _, i in wanted])).select(
-        *by, F.inline(F.filter(F.array(*cells), lambda x: x["v"].isNotNull()))
-    )
-    counts = inside.groupBy(*by, "column", "prob", "n", "v").agg(F.count(F.lit(1)).alias("k"))
-    below = rows.groupBy(*by).agg(*[
-        F.count_if(_below_bracket(c, i, accuracy)).alias(f"below_{j}") for j, (c, _, i) in enumerate(wanted)
-    ]).select(*[F.col(k).alias(f"by_{k}") for k in by], F.inline(F.array(*[
-        F.struct(F.lit(c).alias("below_column"), F.lit(float(p)).alias("below_prob"), F.col(f"below_{j}").alias("below"))
-        for j, (c, p, _) in enumerate(wanted)
+    # A group of fewer rows than the accuracy is bounded and gets no cuts: all its values are inside. Beyond
+    # that the margin of three sketch errors is at least three rows, so it also covers the rounding of ranks.
+    sketch = cut_lineage(df.groupBy(*by).agg(*[F.count(c).alias(f"n_{c}") for c in columns], *[
+        F.when(F.count(c) > accuracy, F.approx_percentile(c, points, accuracy)).alias(f"cut_{c}") for c in columns
+    ]))
+    cells = [(c, float(p), i) for c in columns for i, p in enumerate(probs)]
+    rows = _with_cuts(df, sketch, columns, by)
+
+    brackets = sketch.select(*by, F.inline(F.array(*[
+        F.struct(
+            F.lit(c).alias("column"), F.lit(p).alias("prob"), F.col(f"n_{c}").alias("n"),
+            _low(c, i).alias("low"), _high(c, i).alias("high"),
+        )
+        for c, p, i in cells
     ])))
-    same = [F.col(k).eqNullSafe(F.col(f"by_{k}")) for k in by]
-    same += [F.col("column") == F.col("below_column"), F.col("prob") == F.col("below_prob")]
-
-    group = [*by, "column", "prob", "n", "below"]
-    upto = F.col("below") + F.sum("k").over(Window.partitionBy(*group).orderBy("v"))
+    chunks = [cells[i:i + CELLS_PER_SCAN] for i in range(0, len(cells), CELLS_PER_SCAN)]
+    counted = reduce(DataFrame.unionByName, [_edge_counts(rows, chunk, by) for chunk in chunks])
+    key = [*by, "column", "prob"]
     rank = F.col("prob") * (F.col("n") - 1)
-    low, high = F.floor(rank), F.ceil(rank)
+    known = _join(brackets, counted, key).withColumns({"first": F.floor(rank), "second": F.ceil(rank), "rank": rank})
+
+    # Strictly inside a bracket there are few rows, however often its end values occur. ``stack`` keeps the
+    # reshape in generated code, and its filter is not pushed (and so not copied) into the scan.
+    long = rows.select(*by, F.stack(
+        F.lit(len(columns)), *[part for c in columns for part in (F.lit(c), F.col(c), F.col(f"cut_{c}"))]
+    ).alias("column", "v", "cut"))
+    hits = [_inside(F.col("v"), F.col("cut"), i) for i in range(len(probs))]
+    inside = long.filter(reduce(or_, hits)).select(*by, "column", "v", F.inline(F.filter(F.array(*[
+        F.struct(F.lit(float(p)).alias("prob"), hit.alias("hit")) for p, hit in zip(probs, hits)
+    ]), lambda x: x["hit"]))).groupBy(*key, "v").agg(F.count(F.lit(1)).alias("k"))
+    upto = F.col("upto_low") + F.sum("k").over(Window.partitionBy(*key).orderBy("v"))
+    looked_up = _join(inside, known, key).withColumn("upto", upto).groupBy(*key).agg(
+        F.min(F.when(F.col("upto") > F.col("first"), F.col("v"))).alias("first_inside"),
+        F.min(F.when(F.col("upto") > F.col("second"), F.col("v"))).alias("second_inside"),
+    )
 
-    def value_at(index: Column) -> Column:
-        return F.min(F.when(F.col("upto") > index, F.col("v")))
+    def value_at(index: str) -> Column:
+        within = F.coalesce(F.col(f"{index}_inside"), F.col("high"))
+        return F.when(F.col(index) < F.col("upto_low"), F.col("low")).otherwise(within)
 
-    ends = (
-        counts.join(below, same)
-        .withColumn("upto", upto)
-        .groupBy(*group)
-        .agg(value_at(low).alias("a"), value_at(high).alias("b"))
-    )
-    missed = F.col("a").isNull() | F.col("b").isNull() | (F.col("below") > low)
-    exact = F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")).otherwise(
-        F.col("a") + (F.col("b") - F.col("a")) * (rank - low)
+    missed = (F.col("first") < F.col("below")) | (F.col("second") >= F.col("upto_high"))
+    a, b = value_at("first"), value_at("second")
+    value = F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")).otherwise(
+        a + (b - a) * (F.col("rank") - F.col("first"))
     )
-    found = ends.select(*by, "column", "prob", exact.alias("value"))
-    return _with_empty_groups(found, sketch, columns, probs, by)
+    return _join(known, looked_up, key, "left").select(*key, F.when(F.col("n") > 0, value).alias("value"))
 
 
-def _is_whole(column: str, accuracy: int) -> Column:
-    """A group of fewer rows than the accuracy is bounded and needs no bracket. Beyond that the margin of
-    three sketch errors is at least three rows, so it also covers the rounding of ranks."""
-    return F.col(f"n_{column}") <= accuracy
+def _low(column: str, i: int) -> Column:
+    return F.col(f"cut_{column}")[2 * i]
 
 
-def _in_bracket(column: str, i: int, accuracy: int) -> Column:
-    v, cuts = F.col(column), F.col(f"cut_{column}")
-    return v.isNotNull() & (_is_whole(column, accuracy) | v.between(cuts[2 * i], cuts[2 * i + 1]))
+def _high(column: str, i: int) -> Column:
+    return F.col(f"cut_{column}")[2 * i + 1]
 
 
-def _below_bracket(column: str, i: int, accuracy: int) -> Column:
-    return ~_is_whole(column, accuracy) & (F.col(column) < F.col(f"cut_{column}")[2 * i])
+def _inside(v: Column, cut: Column, i: int) -> Column:
+    return v.isNotNull() & (cut.isNull() | ((v > cut[2 * i]) & (v < cut[2 * i + 1])))
 
 
-def _cell(column: str, prob: float, i: int, accuracy: int) -> Column:
-    return F.struct(
-        F.lit(column).alias("column"),
-        F.lit(float(prob)).alias("prob"),
-        F.col(f"n_{column}").alias("n"),
-        F.when(_in_bracket(column, i, accuracy), F.col(column)).alias("v"),
-    )
-
+def _edge_counts(rows: DataFrame, cells: Sequence[tuple[str, float, int]], by: Sequence[str]) -> DataFrame:
+    """Values below the bracket, up to its low end and up to its high end, per group and cell."""
+    def counters(column: str, i: int) -> list[Column]:
+        v, high = F.col(column), _high(column, i)
+        return [F.count_if(v < _low(column, i)), F.count_if(v <= _low(column, i)),
+                F.count_if(v.isNotNull() & (F.col(f"cut_{column}").isNull() | (v <= high)))]
 
-def _with_empty_groups(
-    found: DataFrame, sketch: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]
-) -> DataFrame:
-    """Groups whose values are all null have no rank; they are added with a null value."""
-    cells = [
-        F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("prob"), F.col(f"n_{c}").alias("n"))
-        for c in columns
-        for p in probs
-    ]
-    empty = (
-        sketch.select(*by, F.inline(F.array(*cells)))
-        .filter(F.col("n") == 0)
-        .select(*by, "column", "prob", F.lit(None).cast("double").alias("value"))
-    )
-    return found.unionByName(empty)
+    names = ["below", "upto_low", "upto_high"]
+    wide = rows.groupBy(*by).agg(*[
+        counter.alias(f"{name}_{j}")
+        for j, (c, _, i) in enumerate(cells)
+        for name, counter in zip(names, counters(c, i))
+    ])
+    return wide.select(*by, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(p).alias("prob"), *[F.col(f"{n}_{j}").alias(n) for n in names])
+        for j, (c, p, _) in enumerate(cells)
+    ])))
 
 
-def _literal(value) -> Column:
-    if isinstance(value, list):
-        return F.array(*[F.lit(v) for v in value])
-    return F.lit(value).cast("array<double>") if value is None else F.lit(value)
+def _with_cuts(df: DataFrame, sketch: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    cuts = [f"cut_{c}" for c in columns]
+    if by:
+        return _join(df, size_checked(sketch.select(*by, *cuts)), by)
+    only = sketch.first()  # one row of a few dozen numbers
+    return df.withColumns({
+        name: F.lit(None).cast("array<double>") if only[name] is None else F.array(*[F.lit(v) for v in only[name]])
+        for name in cuts
+    })
+
+
+def _join(left: DataFrame, right: DataFrame, key: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null group keys match, as they form a group too."""
+    other = right.withColumnsRenamed({k: f"_{k}" for k in key})
+    # A rename keeps a broadcast mark of the right side.
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+    return left.join(other, same, how).drop(*[f"_{k}" for k in key])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voltrail.functions.quantiles import exact_quantiles, is_small
+from voltrail.functions.quantiles import exact_quantiles
 from voltrail.functions.scalar import clip, hour_block, rmse_of
 from voltrail.operators.joins import size_checked
 from voltrail.schema import ENERGY, MINUTES, STATION
@@ -21,19 +21,19 @@ def duration_medians(sessions: DataFrame) -> DataFrame:
 
     Level ``all`` holds the overall medians of minutes and energy.
     """
-    small = is_small(sessions.select(MINUTES))
+    rows = sessions.select(MINUTES).count()
     blocks = sessions.withColumn("hour_block", hour_block("start_hour"))
     columns = ["charger_type", "day_of_week", "hour_block"]
     parts = []
     for level, by in LEVELS.items():
-        medians = exact_quantiles(blocks, [MINUTES], [0.5], by, small=small)
+        medians = exact_quantiles(blocks, [MINUTES], [0.5], by, rows=rows)
         parts.append(medians.select(
             F.lit(level).alias("level"),
             *[F.col(c) if c in by else F.lit(None).cast("string").alias(c) for c in columns],
             F.col("value").alias("median_minutes"),
             F.lit(None).cast("double").alias("median_energy"),
         ))
-    overall = exact_quantiles(blocks, [MINUTES, ENERGY], [0.5], small=small)
+    overall = exact_quantiles(blocks, [MINUTES, ENERGY], [0.5], rows=rows)
     parts.append(overall.agg(
         F.lit("all").alias("level"),
         *[F.lit(None).cast("int" if c == "hour_block" else "string").alias(c) for c in columns],

@@ -116,7 +116,7 @@ def _previous_columns(df: DataFrame) -> DataFrame:
 
 # --- all station context features -----------------------------------------------------------------
 
-def _events(df: DataFrame, frame: Frame) -> DataFrame:
+def _events(df: DataFrame, frame: Frame, with_row: bool = True) -> DataFrame:
     """One row per session plus two narrow markers for when it leaves the windows.
 
     The session's own columns travel in ``_row`` on the session row only. The three rows come from one
@@ -139,10 +139,9 @@ def _events(df: DataFrame, frame: Frame) -> DataFrame:
             n30.alias("_n30"),
             t30.alias("_t30"),
             (minutes if is_session else F.lit(None).cast("double")).alias("_minutes"),
-            (whole if is_session else F.lit(None).cast(whole_type)).alias("_row"),
+            *([(whole if is_session else F.lit(None).cast(df.schema)).alias("_row")] if with_row else []),
         )
 
-    whole_type = df.schema
     zero, none = F.lit(0).cast("bigint"), F.lit(0.0)
     m, c = F.coalesce(minutes, none), F.coalesce(temperature, none)
     one = F.lit(1).cast("bigint")
@@ -170,8 +169,8 @@ def station_context(df: DataFrame, frame: Frame = Frame(), max_rows: int = MAX_G
     large = large_stations(df, frame, max_rows)
     group = [frame.key]
     if large is not None:
-        events = _with_slices(events, large, frame)
-        events = _carry_forward(events, frame)
+        narrow = _with_slices(_events(df, frame, with_row=False), large, frame)
+        events = _carry_forward(_with_slices(events, large, frame), narrow, frame)
         group.append("_slice")
 
     is_session = F.col("_kind") == SESSION
@@ -208,11 +207,14 @@ def station_context(df: DataFrame, frame: Frame = Frame(), max_rows: int = MAX_G
     )
 
 
-def _carry_forward(events: DataFrame, frame: Frame) -> DataFrame:
-    """Attach to each event of a cut station the totals of all its earlier slices."""
+def _carry_forward(events: DataFrame, narrow: DataFrame, frame: Frame) -> DataFrame:
+    """Attach to each event of a cut station the totals of all its earlier slices.
+
+    The slices are summed from the same events without the sessions' own columns.
+    """
     here = F.struct(F.col("_t").alias("t"), F.col("_minutes").alias("minutes"))
     is_session = F.col("_kind") == SESSION
-    slices = events.filter("_is_large").groupBy(frame.key, "_slice").agg(
+    slices = narrow.filter("_is_large").groupBy(frame.key, "_slice").agg(
         *[F.sum(c).alias(c) for c in RUNNING],
         F.count("_minutes").alias("_past_n"),
         F.sum("_minutes").alias("_past_m"),

@@ -91,11 +91,16 @@ def test_seven_day_edge(spark):
 def test_cut_stations_are_found_and_bounded(to_spark):
     rows = skewed_rows()
     df = to_spark(rows, SCHEMA)
-    assert W.large_stations(df, W.Frame(), 10_000) is None
-    large = W.large_stations(df, W.Frame(), 100).collect()
+    assert W.station_sizes(df, W.Frame(), 10_000).large is None
+    large = W.station_sizes(df, W.Frame(), 100).large.collect()
     assert [r["_large_key"] for r in large] == ["hot"] and large[0]["slices"] > 1
 
 
+def test_no_sessions(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert W.station_context(empty).isEmpty() and W.previous_session(empty).isEmpty()
+
+
 def test_cut_plan_orders_slices_and_not_stations(to_spark):
     rows = skewed_rows()
     df = to_spark(rows, SCHEMA)

@@ -131,6 +131,13 @@ def silhouette(spark: SparkSession, vectors: DataFrame, ks=range(2, 11), seed: i
     return spark.createDataFrame(_side_by_side(spark, one, ks, 8), SILHOUETTE_SCHEMA)
 
 
+def label_silhouette(vectors: DataFrame, labels: DataFrame) -> DataFrame:
+    """Mean silhouette (squared Euclidean distance) of given labels, as one row."""
+    labelled = vectors.join(labels.select(STATION, "cluster"), STATION)
+    value = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(labelled)
+    return vectors.sparkSession.createDataFrame([(float(value),)], "silhouette double")
+
+
 def pca_projection(segmentation: Segmentation) -> DataFrame:
     """First two principal components of the scaled features, with the cluster."""
     model = PCA(k=2, inputCol="features", outputCol="pc").fit(segmentation.vectors)

@@ -42,26 +42,35 @@ class Frame:
     temperature: str = "temperature_degc"
 
 
-def large_stations(df: DataFrame, frame: Frame, max_rows: int) -> DataFrame | None:
-    """Stations to cut, with time span and slice count; none if every station fits one task.
+@dataclass(frozen=True)
+class Sizes:
+    """Stations to cut (none if every station fits one task), and the time of the last session of all."""
+
+    large: DataFrame | None
+    last_t: int | None
+
+
+def station_sizes(df: DataFrame, frame: Frame, max_rows: int) -> Sizes:
+    """Count sessions per station; the large ones come with time span and slice count.
 
-    At most ``SHARE`` rows by construction, so the table can be broadcast.
+    They are at most ``SHARE`` rows by construction, so the table can be broadcast.
     """
     counts = df.groupBy(frame.key).agg(
         F.count(F.lit(1)).alias("n"),
         F.min(epoch_micros(frame.ts)).alias("first_t"),
         F.max(epoch_micros(frame.ts)).alias("last_t"),
     )
-    total, biggest = counts.agg(F.sum("n"), F.max("n")).first()
+    total, biggest, last_t = counts.agg(F.sum("n"), F.max("n"), F.max("last_t")).first()
     limit = max(max_rows, (total or 0) // SHARE)
     if (biggest or 0) <= limit:
-        return None
-    return counts.filter(F.col("n") > limit).select(
+        return Sizes(None, last_t)
+    large = counts.filter(F.col("n") > limit).select(
         F.col(frame.key).alias("_large_key"),
         "first_t",
         (F.col("last_t") - F.col("first_t") + 1).alias("span"),
         F.ceil(F.col("n") * SLICES_PER_LIMIT / limit).alias("slices"),
     )
+    return Sizes(large, last_t)
 
 
 def _slice_number(t: Column) -> Column:
@@ -84,7 +93,7 @@ def _with_slices(events: DataFrame, large: DataFrame, frame: Frame) -> DataFrame
 def previous_session(df: DataFrame, frame: Frame = Frame(), max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Adds minutes since the previous session of the station, and that session's duration."""
     timed = df.withColumn("_t", epoch_micros(frame.ts))
-    large = large_stations(df, frame, max_rows)
+    large = station_sizes(df, frame, max_rows).large
     here = F.struct(F.col("_t").alias("t"), F.col(frame.minutes).alias("minutes"))
     if large is None:
         before = F.lag(here).over(Window.partitionBy(frame.key).orderBy("_t", frame.order))
@@ -116,7 +125,7 @@ def _previous_columns(df: DataFrame) -> DataFrame:
 
 # --- all station context features -----------------------------------------------------------------
 
-def _events(df: DataFrame, frame: Frame, with_row: bool = True) -> DataFrame:
+def _events(df: DataFrame, frame: Frame, last_t: int | None, with_row: bool = True) -> DataFrame:
     """One row per session plus two narrow markers for when it leaves the windows.
 
     The session's own columns travel in ``_row`` on the session row only. The three rows come from one
@@ -145,7 +154,7 @@ def _events(df: DataFrame, frame: Frame, with_row: bool = True) -> DataFrame:
     zero, none = F.lit(0).cast("bigint"), F.lit(0.0)
     m, c = F.coalesce(minutes, none), F.coalesce(temperature, none)
     one = F.lit(1).cast("bigint")
-    return df.select(
+    events = df.select(
         F.col(frame.key),
         F.inline(F.array(
             event(SESSION, t, one, m, known, c),
@@ -153,6 +162,8 @@ def _events(df: DataFrame, frame: Frame, with_row: bool = True) -> DataFrame:
             event(LEAVES_MONTH, t + F.lit(30 * DAY_MICROS), zero, none, -known, -c),
         )),
     )
+    # A marker after the last session of all changes no row.
+    return events.filter((F.col("_kind") == SESSION) | (F.col("_t") <= F.lit(last_t)))
 
 
 RUNNING = ["_n7", "_m7", "_n30", "_t30"]
@@ -165,11 +176,12 @@ def station_context(df: DataFrame, frame: Frame = Frame(), max_rows: int = MAX_G
     earlier events, which gives exactly ``[t-7d, t)``.
     """
     df = df.filter(F.col(frame.key).isNotNull())
-    events = _events(df, frame)
-    large = large_stations(df, frame, max_rows)
+    sizes = station_sizes(df, frame, max_rows)
+    large = sizes.large
+    events = _events(df, frame, sizes.last_t)
     group = [frame.key]
     if large is not None:
-        narrow = _with_slices(_events(df, frame, with_row=False), large, frame)
+        narrow = _with_slices(_events(df, frame, sizes.last_t, with_row=False), large, frame)
         events = _carry_forward(_with_slices(events, large, frame), narrow, frame)
         group.append("_slice")
 

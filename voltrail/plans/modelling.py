@@ -345,6 +345,25 @@ def _(spark, sf_dir):
     return G.silhouette(spark, segmentation(spark, sf_dir).vectors)
 
 
+DISTANCE = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in SEGMENT_FEATURES)
+QUALITY = {
+    "station_table": STATION_FEATURES,
+    "scaled": f"SELECT charging_station_id, {ZSCORES} FROM station_table f",
+    "placed": "SELECT * FROM scaled JOIN labels USING (charging_station_id)",
+    "nearness": "SELECT a.charging_station_id, a.cluster AS own, b.cluster AS other, count(*) AS n, "
+                f"sum({DISTANCE}) AS d FROM placed a, placed b GROUP BY 1, 2, 3",
+    "separation": "SELECT charging_station_id, max(CASE WHEN own = other THEN d / nullif(n - 1, 0) END) AS inner_d, "
+                  "min(CASE WHEN own <> other THEN d / n END) AS outer_d FROM nearness GROUP BY 1",
+}
+
+
+@query("silhouette_of_labels", "SELECT avg(CASE WHEN inner_d IS NULL THEN 0e0 ELSE (outer_d - inner_d) / "
+       "greatest(outer_d, inner_d) END) AS silhouette FROM separation", ("silhouette",), extra=QUALITY)
+def _(spark, sf_dir):
+    vectors = G.assemble(G.scale_features(R.station_features(sessions(spark, sf_dir))))
+    return G.label_silhouette(vectors, stored_labels(spark, sf_dir))
+
+
 @query("pca_projection")
 def _(spark, sf_dir):
     return G.pca_projection(segmentation(spark, sf_dir))

@@ -63,7 +63,7 @@ def test_load_clean_from_csv(spark, tmp_path):
         f.write(",".join(RAW_HEADERS) + "\n")
         for row in (values, dropped):
             f.write(",".join(row[h] for h in RAW_HEADERS) + "\n")
-    rows = IN.load_clean(spark, path).collect()
+    rows = IN.load_clean(spark, path, RAW_HEADERS).collect()
     assert len(rows) == 1
     row = rows[0]
     assert row["battery_capacity_kwh"] is None and row["charging_rate_kw"] is None and row["user_type"] is None
@@ -71,6 +71,15 @@ def test_load_clean_from_csv(spark, tmp_path):
     assert (row["start_hour"], row["day_of_week"], row["charging_duration_minutes"]) == (23, "Saturday", 90.0)
 
 
+def test_columns_follow_the_header_row(spark, tmp_path):
+    path = str(tmp_path / "other.csv")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("Charging Duration (hours),User ID,Extra\n2.0,u1,x\nbad,u2,y\n")
+    assert [tuple(r) for r in IN.load_clean(spark, path).collect()] == [(2.0, "u1", "x", 120.0)]
+    with pytest.raises(Exception, match="(?i)header"):
+        IN.load_raw(spark, path, ["User ID", "Charging Duration (hours)", "Extra"]).collect()
+
+
 def test_missing_files_and_bad_input_fail(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         IN.load_raw(spark, str(tmp_path / "none.csv"))

@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voltrail.operators.cleaning import parse_times, prepare_dataset, session_date, standardize_columns
-from voltrail.schema import DAILY_SCHEMA, RAW_HEADERS, START, STATION, text_schema
+from voltrail.schema import DAILY_SCHEMA, START, STATION, text_schema
 
 # Text that stands for a missing cell in a raw file.
 MISSING_MARKS = ["", "NA", "N/A", "n/a", "NaN", "nan", "-nan", "-NaN", "null", "NULL", "None", "<NA>", "#N/A", "#NA"]
@@ -24,22 +24,35 @@ def path_exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
-def load_raw(spark: SparkSession, path: str, headers: Sequence[str] = RAW_HEADERS) -> DataFrame:
-    """Raw CSV with header, every column as text and missing marks as null. A missing file fails at once."""
+def _read_text(spark: SparkSession, path: str, headers: Sequence[str] | None) -> DataFrame:
+    """All columns as text, named by the header row; nothing is inferred from the data.
+
+    Given ``headers``, the header row is not read ahead but must agree with them in every file.
+    """
+    if headers is None:
+        return spark.read.csv(path, header=True)
+    return spark.read.schema(text_schema(list(headers))).csv(path, header=True, enforceSchema=False)
+
+
+def load_raw(spark: SparkSession, path: str, headers: Sequence[str] | None = None) -> DataFrame:
+    """Raw CSV with header, every column as text and missing marks as null. A missing file fails at once.
+
+    Pass ``RAW_HEADERS`` to insist on the usual columns.
+    """
     if not path_exists(spark, path):
         raise FileNotFoundError(f"Missing file: {path}")
-    raw = spark.read.schema(text_schema(list(headers))).csv(path, header=True, enforceSchema=False)
+    raw = _read_text(spark, path, headers)
     return raw.select(*[
         F.when(~F.col(f"`{c}`").isin(MISSING_MARKS), F.col(f"`{c}`")).alias(c) for c in raw.columns
     ])
 
 
-def load_dataset(spark: SparkSession, path: str, headers: Sequence[str] = RAW_HEADERS) -> DataFrame:
+def load_dataset(spark: SparkSession, path: str, headers: Sequence[str] | None = None) -> DataFrame:
     """Raw CSV with normalised headers and typed time columns."""
     return load_raw(spark, path, headers).transform(standardize_columns).transform(parse_times)
 
 
-def load_clean(spark: SparkSession, path: str, headers: Sequence[str] = RAW_HEADERS) -> DataFrame:
+def load_clean(spark: SparkSession, path: str, headers: Sequence[str] | None = None) -> DataFrame:
     return prepare_dataset(load_dataset(spark, path, headers))
 
 
@@ -47,10 +60,10 @@ def read_daily(spark: SparkSession, path: str, parse_dates: bool = True) -> Data
     """Stored daily aggregate (CSV); the date column typed, or left as text."""
     if not path_exists(spark, path):
         raise FileNotFoundError(f"Missing daily aggregate file: {path}")
-    text = spark.read.schema(text_schema(DAILY_SCHEMA.fieldNames())).csv(path, header=True, enforceSchema=False)
-    kinds = {f.name: f.dataType for f in DAILY_SCHEMA.fields}
+    text = _read_text(spark, path, None)
+    kinds = {f.name: f.dataType for f in DAILY_SCHEMA.fields if f.name in text.columns}
     if not parse_dates:
-        kinds.pop("session_date")
+        kinds.pop("session_date", None)
     return text.withColumns({c: F.col(c).cast(k) for c, k in kinds.items()})
 
 

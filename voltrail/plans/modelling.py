@@ -6,8 +6,9 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from voltrail.models import duration as D, heuristic as H, preprocess as P, segments as G
+from voltrail.models import duration as D, forecast as M, heuristic as H, preprocess as P, segments as G
 from voltrail.operators import joins as J, reports as R, tables as T
+from voltrail.plans.forecasting import STATION_FIT, station_days
 from voltrail.plans.history import FEATURES, labelled_features, stored_labels
 from voltrail.plans.registry import once, query
 from voltrail.plans.reporting import FEATURE_DOUBLES, STATION_FEATURES
@@ -367,3 +368,31 @@ def _(spark, sf_dir):
 @query("pca_projection")
 def _(spark, sf_dir):
     return G.pca_projection(segmentation(spark, sf_dir))
+
+
+REPORT_TABLES = {
+    **STATION_FIT, **ESTIMATE, **RULE_SEGMENTS,
+    "estimate_errors": f"SELECT avg(abs({ERROR})) AS mae, sqrt(avg({ERROR} * {ERROR})) AS rmse, 1 - sum({ERROR} * {ERROR}) "
+                       "/ (var_pop(charging_duration_minutes) * count(*)) AS r2 FROM session_estimates",
+    "rule_profile": "SELECT cluster, " + ", ".join(f"round_even(avg({c}), 2) AS {c}" for c in SEGMENT_FEATURES)
+                    + " FROM segments GROUP BY 1",
+}
+MEANS_FORMAT = " | ".join(["%.2f"] * len(SEGMENT_FEATURES))
+
+
+@query("report_tables", "SELECT 'forecast' AS report, printf('| %s | %d | %.2f | %.2f | %s |', charging_station_id, train_rows, "
+       "mae, rmse, CASE WHEN mape IS NULL THEN 'n/a' ELSE printf('%.3f', mape) END) AS line FROM st_metrics UNION ALL SELECT "
+       "'duration', printf('| median_estimate | %.2f | %.2f | %.3f |', mae, rmse, r2) FROM estimate_errors UNION ALL SELECT "
+       f"'segments', printf('| %d | {MEANS_FORMAT} |', cluster, {', '.join(SEGMENT_FEATURES)}) FROM rule_profile",
+       extra=REPORT_TABLES)
+def _(spark, sf_dir):
+    """The lines of the three report tables: forecast, duration (median estimates) and segments (rule labels)."""
+    errors = H.eval_metrics(session_estimates(spark, sf_dir)).withColumns(
+        {"place": F.lit(0), "model": F.lit("median_estimate")})
+    tables = {
+        "forecast": T.forecast_table(M.metrics(station_days(spark, sf_dir))),
+        "duration": T.duration_table(errors),
+        "segments": T.segment_table(G.cluster_profile(rule_segments(spark, sf_dir))),
+    }
+    parts = [table.select(F.lit(name).alias("report"), "line") for name, table in tables.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

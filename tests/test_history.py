@@ -92,8 +92,26 @@ def test_cut_stations_are_found_and_bounded(to_spark):
     rows = skewed_rows()
     df = to_spark(rows, SCHEMA)
     assert W.station_sizes(df, W.Frame(), 10_000).large is None
-    large = W.station_sizes(df, W.Frame(), 100).large.collect()
-    assert [r["_large_key"] for r in large] == ["hot"] and large[0]["slices"] > 1
+    sizes = W.station_sizes(df, W.Frame(), 100)
+    assert [r["_large_key"] for r in sizes.large.collect()] == ["hot"]
+    hot = rows[rows[STATION] == "hot"]
+    assert sizes.spans.count() == hot[START].dt.date.nunique()
+
+
+def test_a_busy_day_is_cut_finely(to_spark):
+    """Most sessions of the hot station on one day of forty: no slice exceeds the row limit."""
+    rng = np.random.default_rng(4)
+    n = 3000
+    seconds = np.where(rng.random(n) < 0.9, rng.integers(0, 86400, n), rng.integers(0, 40 * 86400, n))
+    rows = skewed_rows(n)
+    rows[START] = pd.Timestamp("2024-01-01") + pd.to_timedelta(seconds, "s")
+    df = to_spark(rows, SCHEMA).withColumn("_t", W.epoch_micros(START))
+    sizes = W.station_sizes(df, W.Frame(), 300)
+    slices = W._with_slices(df, sizes, W.Frame()).filter("_is_large").groupBy("_slice").count().toPandas()
+    assert slices["count"].sum() == (rows[STATION] == "hot").sum() and slices["count"].max() < 300
+    a = collected(W.previous_session(to_spark(rows, SCHEMA), max_rows=300))
+    b = collected(W.previous_session(to_spark(rows, SCHEMA)))
+    pd.testing.assert_frame_equal(a, b)
 
 
 def test_no_sessions(spark):

@@ -5,8 +5,8 @@ start and a marker takes it away when it leaves the window. A running total is l
 a sliding frame would re-read the whole window for every row.
 
 A station's rows are ordered in one task only while they are few. Larger stations are cut in time
-slices: each slice is summed (partial aggregation), the sums of earlier slices are carried forward
-over the few slice rows, and every slice is then ordered on its own.
+slices, more of them on busy days: each slice is summed (partial aggregation), the sums of earlier
+slices are carried forward over the few slice rows, and every slice is then ordered on its own.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voltrail.functions.scalar import epoch_micros
 from voltrail.schema import MINUTES, ROW_ID, START, STATION
+from voltrail.session import cut_lineage
 
 DAY_MICROS = 86_400_000_000
 WEEK_MINUTES = 7 * 24 * 60
@@ -27,6 +28,9 @@ MAX_GROUP_ROWS = 1_000_000
 # ... or with more than 1/SHARE of all sessions, whichever is larger: so at most SHARE stations are cut.
 SHARE = 10_000
 SLICES_PER_LIMIT = 8
+MAX_SPANS = 100_000
+# Above the parts of any span, as there are at most SLICES_PER_LIMIT * SHARE of them.
+MOST_PARTS = 1 << 20
 
 SESSION, LEAVES_WEEK, LEAVES_MONTH = 0, 1, 2
 
@@ -44,62 +48,83 @@ class Frame:
 
 @dataclass(frozen=True)
 class Sizes:
-    """Stations to cut (none if every station fits one task), and the time of the last session of all."""
+    """Stations to cut (none if every station fits one task) and how.
+
+    ``spans`` gives the parts per station and calendar span of ``unit`` microseconds; ``last_t`` is the
+    time of the last session of all.
+    """
 
-    large: DataFrame | None
     last_t: int | None
+    large: DataFrame | None = None
+    spans: DataFrame | None = None
+    unit: int = DAY_MICROS
+
+
+def _span_number(unit: int) -> Column:
+    return F.floor(F.col("_t") / F.lit(unit)).cast("bigint")
 
 
 def station_sizes(df: DataFrame, frame: Frame, max_rows: int) -> Sizes:
-    """Count sessions per station; the large ones come with time span and slice count.
+    """Count sessions per station, and per day for the large ones, so that busy days get more slices.
 
-    They are at most ``SHARE`` rows by construction, so the table can be broadcast.
+    Large stations are at most ``SHARE`` by construction. The span is a day, or so many days that there
+    are at most about ``MAX_SPANS`` rows. Both tables can be broadcast.
     """
-    counts = df.groupBy(frame.key).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(epoch_micros(frame.ts)).alias("first_t"),
-        F.max(epoch_micros(frame.ts)).alias("last_t"),
+    timed = df.select(frame.key, epoch_micros(frame.ts).alias("_t"))
+    counts = timed.groupBy(frame.key).agg(
+        F.count(F.lit(1)).alias("n"), F.min("_t").alias("first_t"), F.max("_t").alias("last_t")
     )
-    total, biggest, last_t = counts.agg(F.sum("n"), F.max("n"), F.max("last_t")).first()
+    total, biggest, first_t, last_t = counts.agg(F.sum("n"), F.max("n"), F.min("first_t"), F.max("last_t")).first()
     limit = max(max_rows, (total or 0) // SHARE)
     if (biggest or 0) <= limit:
-        return Sizes(None, last_t)
-    large = counts.filter(F.col("n") > limit).select(
-        F.col(frame.key).alias("_large_key"),
-        "first_t",
-        (F.col("last_t") - F.col("first_t") + 1).alias("span"),
-        F.ceil(F.col("n") * SLICES_PER_LIMIT / limit).alias("slices"),
+        return Sizes(last_t)
+    large = cut_lineage(counts.filter(F.col("n") > limit).select(
+        F.col(frame.key).alias("_large_key"), F.col("last_t").alias("_large_last")
+    ))
+    days = (last_t - first_t) // DAY_MICROS + 1
+    unit = DAY_MICROS * max(1, -(-large.count() * days // MAX_SPANS))
+    spans = (
+        timed.join(F.broadcast(large), F.col(frame.key) == F.col("_large_key"))
+        .groupBy("_large_key", _span_number(unit).alias("_span"))
+        .agg(F.ceil(F.count(F.lit(1)) * SLICES_PER_LIMIT / limit).alias("_parts"))
     )
-    return Sizes(large, last_t)
-
-
-def _slice_number(t: Column) -> Column:
-    """Monotone in time; 0 for stations that are not cut."""
-    number = F.floor((t - F.col("first_t")) / F.col("span") * F.col("slices"))
-    return F.coalesce(number, F.lit(0)).cast("bigint")
+    return Sizes(last_t, large, cut_lineage(spans.withColumnRenamed("_large_key", "_span_key")), unit)
 
 
-def _with_slices(events: DataFrame, large: DataFrame, frame: Frame) -> DataFrame:
-    marked = events.join(F.broadcast(large), events[frame.key].eqNullSafe(large["_large_key"]), "left")
+def _with_slices(events: DataFrame, sizes: Sizes, frame: Frame) -> DataFrame:
+    """Adds a slice number that is monotone in time; 0 for stations that are not cut."""
+    key = F.col(frame.key)
+    marked = events.join(F.broadcast(sizes.large), key == F.col("_large_key"), "left")
     # Markers after the last session of a station change no row; dropped, they cannot pile up in a slice.
-    useful = marked.filter(F.col("span").isNull() | (F.col("_t") < F.col("first_t") + F.col("span")))
-    return useful.withColumn("_slice", _slice_number(F.col("_t"))).withColumn(
-        "_is_large", F.col("slices").isNotNull()
-    ).drop("_large_key", "first_t", "span", "slices")
+    useful = marked.filter(F.coalesce(F.col("_t") <= F.col("_large_last"), F.lit(True)))
+    number = _span_number(sizes.unit)
+    found = useful.withColumn("_number", number).join(
+        F.broadcast(sizes.spans), (key == F.col("_span_key")) & (F.col("_number") == F.col("_span")), "left"
+    )
+    part = F.floor((F.col("_t") - F.col("_number") * sizes.unit) / sizes.unit * F.coalesce("_parts", F.lit(1)))
+    is_large = F.col("_large_key").isNotNull()
+    slice_number = F.when(is_large, F.col("_number") * MOST_PARTS + part).otherwise(0).cast("bigint")
+    return found.withColumns({"_slice": slice_number, "_is_large": is_large}).drop(
+        "_large_key", "_large_last", "_number", "_span_key", "_span", "_parts"
+    )
 
 
 # --- previous session -----------------------------------------------------------------------------
 
 def previous_session(df: DataFrame, frame: Frame = Frame(), max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Adds minutes since the previous session of the station, and that session's duration."""
+    """Adds minutes since the previous session of the station, and that session's duration.
+
+    Rows with a null station are dropped.
+    """
+    df = df.filter(F.col(frame.key).isNotNull())
     timed = df.withColumn("_t", epoch_micros(frame.ts))
-    large = station_sizes(df, frame, max_rows).large
+    sizes = station_sizes(df, frame, max_rows)
     here = F.struct(F.col("_t").alias("t"), F.col(frame.minutes).alias("minutes"))
-    if large is None:
+    if sizes.large is None:
         before = F.lag(here).over(Window.partitionBy(frame.key).orderBy("_t", frame.order))
         return _previous_columns(timed.withColumn("_before", before)).drop("_t", "_before")
 
-    sliced = _with_slices(timed, large, frame)
+    sliced = _with_slices(timed, sizes, frame)
     last_of_slice = sliced.filter("_is_large").groupBy(frame.key, "_slice").agg(
         F.max_by(here, F.struct("_t", frame.order)).alias("_last")
     )
@@ -109,7 +134,7 @@ def previous_session(df: DataFrame, frame: Frame = Frame(), max_rows: int = MAX_
         F.lag("_last").over(Window.partitionBy(frame.key).orderBy("_slice")).alias("_carried"),
     )
     joined = sliced.join(
-        F.broadcast(carried), sliced[frame.key].eqNullSafe(carried["_key"]) & (sliced["_slice"] == carried["_s"]), "left"
+        F.broadcast(carried), (sliced[frame.key] == carried["_key"]) & (sliced["_slice"] == carried["_s"]), "left"
     )
     order = Window.partitionBy(frame.key, "_slice").orderBy("_t", frame.order)
     with_before = joined.withColumn("_before", F.coalesce(F.lag(here).over(order), F.col("_carried")))
@@ -177,12 +202,11 @@ def station_context(df: DataFrame, frame: Frame = Frame(), max_rows: int = MAX_G
     """
     df = df.filter(F.col(frame.key).isNotNull())
     sizes = station_sizes(df, frame, max_rows)
-    large = sizes.large
     events = _events(df, frame, sizes.last_t)
     group = [frame.key]
-    if large is not None:
-        narrow = _with_slices(_events(df, frame, sizes.last_t, with_row=False), large, frame)
-        events = _carry_forward(_with_slices(events, large, frame), narrow, frame)
+    if sizes.large is not None:
+        narrow = _with_slices(_events(df, frame, sizes.last_t, with_row=False), sizes, frame)
+        events = _carry_forward(_with_slices(events, sizes, frame), narrow, frame)
         group.append("_slice")
 
     is_session = F.col("_kind") == SESSION
@@ -196,7 +220,7 @@ def station_context(df: DataFrame, frame: Frame = Frame(), max_rows: int = MAX_G
         "_past_m": F.sum("_minutes").over(in_order),
     })
     totals = ordered.withColumns({c + "_w": F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in RUNNING})
-    if large is not None:
+    if sizes.large is not None:
         totals = totals.withColumns({
             "_before": F.coalesce("_before", "_c_last"),
             "_past_n": F.col("_past_n") + F.coalesce("_c_past_n", F.lit(0)),

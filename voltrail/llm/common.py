@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voltrail.session import scratch_path, shared_dir
@@ -28,6 +30,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tokenizer_path(name: str) -> str:
+    """A vocabulary file of the installed package of public tokenizers, or of the folder ``VOLTRAIL_TOKENIZERS`` names."""
+    folder = os.environ.get("VOLTRAIL_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def text_of(name: str) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -19,18 +19,16 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from voltrail.llm.common import text_of
+from voltrail.llm.common import arrow_map, publish, text_of
 from voltrail.llm.lexicon import Lexicon, compile_lexicon
-from voltrail.session import scratch_path
 
 #: Frequent words in the lexicon (a bound on its size, about 40 bytes each).
 LEXICON_WORDS = 50000
@@ -156,27 +154,15 @@ def word_counts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Data
                     seen = Counter()
         yield from flush(seen)
 
-    return docs.select(text_of(text_col).alias("text")).mapInArrow(count, "word string, n long") \
+    return arrow_map(docs.select(text_of(text_col).alias("text")), count, "word string, n long") \
         .groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def publish(spark: SparkSession, data: bytes, label: str) -> str:
-    """Write a file to the shared folder and have Spark hand it to all executors; its name there."""
-    path = f"{scratch_path(spark, label)}/{label}-{uuid.uuid4().hex}.bin"
-    jvm, context = spark._jvm, spark.sparkContext
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    out = place.getFileSystem(context._jsc.hadoopConfiguration()).create(place)
-    out.write(bytearray(data))
-    out.close()
-    context.addFile(path)
-    return path.rsplit("/", 1)[1]
-
-
 def build_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON_WORDS, text_col: str = "text") -> str:
     """Compile the ``size`` most frequent words of the corpus; the name of the published file."""
     top = word_counts(docs, tokenizer, text_col).orderBy(F.desc("n"), "word").limit(size).select("word").collect()
     words = sorted(row.word.encode() for row in top)
-    return publish(docs.sparkSession, compile_lexicon(words, [merger(tokenizer).merge(w) for w in words]), "lexicon")
+    return publish(docs.sparkSession, compile_lexicon(words, [merger(tokenizer).merge(w) for w in words]), "lexicon.bin")
 
 
 class Encoder:
@@ -229,7 +215,8 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    return arrow_map(texts, run, f"doc_id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -241,7 +228,7 @@ def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col:
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"doc_id {kind}, text string")
+    return arrow_map(encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")), run, f"doc_id {kind}, text string")
 
 
 def digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
@@ -274,5 +261,5 @@ def digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                                   ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")) \
-        .mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    return arrow_map(texts, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

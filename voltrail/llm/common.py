@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
+import uuid
+import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -24,6 +28,43 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def publish(spark: SparkSession, data: bytes, name: str, code: bool = False) -> str:
+    """Write a file to the shared folder and have Spark hand it to all executors; its name there."""
+    stem, extension = os.path.splitext(name)
+    path = f"{scratch_path(spark, stem)}/{stem}-{uuid.uuid4().hex}{extension}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place)
+    out.write(bytearray(data))
+    out.close()
+    (spark.sparkContext.addPyFile if code else spark.sparkContext.addFile)(path)
+    return path.rsplit("/", 1)[1]
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give the package to the executors' Python, once for each application."""
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(root)))
+    publish(spark, packed.getvalue(), "voltrail.zip", code=True)
+    _SHIPPED.add(application)
+
+
+def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    ship_code(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A small table on reliable storage."""
     shared_dir(df.sparkSession)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltrail.llm import bpe, exact_dedup, mixing, url_filter
+from voltrail.llm import bpe, exact_dedup, language, mixing, url_filter, wordpiece
 from voltrail.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,15 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tested against the ``tokenizers`` library."""
     return bpe.digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op6_token_counts")
+def piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tested against the greedy search."""
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"), *wordpiece.pieces_of(tokenizer_path("piece_bpe_32k.model")))
+
+
+@query("op10_language")
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tested by its accuracy on held-out documents."""
+    return language.identify(table(spark, sf_dir, "documents"))

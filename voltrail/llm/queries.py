@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltrail.llm import bpe, exact_dedup, language, mixing, url_filter, wordpiece
+from voltrail.llm import bpe, exact_dedup, language, mixing, near_vectors, url_filter, wordpiece
 from voltrail.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,9 @@ def piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tested by its accuracy on held-out documents."""
     return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op9_near_vectors")
+def near_duplicate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of 0.95 or more. Tested against all pairs."""
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltrail.llm import bpe, exact_dedup, language, mixing, near_vectors, url_filter, wordpiece
+from voltrail.llm import bpe, exact_dedup, html_text, language, mixing, near_vectors, url_filter, wordpiece
 from voltrail.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,9 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_duplicate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine of 0.95 or more. Tested against all pairs."""
     return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_html_text")
+def html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tested against pages whose article is known."""
+    return html_text.extract(table(spark, sf_dir, "pages"))

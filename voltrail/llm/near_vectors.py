@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from voltrail.llm.cells import cells_of
 from voltrail.llm.common import arrow_map, store
 from voltrail.llm.components import components
 
@@ -249,17 +250,7 @@ def links(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
         .withColumn("parts", F.greatest(F.lit(1), F.ceil(F.when(F.col("one_core"), F.col("n") - F.col("in_core")).otherwise(F.col("n")) / BLOCK)).cast("int")) \
         .withColumn("core_parts", F.when(F.col("one_core"), F.ceil(F.col("in_core") / BLOCK).cast("int")).otherwise(0)) \
         .select(*key, "one_core", "parts", "core_parts")
-    # cells (x, y) of a bucket: x, y are parts of the others; y >= parts is a part of the single core
-    part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
-    core_part = F.pmod(F.xxhash64("row"), F.greatest("core_parts", F.lit(1))).cast("int") + F.col("parts")
-    in_core = F.col("one_core") & (F.col("core") >= 0)
-    others = F.sequence(F.lit(0), F.col("parts") - 1)
-    beyond = F.when(F.col("core_parts") > 0, F.sequence(F.col("parts"), F.col("parts") + F.col("core_parts") - 1)).otherwise(F.array().cast("array<int>"))
-    cells = F.when(in_core, F.transform(others, lambda x: F.struct(x.alias("x"), core_part.alias("y"), F.lit(1).alias("side")))) \
-        .otherwise(F.concat(
-            F.transform(others, lambda x: F.struct(F.least(x, part).alias("x"), F.greatest(x, part).alias("y"),
-                                                   F.when(x == part, 2).when(part < x, 0).otherwise(1).alias("side"))),
-            F.transform(beyond, lambda y: F.struct(part.alias("x"), y.alias("y"), F.lit(0).alias("side")))))
+    cells = cells_of("row", F.col("one_core") & (F.col("core") >= 0))
     dealt = places.join(buckets, key).withColumn("c", F.explode(cells)) \
         .select("row", "table", "visitor", F.col("c.side").alias("side"), F.xxhash64(*key, "c.x", "c.y").alias("cell"))
     # the vectors travel once for each cell, and only to cells with something to compare

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltrail.llm import bpe, exact_dedup, html_text, language, mixing, near_vectors, url_filter, wordpiece
+from voltrail.llm import bpe, exact_dedup, html_text, jaccard, language, mixing, near_vectors, url_filter, wordpiece
 from voltrail.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,9 @@ def near_duplicate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tested against pages whose article is known."""
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op8_jaccard_join")
+def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-word shingles, similarity 0.8. Tested against all pairs."""
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))

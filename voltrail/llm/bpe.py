@@ -21,7 +21,9 @@ import json
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -232,19 +234,23 @@ def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col:
 
 
 def digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-           lexicon_words: int = LEXICON_WORDS) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256; encoded and decoded in one pass."""
+           lexicon_words: int = LEXICON_WORDS, keep_ids: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256; encoded and decoded in one pass.
+
+    ``keep_ids`` adds the ids themselves as an array.
+    """
     name = build_lexicon(docs, tokenizer, lexicon_words, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(merger(tokenizer), lexicon(name))
         known: dict = {}
 
-        def shape(ids: list[int]) -> tuple[int, str, str]:
-            return len(ids), " ".join(map(str, ids)), encoder.decode(ids)
+        def shape(ids: list[int]) -> tuple:
+            return len(ids), " ".join(map(str, ids)), encoder.decode(ids), ids if keep_ids else None
 
         for batch in batches:
             rows: list[tuple[int, str, str]] = []
+            whole: list[np.ndarray] = []
             for text in texts_of(batch, 1):
                 n, ids, decoded, first = 0, hashlib.sha256(), hashlib.sha256(), True
                 made = list(encoder.pieces(text, shape, known))
@@ -256,10 +262,14 @@ def digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                     ids.update((gap + " ".join([p[1] for p in part])).encode())
                     decoded.update((gap + " ".join([p[2] for p in part])).encode())
                 rows.append((n, ids.hexdigest(), decoded.hexdigest()))
-            yield pa.record_batch([batch.column(0), pa.array([r[0] for r in rows], pa.int64()),
-                                   pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())],
-                                  ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                if keep_ids:
+                    whole.append(np.fromiter(chain.from_iterable(p[3] for p in made), np.int32, n))
+            columns = [batch.column(0), pa.array([r[0] for r in rows], pa.int64()),
+                       pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
+            if keep_ids:
+                columns.append(pa.array(whole, pa.list_(pa.int32())))
+            yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][:len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return arrow_map(texts, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(texts, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)

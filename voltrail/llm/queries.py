@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltrail.llm import bpe, exact_dedup, html_text, jaccard, language, mixing, near_vectors, url_filter, wordpiece
+from voltrail.llm import bpe, exact_dedup, html_text, jaccard, language, mixing, near_vectors, quality, url_filter, wordpiece
 from voltrail.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,9 @@ def html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity 0.8. Tested against all pairs."""
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@query("op3_quality")
+def quality_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are the sources, paths the languages within a source. Tested by its accuracy on labels it was not fitted on."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -19,7 +19,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voltrail.llm.common import lower_ascii, text_of
+from voltrail.llm.common import lower_ascii, store, text_of
+from voltrail.llm.empirical_bayes import overall_rate, shrunk
 
 Rule = tuple[str, str, str]  # host, start of the path, allow or block
 
@@ -28,8 +29,6 @@ LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "org.au", "co.n
                  "com.br", "com.mx", "com.ar", "com.tr", "com.cn", "github.io", "blogspot.com")
 #: A host is blocked when its bad rate is above the threshold with this many standard deviations to spare.
 THRESHOLD, DEVIATIONS = 0.5, 1.645
-#: Pages that a prior is worth at least and at most.
-WEAKEST, STRONGEST = 0.5, 10000.0
 
 
 def host_of(url: Column) -> Column:
@@ -61,34 +60,18 @@ def domain_of(host: Column, suffix: Column) -> Column:
     return F.when(F.size(parts) <= labels, host).otherwise(F.array_join(F.slice(parts, F.size(parts) - labels + 1, labels), "."))
 
 
-def _strength(level: DataFrame, parent_rate: str) -> DataFrame:
-    """One row: the worth in pages of the prior above this level's groups (n, bad), by the method of moments."""
-    p = F.col(parent_rate)
-    spread = F.sum(F.pow(F.col("bad") - F.col("n") * p, F.lit(2.0)) - F.col("n") * p * (1 - p))
-    room = F.sum(F.col("n") * (F.col("n") - 1) * p * (1 - p))
-    rho = F.least(F.greatest(F.coalesce(spread / F.nullif(room, F.lit(0.0)), F.lit(0.0)), F.lit(1 / (STRONGEST + 1))), F.lit(1 / (WEAKEST + 1)))
-    return level.agg((1 / rho - 1).alias("worth"))
-
-
-def _shrunk(level: DataFrame, parent_rate: str, rate: str) -> DataFrame:
-    """Adds the posterior mean of the level's groups below their parent's rate, and the pages it rests on."""
-    return level.crossJoin(F.broadcast(_strength(level, parent_rate))) \
-        .withColumn(rate, (F.col("bad") + F.col("worth") * F.col(parent_rate)) / (F.col("n") + F.col("worth"))) \
-        .withColumn("weight", F.col("n") + F.col("worth")).drop("worth")
-
-
 def reputation(outcomes: DataFrame, deviations: float = DEVIATIONS) -> DataFrame:
     """``outcomes``: (host, bad), bad 1, 0 or null for a page without label. One row per host: host, n, rate, low, high."""
     suffix = suffix_of(F.col("host"))
-    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")) \
-        .withColumn("suffix", suffix).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
+    hosts = store(outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")) \
+        .withColumn("suffix", suffix).withColumn("domain", domain_of(F.col("host"), F.col("suffix"))), "hosts")
     counts = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = hosts.groupBy("suffix", "domain").agg(*counts)
     suffixes = domains.groupBy("suffix").agg(*counts)
-    overall = suffixes.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1.0)).alias("all_rate"))
-    suffixes = _shrunk(suffixes.crossJoin(F.broadcast(overall)), "all_rate", "suffix_rate").select("suffix", "suffix_rate")
-    domains = _shrunk(domains.join(suffixes, "suffix"), "suffix_rate", "domain_rate").select("suffix", "domain", "domain_rate")
-    scored = _shrunk(hosts.join(domains, ["suffix", "domain"]), "domain_rate", "rate")
+    overall = suffixes.agg(overall_rate().alias("all_rate"))
+    suffixes = shrunk(suffixes.crossJoin(F.broadcast(overall)), "all_rate", "suffix_rate").select("suffix", "suffix_rate")
+    domains = shrunk(domains.join(suffixes, "suffix"), "suffix_rate", "domain_rate").select("suffix", "domain", "domain_rate")
+    scored = shrunk(hosts.join(domains, ["suffix", "domain"]), "domain_rate", "rate")
     margin = deviations * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("weight") + 1))
     return scored.select("host", "n", "rate", F.greatest(F.col("rate") - margin, F.lit(0.0)).alias("low"),
                          F.least(F.col("rate") + margin, F.lit(1.0)).alias("high"))

@@ -40,6 +40,33 @@ REMEMBERED = 200000
 BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NONE = 1 << 60
 
+# Code points of Unicode 16 that the tables of an older Python lack, as letters and as numbers, and lower
+# cases of Unicode 17 in the form first-last:distance. The tokenizers library has them.
+NEW_LETTERS = ("1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B-1138B 1138E-1138E "
+               "11390-113B5 113B7-113B7 113D1-113D1 113D3-113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF-18CFF "
+               "1E5D0-1E5ED 1E5F0-1E5F0")
+NEW_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+NEW_CASES = ("1C89-1C89:1 A7CB-A7CB:-A567 A7CC-A7CC:1 A7CE-A7CE:1 A7D2-A7D2:1 A7D4-A7D4:1 A7DA-A7DA:1 A7DC-A7DC:-A641 10D50-10D65:20 "
+             "16EA0-16EB8:1B")
+
+
+def _ranges(text: str) -> list[tuple[int, int]]:
+    return [tuple(int(x, 16) for x in part.split("-")) for part in text.split()]
+
+
+def _class(first_letter: str, new: str) -> str:
+    """The inside of a character class: code points of a general category, by Python's tables and the newer ones."""
+    known = [i for i in range(0x110000) if unicodedata.category(chr(i))[0] == first_letter]
+    edges = [i for i, (a, b) in enumerate(zip(known, known[1:])) if b != a + 1]
+    starts, ends = [0, *(i + 1 for i in edges)], [*edges, len(known) - 1]
+    spans = [(known[a], known[b]) for a, b in zip(starts, ends)] + _ranges(new)
+    return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in spans)
+
+
+def _cases() -> dict[int, int]:
+    spans = [(*_ranges(part.split(":")[0])[0], int(part.split(":")[1], 16)) for part in NEW_CASES.split()]
+    return {i: i + distance for first, last, distance in spans for i in range(first, last + 1)}
+
 
 def byte_letters() -> list[str]:
     """The letter that byte-level vocabularies use for each byte: itself if printable, else the next free one from U+0100."""
@@ -70,7 +97,14 @@ class Merger:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.special.items()}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.words = regex.compile(split["pattern"]["Regex"]).findall
+        pattern = split["pattern"]["Regex"]
+        for name, members in ((r"\p{L}", _class("L", NEW_LETTERS)), (r"\p{N}", _class("N", NEW_NUMBERS)), (r"\s", BLANK)):
+            pattern = regex.sub(r"\[[^]]*\]", lambda m: m[0].replace(name, members), pattern)
+        if regex.search(r"\\[psPS]", pattern):
+            raise ValueError("a pattern with classes outside brackets")
+        self.words = regex.compile(pattern).findall
+        self.cases = _cases()
+        self.new_case = regex.compile("[" + "".join(map(chr, self.cases)) + "]").search
         self.odd_chunks = regex.compile(f"[^{BLANK}]+").findall
 
     def chunks(self, text: str) -> list[str]:
@@ -78,6 +112,8 @@ class Merger:
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         text = text.replace("Σ", "σ").lower()  # letter by letter: no final sigma
+        if not text.isascii() and self.new_case(text):
+            text = text.translate(self.cases)
         # str.split also splits at four control characters that are not white space here
         return text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else self.odd_chunks(text)
 

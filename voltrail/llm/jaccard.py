@@ -10,7 +10,8 @@ common (a counter for each of ``BUCKETS`` hash buckets); these come last in the
 the same for all sets, so the counters need not be exact. Before the merge, sets that share a minimum hash are compared with
 one of them, and what links is joined to components. The short lists are then shuffled by token; lists that one
 class or one component fills are dropped, long lists are dealt out in cells, and no pair within a component is
-looked at again. Candidates are verified in groups around one set, whose members each travel once for it.
+looked at again. Candidates are judged in groups around one set: first by bitmaps, which bound the common tokens from above,
+then by the sets themselves.
 
 Tokens and classes are 64-bit hashes; two different classes get one key with a probability below n^2 / 2^64.
 
@@ -54,6 +55,24 @@ def key_of(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
+def bitmap_of(tokens: np.ndarray) -> bytes:
+    """A bit for each token, in a power of two of at least eight bits a token; folds to any smaller power by OR."""
+    bits = np.zeros(1 << max(6, int(8 * len(tokens) - 1).bit_length()), np.uint8)
+    bits[(tokens & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def may_reach(a: bytes, n: int, b: bytes, m: int, percent: int) -> bool:
+    """Whether sets of n and m tokens with these bitmaps may reach the similarity: a bit that one lacks is a token it lacks."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[:len(x) // 2] | x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] | y[len(y) // 2:]
+    most = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+    return (100 + percent) * most >= percent * (n + m)
+
+
 def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
@@ -63,19 +82,24 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """``docs``: (id, text). Rows (id, key, n, m: minimum hashes), and rows (bucket, seen) of common tokens with n = -1."""
+    """``docs``: (id, text). Rows (id, key, n, m: minimum hashes, b: bitmap), and rows (bucket, seen) of common tokens with n = -1.
+
+    A task gives the bitmap of a class once.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters, total, held, size = np.zeros(BUCKETS, np.int32), 0, [], 0
-        kind = None
+        kind, done = None, set()
         for batch in batches:
             kind = batch.column(0).type
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                keys, sizes, least = [], [], []
+                keys, sizes, least, maps = [], [], [], []
                 for text in part.column(1):
                     tokens = shingle_set(text.as_py().encode())
                     keys.append(key_of(tokens))
                     sizes.append(len(tokens))
+                    maps.append(bitmap_of(tokens) if keys[-1] not in done and len(tokens) else None)
+                    done.add(keys[-1])
                     least.append([int((tokens * turn).min()) - (1 << 63) for turn in _TURNS] if len(tokens) else [])
                     held.append(tokens >> np.uint64(64 - BUCKETS.bit_length() + 1))
                     size += len(tokens)
@@ -84,8 +108,8 @@ def described(docs: DataFrame) -> DataFrame:
                         total, held, size = total + size, [], 0
                 n = part.num_rows
                 yield pa.record_batch([part.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()),
-                                       pa.array(least, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())],
-                                      ["id", "key", "n", "m", "bucket", "seen"])
+                                       pa.array(least, pa.list_(pa.int64())), pa.array(maps, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())],
+                                      ["id", "key", "n", "m", "b", "bucket", "seen"])
         if held:
             counters += np.bincount(np.concatenate(held).astype(np.int64), minlength=BUCKETS).astype(np.int32)
             total += size
@@ -94,11 +118,11 @@ def described(docs: DataFrame) -> DataFrame:
             part = common[start:start + 50000]
             n = len(part)
             yield pa.record_batch([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.array(np.full(n, -1, np.int32)),
-                                   pa.nulls(n, pa.list_(pa.int64())), pa.array(part.astype(np.int32)), pa.array(counters[part])],
-                                  ["id", "key", "n", "m", "bucket", "seen"])
+                                   pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.binary()), pa.array(part.astype(np.int32)), pa.array(counters[part])],
+                                  ["id", "key", "n", "m", "b", "bucket", "seen"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return arrow_map(docs, run, f"id {kind}, key long, n int, m array<long>, bucket int, seen int")
+    return arrow_map(docs, run, f"id {kind}, key long, n int, m array<long>, b binary, bucket int, seen int")
 
 
 def publish_levels(found: DataFrame) -> str:
@@ -241,8 +265,7 @@ def needed_sets(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFra
             if sets:
                 yield _sets(keys, sets)
 
-    made = arrow_map(docs.select(bit.alias("bit"), "text"), run, "key long, tokens array<long>")
-    return store(made, "sets")
+    return arrow_map(docs.select(bit.alias("bit"), "text"), run, "key long, tokens array<long>")
 
 
 def _sets(keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -250,51 +273,64 @@ def _sets(keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(offsets, _signed(np.concatenate(sets)))], ["key", "tokens"])
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
-    pairs = store(pairs, "pairs")
-    both = pairs.select("a").union(pairs.select("b")).withColumnRenamed("a", "key")
-    degrees = both.groupBy("key").agg(F.count("*").alias("degree"))
-    # around the end that has more pairs; its set travels once for each part of them
+def _around(pairs: DataFrame) -> DataFrame:
+    """(cell, centre, key) of stored pairs: each around the end that has more pairs, at most about ``PART`` in a cell."""
+    degrees = pairs.select("a").union(pairs.select("b")).groupBy(F.col("a").alias("key")).agg(F.count("*").alias("degree"))
     da = degrees.select(F.col("key").alias("a"), F.col("degree").alias("da"))
     db = degrees.select(F.col("key").alias("b"), F.col("degree").alias("db"))
-    centred = store(pairs.join(da, "a").join(db, "b")
-                    .select(F.when(F.col("da") >= F.col("db"), F.col("a")).otherwise(F.col("b")).alias("centre"),
-                            F.when(F.col("da") >= F.col("db"), F.col("b")).otherwise(F.col("a")).alias("key"),
-                            F.greatest("da", "db").alias("degree"))
-                    .select("centre", "key", F.pmod(F.xxhash64("key"), F.ceil(F.col("degree") / PART)).alias("part")), "centred")
-    sets = needed_sets(docs, classes, both.distinct())
-    cell = F.xxhash64("centre", "part").alias("cell")
-    members = centred.select(cell, "centre", "key")
-    centres = centred.select(cell, "centre", F.col("centre").alias("key")).distinct()
-    once = sets.groupBy("key").agg(F.first("tokens").alias("tokens"))
-    loaded = members.unionByName(centres).join(once, "key") \
+    first = F.col("da") >= F.col("db")
+    part = F.pmod(F.xxhash64("key"), F.ceil(F.greatest("da", "db") / PART))
+    return store(pairs.join(da, "a").join(db, "b")
+                 .withColumns({"centre": F.when(first, F.col("a")).otherwise(F.col("b")), "key": F.when(first, F.col("b")).otherwise(F.col("a"))})
+                 .select(F.xxhash64("centre", part).alias("cell"), "centre", "key"), "around")
+
+
+def _judged(around: DataFrame, values: DataFrame, columns: str, judge) -> DataFrame:
+    """The pairs (a, b) that ``judge(centre's value, member's value)`` accepts. ``values``: (key, and the ``columns`` of a value).
+
+    A centre's value travels once for each of its cells and comes first in it.
+    """
+    members = around.select("cell", "centre", "key")
+    centres = around.select("cell", "centre", F.col("centre").alias("key")).distinct()
+    loaded = members.unionByName(centres).join(values, "key") \
         .withColumn("member", F.col("key") != F.col("centre")) \
-        .repartition("cell").sortWithinPartitions("cell", "centre", "member").select("cell", "centre", "key", "member", "tokens")
+        .repartition("cell").sortWithinPartitions("cell", "centre", "member").select("centre", "key", "member", *columns.split())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, centre = None, None
+        at, own = None, None
         for batch in batches:
-            centres, keys = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            member = batch.column(3).to_numpy(zero_copy_only=False)
-            values = batch.column(4).values.to_numpy().view(np.uint64)
-            offsets = batch.column(4).offsets.to_numpy()
+            centre, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            member = batch.column(2).to_numpy(zero_copy_only=False)
             a, b = [], []
             for i in range(batch.num_rows):
-                tokens = values[offsets[i]:offsets[i + 1]]
+                value = tuple(c[i] for c in batch.columns[3:])
                 if not member[i]:
-                    at, centre = centres[i], tokens.copy()
-                    continue
-                if at != centres[i]:
-                    continue
-                if reaches(tokens, centre, percent):
+                    at, own = centre[i], value
+                elif at == centre[i] and judge(own, value):
                     a.append(int(at))
-                    b.append(int(keys[i]))
+                    b.append(int(key[i]))
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return arrow_map(loaded, run, "a long, b long")
 
 
+def possible(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bitmaps, an eighth of the sets' size, leave the similarity possible."""
+    around = _around(store(pairs, "pairs"))
+    keys = around.select("key").union(around.select("centre")).distinct()
+    maps = rows.where("b is not null").select("key", "n", "b").join(keys, "key", "left_semi").dropDuplicates(["key"])
+    return _judged(around, maps, "n b", lambda x, y: may_reach(x[1].as_py(), x[0].as_py(), y[1].as_py(), y[0].as_py(), percent))
+
+
+def verified(docs: DataFrame, rows: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the similarity."""
+    left = store(possible(rows, pairs, percent).distinct(), "possible")
+    around = _around(left)
+    sets = needed_sets(docs, classes, around.select("key").union(around.select("centre")).distinct())
+    tokens = lambda x: x[0].values.to_numpy().view(np.uint64)
+    return _judged(around, sets, "tokens", lambda x, y: reaches(tokens(x), tokens(y), percent))
+
+
 def reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets reach the similarity: the smaller one's tokens are probed in the larger by binary search."""
     if len(a) > len(b):
@@ -345,9 +381,9 @@ def link_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Da
     """``docs``: (id, text). Returns rows (id, key, n) and (node, component) over keys that link."""
     found = store(described(docs), "described")
     levels = publish_levels(found)
-    rows = found.where("n >= 0").select("id", "key", "n", "m")
+    rows = found.where("n >= 0").select("id", "key", "n", "m", "b")
     classes = store(rows.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("m").alias("m")), "classes")
-    edges = store(verified(docs, classes, _stars(classes, percent), percent), "edges")
+    edges = store(verified(docs, rows, classes, _stars(classes, percent), percent), "edges")
     known = store(components(edges), "known")
     entries = postings(docs, levels, percent)
     # an uncommon token's list is looked at whole; entries of common ones are dealt by key and judged by the counts that follow
@@ -356,7 +392,7 @@ def link_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Da
     shared = entries.withColumn("salt", salt) \
         .withColumn("k0", F.min("key").over(of_token)).withColumn("k1", F.max("key").over(of_token)) \
         .where("common or k0 != k1").groupBy("token", "key").agg(F.first("place").alias("place"), F.first("n").alias("n"))
-    more = store(verified(docs, classes, _crossing(store(shared, "shared"), known, percent), percent), "edges")
+    more = store(verified(docs, rows, classes, _crossing(store(shared, "shared"), known, percent), percent), "edges")
     return rows.select("id", "key", "n"), components(edges.unionByName(more))
 
 

@@ -103,7 +103,7 @@ def _cluster(idf: np.ndarray, centroids: int, rounds: int):
         group = group.sort_values(["place", "text"], kind="stable")
         counts = [c for c in map(counts_of, group["text"]) if c is not None]
         if not counts:
-            return pd.DataFrame({"lang": [], "centroid": [], "nearest": []})
+            return pd.DataFrame({"lang": [], "centroid": [], "nearest": []}, dtype=object)
         rows = vectors(np.array(counts, np.float32), idf)
         # start: texts that are far from those already chosen
         chosen = [0]

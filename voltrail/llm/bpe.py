@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -29,13 +30,15 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
-from voltrail.llm.common import arrow_map, publish, text_of
+from voltrail.llm.common import arrow_map, publish, store, text_of
 from voltrail.llm.lexicon import Lexicon, compile_lexicon
 
-#: Frequent words in the lexicon (a bound on its size, about 40 bytes each).
-LEXICON_WORDS = 50000
-#: Chunks of text that a task remembers; it starts anew beyond that.
-REMEMBERED = 200000
+#: Most words in the lexicon (a bound on its size, about 40 bytes each), and how often each must occur.
+LEXICON_WORDS, LEXICON_COUNT = 50000, 8
+#: Chunks of text whose ids a worker remembers; it starts anew beyond that.
+REMEMBERED = 400000
+#: Letters of text that are encoded at a time, and bytes of a word that is merged in an array with others.
+AT_ONCE, IN_ARRAY = 4_000_000, 48
 #: White space of the tokenizer's pattern: the Unicode property, which lacks U+001C to U+001F.
 BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NONE = 1 << 60
@@ -102,7 +105,14 @@ class Merger:
             pattern = regex.sub(r"\[[^]]*\]", lambda m: m[0].replace(name, members), pattern)
         if regex.search(r"\\[psPS]", pattern):
             raise ValueError("a pattern with classes outside brackets")
-        self.words = regex.compile(pattern).findall
+        self.any_words = regex.compile(pattern).findall
+        plain = split["pattern"]["Regex"]
+        for name, members in ((r"\p{L}", "a-zA-Z"), (r"\p{N}", "0-9")):
+            plain = plain.replace(name, members)
+        self.ascii_words = re.compile(plain, re.ASCII).findall
+        keys = np.array(sorted(self.pairs), np.int64)
+        self.pair_keys, self.pair_values = keys, np.array([self.pairs[k] for k in keys.tolist()], np.int64)
+        self.inner_ids, self.last_ids = np.array(self.inner, np.int64), np.array(self.last, np.int64)
         self.cases = _cases()
         self.new_case = regex.compile("[" + "".join(map(chr, self.cases)) + "]").search
         self.odd_chunks = regex.compile(f"[^{BLANK}]+").findall
@@ -117,6 +127,12 @@ class Merger:
         # str.split also splits at four control characters that are not white space here
         return text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else self.odd_chunks(text)
 
+    def words(self, chunk: str) -> list[str]:
+        """Words of a chunk."""
+        if chunk.isalpha():
+            return [chunk]
+        return self.ascii_words(chunk) if chunk.isascii() else self.any_words(chunk)
+
     def segments(self, text: str) -> list[tuple[bool, str]]:
         """Parts of a text: (is a special token, part)."""
         if not self.specials or "<|" not in text and not self.specials.search(text):
@@ -140,6 +156,47 @@ class Merger:
                 values[i] = get(ids[i] << 20 | ids[i + 1], NONE)
         return ids
 
+    def _values(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        keys = (first << 20) | second
+        place = np.searchsorted(self.pair_keys, keys)
+        place[place == len(self.pair_keys)] = 0
+        return np.where((self.pair_keys[place] == keys) & (second >= 0), self.pair_values[place], NONE)
+
+    def merge_many(self, words: list[bytes]) -> list[list[int]]:
+        """``merge`` of many words: in each round all words make their next merge at once."""
+        out: list = [None] * len(words)
+        short = sorted((i for i, w in enumerate(words) if len(w) <= IN_ARRAY), key=lambda i: len(words[i]))
+        for i, word in enumerate(words):
+            if len(word) > IN_ARRAY:
+                out[i] = self.merge(word)
+        for start in range(0, len(short), 8192):
+            part = np.array(short[start:start + 8192])
+            sizes = np.array([len(words[i]) for i in part])
+            ids = np.full((len(part), int(sizes[-1]) + 1), -1, np.int64)
+            data = np.frombuffer(b"".join([words[i] for i in part]), np.uint8)
+            row = np.repeat(np.arange(len(part)), sizes)
+            ends = np.cumsum(sizes)
+            ids[row, np.arange(len(data)) - np.repeat(ends - sizes, sizes)] = self.inner_ids[data]
+            ids[np.arange(len(part)), sizes - 1] = self.last_ids[data[ends - 1]]
+            values = self._values(ids[:, :-1], ids[:, 1:])
+            column = np.arange(ids.shape[1])
+            while len(part):
+                at = values.argmin(axis=1)
+                best = values[np.arange(len(part)), at]
+                done = best == NONE
+                if done.any():
+                    for i, own in zip(part[done].tolist(), ids[done].tolist()):
+                        out[i] = own[:own.index(-1)]
+                    part, ids, values, at, best = part[~done], ids[~done], values[~done], at[~done], best[~done]
+                every = np.arange(len(part))
+                ids[:, :-1] = np.where(column[:-1] > at[:, None], ids[:, 1:], ids[:, :-1])
+                ids[every, at] = best & 0xFFFFF
+                values[:, :-1] = np.where(column[:-2] > at[:, None], values[:, 1:], values[:, :-1])
+                values[every, at] = self._values(ids[every, at], ids[every, at + 1])
+                left = at > 0
+                values[every[left], at[left] - 1] = self._values(ids[every[left], at[left] - 1], ids[every[left], at[left]])
+        return out
+
 
 _MERGERS: dict[str, Merger] = {}
 _LEXICONS: dict[str, Lexicon] = {}
@@ -187,7 +244,7 @@ def word_counts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Data
                 for special, part in model.segments(text):
                     if not special:
                         seen.update(model.chunks(part))
-                if len(seen) > 3 * REMEMBERED:
+                if len(seen) > REMEMBERED:
                     yield from flush(seen)
                     seen = Counter()
         yield from flush(seen)
@@ -196,11 +253,22 @@ def word_counts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Data
         .groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(docs: DataFrame, tokenizer: str, size: int = LEXICON_WORDS, least: int = LEXICON_COUNT, text_col: str = "text") -> list[str]:
+    """At most ``size`` words: those that occur at least ``least`` times and as often as makes them so few."""
+    counts = store(word_counts(docs, tokenizer, text_col).where(F.col("n") >= least), "words")
+    floor, left = None, size
+    for row in counts.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).count().orderBy(F.desc("n")).toLocalIterator():
+        left -= row["count"]
+        if left < 0:
+            break
+        floor = row.n
+    return [] if floor is None else [r.word for r in counts.where(F.col("n") >= floor).select("word").collect()]
+
+
 def build_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON_WORDS, text_col: str = "text") -> str:
-    """Compile the ``size`` most frequent words of the corpus; the name of the published file."""
-    top = word_counts(docs, tokenizer, text_col).orderBy(F.desc("n"), "word").limit(size).select("word").collect()
-    words = sorted(row.word.encode() for row in top)
-    return publish(docs.sparkSession, compile_lexicon(words, [merger(tokenizer).merge(w) for w in words]), "lexicon.bin")
+    """Compile the frequent words of the corpus; the name of the published file."""
+    words = sorted(w.encode() for w in frequent_words(docs, tokenizer, size, text_col=text_col))
+    return publish(docs.sparkSession, compile_lexicon(words, merger(tokenizer).merge_many(words)), "lexicon.bin")
 
 
 class Encoder:
@@ -208,53 +276,75 @@ class Encoder:
 
     def __init__(self, model: Merger, words: Lexicon):
         self.model, self.lexicon = model, words
-        self.known: dict[str, list[int]] = {}
-
-    def chunk_ids(self, chunk: str) -> list[int]:
-        ids: list[int] = []
-        for word in self.model.words(chunk):
-            data = word.encode()
-            found = self.lexicon.ids_of(data)
-            ids += self.model.merge(data) if found is None else found
-        return ids
+
+    def learn(self, chunks: set[str], known: dict, shape: Callable) -> None:
+        """Put ``shape(ids)`` of each chunk into ``known``; None where it has no tokens."""
+        parts = {chunk: self.model.words(chunk) for chunk in chunks}
+        ids: dict[str, list[int] | None] = {}
+        for words in parts.values():
+            for word in words:
+                if word not in ids:
+                    ids[word] = self.lexicon.ids_of(word.encode())
+        unseen = [word for word, found in ids.items() if found is None]
+        ids.update(zip(unseen, self.model.merge_many([word.encode() for word in unseen])))
+        for chunk, words in parts.items():
+            own = ids[words[0]] if len(words) == 1 else [i for word in words for i in ids[word]]
+            known[chunk] = shape(own) if own else None
+
+    def pieces(self, texts: list[str], known: dict, shape: Callable) -> Iterator[list]:
+        """For each text the shapes of its chunks in order. ``known`` remembers them between calls."""
+        keys = []
+        for text in texts:
+            own: list[str] = []
+            for special, part in self.model.segments(text):
+                if special:  # a key with a blank is no chunk
+                    known[" " + part] = shape([self.model.special[part]])
+                    own.append(" " + part)
+                else:
+                    own += self.model.chunks(part)
+            keys.append(own)
+        every = set().union(*keys)
+        new = every.difference(known)
+        if len(known) + len(new) > REMEMBERED:
+            kept = {k: known[k] for k in every if k in known}
+            known.clear()
+            known.update(kept)
+        self.learn(new, known, shape)
+        for own in keys:
+            yield list(filter(None, map(known.__getitem__, own)))
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids in self.pieces(text, lambda ids: ids, self.known) for i in ids]
-
-    def pieces(self, text: str, shape: Callable, known: dict) -> Iterator:
-        """``shape(ids)`` of each chunk in order; chunks without tokens are left out. ``known`` remembers them."""
-        get = known.get
-        for special, part in self.model.segments(text):
-            if special:
-                yield shape([self.model.special[part]])
-                continue
-            for chunk in self.model.chunks(part):
-                made = get(chunk, self)
-                if made is self:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    ids = self.chunk_ids(chunk)
-                    made = known[chunk] = shape(ids) if ids else None
-                if made is not None:
-                    yield made
+        return list(chain.from_iterable(next(self.pieces([text], {}, list))))
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.model.tokens[i] for i in ids if i in self.model.tokens])
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = LEXICON_WORDS) -> DataFrame:
-    """One row per document: doc_id, ids (array of int)."""
-    name = build_lexicon(docs, tokenizer, lexicon_words, text_col)
+def parts_of(batch: pa.RecordBatch, column: int = 1) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of a batch with about ``AT_ONCE`` letters of text each."""
+    start, texts, size = 0, [], 0
+    for end, text in enumerate(texts_of(batch, column), 1):
+        texts.append(text)
+        size += len(text)
+        if size >= AT_ONCE or end == batch.num_rows:
+            yield batch.slice(start, end - start), texts
+            start, texts, size = end, [], 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(merger(tokenizer), lexicon(name))
-        for batch in batches:
-            ids = [encoder.encode(text) for text in texts_of(batch, 1)]
-            yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return arrow_map(texts, run, f"doc_id {kind}, ids array<int>")
+#: What a worker remembers for the lexicon it used last, by kind of shape.
+_KNOWN: dict[tuple[str, str], dict] = {}
+
+
+def remembered(name: str, kind: str) -> dict:
+    if (name, kind) not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[name, kind] = {}
+    return _KNOWN[name, kind]
+
+
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = LEXICON_WORDS) -> DataFrame:
+    """One row per document: doc_id, ids (array of int)."""
+    return digest(docs, tokenizer, id_col, text_col, lexicon_words, keep_ids=True).select("doc_id", "ids")
 
 
 def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -279,32 +369,29 @@ def digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(merger(tokenizer), lexicon(name))
-        known: dict = {}
+        known = remembered(name, f"digest {keep_ids}")
 
         def shape(ids: list[int]) -> tuple:
             return len(ids), " ".join(map(str, ids)), encoder.decode(ids), ids if keep_ids else None
 
         for batch in batches:
-            rows: list[tuple[int, str, str]] = []
-            whole: list[np.ndarray] = []
-            for text in texts_of(batch, 1):
-                n, ids, decoded, first = 0, hashlib.sha256(), hashlib.sha256(), True
-                made = list(encoder.pieces(text, shape, known))
-                for i in range(0, len(made), 4096):  # a long text is never joined whole
-                    part = made[i:i + 4096]
-                    gap = "" if first else " "
-                    first = False
-                    n += sum([p[0] for p in part])
-                    ids.update((gap + " ".join([p[1] for p in part])).encode())
-                    decoded.update((gap + " ".join([p[2] for p in part])).encode())
-                rows.append((n, ids.hexdigest(), decoded.hexdigest()))
+            for part, texts in parts_of(batch):
+                sizes, ids, decoded, whole = [], [], [], []
+                for made in encoder.pieces(texts, known, shape):
+                    one, two = hashlib.sha256(), hashlib.sha256()
+                    for i in range(0, len(made), 65536):  # a very long text is never joined whole
+                        gap = " " if i else ""
+                        one.update((gap + " ".join([p[1] for p in made[i:i + 65536]])).encode())
+                        two.update((gap + " ".join([p[2] for p in made[i:i + 65536]])).encode())
+                    sizes.append(sum([p[0] for p in made]))
+                    ids.append(one.hexdigest())
+                    decoded.append(two.hexdigest())
+                    if keep_ids:
+                        whole.append(np.fromiter(chain.from_iterable([p[3] for p in made]), np.int32, sizes[-1]))
+                columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
                 if keep_ids:
-                    whole.append(np.fromiter(chain.from_iterable(p[3] for p in made), np.int32, n))
-            columns = [batch.column(0), pa.array([r[0] for r in rows], pa.int64()),
-                       pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
-            if keep_ids:
-                columns.append(pa.array(whole, pa.list_(pa.int32())))
-            yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][:len(columns)])
+                    columns.append(pa.array(whole, pa.list_(pa.int32())))
+                yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][:len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))

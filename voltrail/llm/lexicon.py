@@ -9,6 +9,7 @@ file of them is opened by ``numpy.memmap``, so that tasks on a machine share its
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections.abc import Sequence
 
 import numpy as np
@@ -55,7 +56,7 @@ def compile_lexicon(words: Sequence[bytes], ids: Sequence[Sequence[int]]) -> byt
     first, label, target, output = [0], [], [], []
     for state, arcs in enumerate(arcs_of):
         seen = int(final_of[state])
-        for byte, to in arcs:
+        for byte, to in arcs:  # in byte order, as the words came
             label.append(byte)
             target.append(to)
             output.append(seen)
@@ -95,12 +96,9 @@ class Lexicon:
         first, label, target, output = self.first, self.label, self.target, self.output
         state, total = self.root, 0
         for byte in word:
-            for arc in range(first[state], first[state + 1]):
-                if label[arc] >= byte:
-                    break
-            else:
-                return -1
-            if label[arc] != byte:
+            end = first[state + 1]
+            arc = bisect_left(label, byte, first[state], end)
+            if arc == end or label[arc] != byte:
                 return -1
             total += output[arc]
             state = target[arc]

@@ -1,4 +1,4 @@
-"""Station history against brute force, with and without cut stations."""
+"""Station history against brute force, for any size of the slices."""
 
 import datetime as dt
 
@@ -58,19 +58,19 @@ def skewed_rows(n=400, seed=1) -> pd.DataFrame:
     })
 
 
-@pytest.mark.parametrize("max_rows", [W.MAX_GROUP_ROWS, 60, 5])
-def test_station_context_equals_brute_force(to_spark, max_rows):
+@pytest.mark.parametrize("slice_rows", [W.SLICE_ROWS, 60, 7])
+def test_station_context_equals_brute_force(to_spark, slice_rows):
     rows = skewed_rows()
     df = to_spark(rows, SCHEMA)
-    found = collected(W.station_context(df.repartition(5), max_rows=max_rows))
+    found = collected(W.station_context(df.repartition(5), slice_rows=slice_rows))
     pd.testing.assert_frame_equal(found[[ROW_ID, *FEATURES]], brute_force(rows), check_dtype=False)
 
 
-@pytest.mark.parametrize("max_rows", [W.MAX_GROUP_ROWS, 60, 5])
-def test_previous_session_equals_brute_force(to_spark, max_rows):
+@pytest.mark.parametrize("slice_rows", [W.SLICE_ROWS, 60, 7])
+def test_previous_session_equals_brute_force(to_spark, slice_rows):
     rows = skewed_rows(seed=2)
     df = to_spark(rows, SCHEMA)
-    found = collected(W.previous_session(df.repartition(3), max_rows=max_rows))
+    found = collected(W.previous_session(df.repartition(3), slice_rows=slice_rows))
     pd.testing.assert_frame_equal(
         found[[ROW_ID, *FEATURES[:2]]], brute_force(rows)[[ROW_ID, *FEATURES[:2]]], check_dtype=False
     )
@@ -88,30 +88,54 @@ def test_seven_day_edge(spark):
     assert np.isnan(found["station_avg_duration_7d"].iloc[0])
 
 
-def test_cut_stations_are_found_and_bounded(to_spark):
-    rows = skewed_rows()
-    df = to_spark(rows, SCHEMA)
-    assert W.station_sizes(df, W.Frame(), 10_000).large is None
-    sizes = W.station_sizes(df, W.Frame(), 100)
-    assert [r["_large_key"] for r in sizes.large.collect()] == ["hot"]
-    hot = rows[rows[STATION] == "hot"]
-    assert sizes.spans.count() == hot[START].dt.date.nunique()
-
-
-def test_a_busy_day_is_cut_finely(to_spark):
-    """Most sessions of the hot station on one day of forty: no slice exceeds the row limit."""
+def burst(n=3000) -> pd.DataFrame:
+    """A third of all sessions at one station, most of them at one instant."""
     rng = np.random.default_rng(4)
-    n = 3000
-    seconds = np.where(rng.random(n) < 0.9, rng.integers(0, 86400, n), rng.integers(0, 40 * 86400, n))
     rows = skewed_rows(n)
+    hot = np.arange(n) % 3 == 0
+    rows[STATION] = np.where(hot, "hot", rows[STATION].replace("hot", "s0"))
+    seconds = np.where(hot & (rng.random(n) < 0.8), 20 * 86400, rng.integers(0, 40 * 86400, n))
     rows[START] = pd.Timestamp("2024-01-01") + pd.to_timedelta(seconds, "s")
-    df = to_spark(rows, SCHEMA).withColumn("_t", W.epoch_micros(START))
-    sizes = W.station_sizes(df, W.Frame(), 300)
-    slices = W._with_slices(df, sizes, W.Frame()).filter("_is_large").groupBy("_slice").count().toPandas()
-    assert slices["count"].sum() == (rows[STATION] == "hot").sum() and slices["count"].max() < 300
-    a = collected(W.previous_session(to_spark(rows, SCHEMA), max_rows=300))
-    b = collected(W.previous_session(to_spark(rows, SCHEMA)))
-    pd.testing.assert_frame_equal(a, b)
+    return rows
+
+
+def test_no_slice_is_large_in_a_burst(to_spark):
+    rows = burst()
+    df = to_spark(rows, SCHEMA)
+    events = W._events(df, W.Frame())
+    slices = W.sliced(events, 3 * len(rows), W.Frame(), 300).groupBy("_slice").count().toPandas()
+    assert slices["count"].sum() == 3 * len(rows) and slices["count"].max() < 600
+
+
+def test_a_burst_equals_brute_force(to_spark):
+    rows = burst(600)
+    found = collected(W.station_context(to_spark(rows, SCHEMA), slice_rows=40))
+    pd.testing.assert_frame_equal(found[[ROW_ID, *FEATURES]], brute_force(rows), check_dtype=False)
+
+
+def test_sums_leave_no_residue(to_spark):
+    """Two-decimal minutes, then weeks of zero minutes: the past mean takes over, and nothing is negative."""
+    n = 2000
+    rng = np.random.default_rng(6)
+    minutes = np.where(np.arange(n) < 1900, rng.integers(1, 30000, n) / 100, 0.0)
+    start = pd.Timestamp("2024-01-01") + pd.to_timedelta(np.where(np.arange(n) < 1900, np.arange(n) * 600, 90 * 86400 + np.arange(n) * 600), "s")
+    rows = pd.DataFrame({ROW_ID: np.arange(n), STATION: "s", START: start, MINUTES: minutes, "temperature_degc": rng.integers(-100, 400, n) / 10})
+    found = collected(W.station_context(to_spark(rows, SCHEMA), slice_rows=500))
+    late = found[found[ROW_ID] > 1900]
+    assert (late["station_utilization_ratio_7d"] == 0).all()
+    past = [minutes[:i].sum() / i for i in late[ROW_ID]]
+    assert late["station_avg_duration_7d"].to_numpy() == pytest.approx(np.array(past))
+
+
+def test_infinite_and_missing_values(spark):
+    day = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    inf, nan = float("inf"), float("nan")
+    data = [(1, 0, 1.0, 5.0), (2, 1, inf, inf), (3, 2, 3.0, nan), (4, 3, nan, 7.0), (5, 9, 5.0, 9.0), (6, 40, 2.0, 1.0)]
+    df = spark.createDataFrame([(i, "s", day(d), m, t) for i, d, m, t in data], SCHEMA)
+    found = collected(W.station_context(df))
+    assert (found["station_utilization_ratio_7d"] * 10080).round(6).tolist() == [0, 1, inf, inf, 3, 0]
+    assert found["station_avg_duration_7d"].tolist()[1:5] == [1, inf, inf, 1.5]
+    assert found["temperature_station_anomaly"].tolist()[3:] == [-inf, -inf, 0]
 
 
 def test_no_sessions(spark):
@@ -119,16 +143,9 @@ def test_no_sessions(spark):
     assert W.station_context(empty).isEmpty() and W.previous_session(empty).isEmpty()
 
 
-def test_cut_plan_orders_slices_and_not_stations(to_spark):
-    rows = skewed_rows()
-    df = to_spark(rows, SCHEMA)
-    plan = W.station_context(df, max_rows=60)._jdf.queryExecution().executedPlan().toString()
-    assert "_slice" in [line for line in plan.splitlines() if "Exchange hashpartitioning" in line][0]
-
-
 def test_same_result_for_any_partitioning(spark, sf_dir):
     for source in (sessions, long_sessions):
         df = source(spark, sf_dir).select(ROW_ID, STATION, START, MINUTES, "temperature_degc")
         a = collected(W.station_context(df))
-        b = collected(W.station_context(df.repartition(7, ROW_ID), max_rows=3))
+        b = collected(W.station_context(df.repartition(7, ROW_ID), slice_rows=500))
         pd.testing.assert_frame_equal(a, b)

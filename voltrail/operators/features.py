@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from voltrail.functions import scalar as S
 from voltrail.operators.joins import attach_cluster
-from voltrail.operators.windows import MAX_GROUP_ROWS, Frame, station_context
+from voltrail.operators.windows import SLICE_ROWS, Frame, station_context
 from voltrail.schema import ENERGY, START
 
 
@@ -24,11 +24,11 @@ def scalar_features(df: DataFrame) -> DataFrame:
 
 
 def engineer_features(
-    sessions: DataFrame, clusters: DataFrame | None = None, frame: Frame = Frame(), max_rows: int = MAX_GROUP_ROWS
+    sessions: DataFrame, clusters: DataFrame | None = None, frame: Frame = Frame(), slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
-    """All derived features of every session. One shuffle by station serves all history windows.
+    """All derived features of every session. One range shuffle serves all history windows.
 
     The row number is carried along; sort by it (``restore_order``) where the input order matters.
     """
-    with_history = station_context(sessions, frame, max_rows)
+    with_history = station_context(sessions, frame, slice_rows)
     return scalar_features(attach_cluster(with_history, clusters))

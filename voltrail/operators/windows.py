@@ -2,35 +2,33 @@
 
 The time windows ``[t-7d, t)`` and ``[t-30d, t)`` are running totals: a session adds its value at its
 start and a marker takes it away when it leaves the window. A running total is linear in the rows;
-a sliding frame would re-read the whole window for every row.
+a sliding frame would re-read the whole window for every row. Totals are decimals of ``SCALE`` places, so what
+leaves a window cancels exactly; infinite values are counted apart and leave with their session.
 
-A station's rows are ordered in one task only while they are few. Larger stations are cut in time
-slices, more of them on busy days: each slice is summed (partial aggregation), the sums of earlier
-slices are carried forward over the few slice rows, and every slice is then ordered on its own.
+Events are cut in slices of about ``SLICE_ROWS`` by a range shuffle on station, time and row number, whatever the sizes of
+stations, days or instants. Every slice is ordered on its own; the sums of earlier slices, one small row for each station
+and slice, are carried forward. Where one instant spans slices, the total before it comes from the slice it starts in.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voltrail.functions.scalar import epoch_micros
 from voltrail.schema import MINUTES, ROW_ID, START, STATION
-from voltrail.session import cut_lineage
+from voltrail.session import stored
 
 DAY_MICROS = 86_400_000_000
 WEEK_MINUTES = 7 * 24 * 60
 
-# A station with more sessions than this is cut in slices.
-MAX_GROUP_ROWS = 1_000_000
-# ... or with more than 1/SHARE of all sessions, whichever is larger: so at most SHARE stations are cut.
-SHARE = 10_000
-SLICES_PER_LIMIT = 8
-MAX_SPANS = 100_000
-# Above the parts of any span, as there are at most SLICES_PER_LIMIT * SHARE of them.
-MOST_PARTS = 1 << 20
+# Events in a slice, about.
+SLICE_ROWS = 500_000
+# Places after the point that are summed exactly; larger values than the type holds count as infinite.
+SCALE = 9
+EXACT, LARGEST = f"decimal(24,{SCALE})", 1e15
 
 SESSION, LEAVES_WEEK, LEAVES_MONTH = 0, 1, 2
 
@@ -46,193 +44,174 @@ class Frame:
     temperature: str = "temperature_degc"
 
 
-@dataclass(frozen=True)
-class Sizes:
-    """Stations to cut (none if every station fits one task) and how.
+def sliced(events: DataFrame, rows: int, frame: Frame, slice_rows: int) -> DataFrame:
+    """Stored events with the number of their slice; slices follow each other in station, time, kind and row order.
 
-    ``spans`` gives the parts per station and calendar span of ``unit`` microseconds; ``last_t`` is the
-    time of the last session of all.
+    ``rows`` is the number of events, about. The bounds of a slice are sampled, so its size is near ``slice_rows``.
     """
-
-    last_t: int | None
-    large: DataFrame | None = None
-    spans: DataFrame | None = None
-    unit: int = DAY_MICROS
-
-
-def _span_number(unit: int) -> Column:
-    return F.floor(F.col("_t") / F.lit(unit)).cast("bigint")
+    number = max(1, -(-rows // slice_rows))
+    laid_out = events.repartitionByRange(number, frame.key, "_t", "_kind", "_o").withColumn("_slice", F.spark_partition_id())
+    return stored(laid_out, "slices")
 
 
-def station_sizes(df: DataFrame, frame: Frame, max_rows: int) -> Sizes:
-    """Count sessions per station, and per day for the large ones, so that busy days get more slices.
-
-    Large stations are at most ``SHARE`` by construction. The span is a day, or so many days that there
-    are at most about ``MAX_SPANS`` rows. Both tables can be broadcast.
-    """
-    timed = df.select(frame.key, epoch_micros(frame.ts).alias("_t"))
-    counts = timed.groupBy(frame.key).agg(
-        F.count(F.lit(1)).alias("n"), F.min("_t").alias("first_t"), F.max("_t").alias("last_t")
-    )
-    total, biggest, first_t, last_t = counts.agg(F.sum("n"), F.max("n"), F.min("first_t"), F.max("last_t")).first()
-    limit = max(max_rows, (total or 0) // SHARE)
-    if (biggest or 0) <= limit:
-        return Sizes(last_t)
-    large = cut_lineage(counts.filter(F.col("n") > limit).select(
-        F.col(frame.key).alias("_large_key"), F.col("last_t").alias("_large_last")
-    ))
-    days = (last_t - first_t) // DAY_MICROS + 1
-    unit = DAY_MICROS * max(1, -(-large.count() * days // MAX_SPANS))
-    spans = (
-        timed.join(F.broadcast(large), F.col(frame.key) == F.col("_large_key"))
-        .groupBy("_large_key", _span_number(unit).alias("_span"))
-        .agg(F.ceil(F.count(F.lit(1)) * SLICES_PER_LIMIT / limit).alias("_parts"))
-    )
-    return Sizes(last_t, large, cut_lineage(spans.withColumnRenamed("_large_key", "_span_key")), unit)
-
-
-def _with_slices(events: DataFrame, sizes: Sizes, frame: Frame) -> DataFrame:
-    """Adds a slice number that is monotone in time; 0 for stations that are not cut."""
-    key = F.col(frame.key)
-    marked = events.join(F.broadcast(sizes.large), key == F.col("_large_key"), "left")
-    # Markers after the last session of a station change no row; dropped, they cannot pile up in a slice.
-    useful = marked.filter(F.coalesce(F.col("_t") <= F.col("_large_last"), F.lit(True)))
-    number = _span_number(sizes.unit)
-    found = useful.withColumn("_number", number).join(
-        F.broadcast(sizes.spans), (key == F.col("_span_key")) & (F.col("_number") == F.col("_span")), "left"
-    )
-    part = F.floor((F.col("_t") - F.col("_number") * sizes.unit) / sizes.unit * F.coalesce("_parts", F.lit(1)))
-    is_large = F.col("_large_key").isNotNull()
-    slice_number = F.when(is_large, F.col("_number") * MOST_PARTS + part).otherwise(0).cast("bigint")
-    return found.withColumns({"_slice": slice_number, "_is_large": is_large}).drop(
-        "_large_key", "_large_last", "_number", "_span_key", "_span", "_parts"
-    )
+def _session(minutes: str) -> Column:
+    return F.struct(F.col("_t").alias("t"), F.col(minutes).alias("minutes"))
 
 
 # --- previous session -----------------------------------------------------------------------------
 
-def previous_session(df: DataFrame, frame: Frame = Frame(), max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def previous_session(df: DataFrame, frame: Frame = Frame(), slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Adds minutes since the previous session of the station, and that session's duration.
 
     Rows with a null station are dropped.
     """
     df = df.filter(F.col(frame.key).isNotNull())
-    timed = df.withColumn("_t", epoch_micros(frame.ts))
-    sizes = station_sizes(df, frame, max_rows)
-    here = F.struct(F.col("_t").alias("t"), F.col(frame.minutes).alias("minutes"))
-    if sizes.large is None:
-        before = F.lag(here).over(Window.partitionBy(frame.key).orderBy("_t", frame.order))
-        return _previous_columns(timed.withColumn("_before", before)).drop("_t", "_before")
-
-    sliced = _with_slices(timed, sizes, frame)
-    last_of_slice = sliced.filter("_is_large").groupBy(frame.key, "_slice").agg(
-        F.max_by(here, F.struct("_t", frame.order)).alias("_last")
-    )
-    carried = last_of_slice.select(
-        F.col(frame.key).alias("_key"),
-        F.col("_slice").alias("_s"),
+    events = df.withColumns({"_t": epoch_micros(frame.ts), "_kind": F.lit(SESSION), "_o": F.col(frame.order)})
+    cut = sliced(events, df.count(), frame, slice_rows)
+    here = _session(frame.minutes)
+    last = cut.groupBy(frame.key, "_slice").agg(F.max_by(here, F.struct("_t", "_o")).alias("_last"))
+    carried = last.select(
+        F.col(frame.key).alias("_key"), F.col("_slice").alias("_s"),
         F.lag("_last").over(Window.partitionBy(frame.key).orderBy("_slice")).alias("_carried"),
     )
-    joined = sliced.join(
-        F.broadcast(carried), (sliced[frame.key] == carried["_key"]) & (sliced["_slice"] == carried["_s"]), "left"
+    joined = cut.join(carried, (F.col(frame.key) == F.col("_key")) & (F.col("_slice") == F.col("_s")))
+    order = Window.partitionBy("_slice", frame.key).orderBy("_t", "_o")
+    before = F.coalesce(F.lag(here).over(order), F.col("_carried"))
+    return joined.withColumn("_before", before).select(
+        *df.columns,
+        ((F.col("_t") - F.col("_before.t")) / 60_000_000.0).alias("minutes_since_prev_session"),
+        F.col("_before.minutes").alias("prev_session_duration"),
     )
-    order = Window.partitionBy(frame.key, "_slice").orderBy("_t", frame.order)
-    with_before = joined.withColumn("_before", F.coalesce(F.lag(here).over(order), F.col("_carried")))
-    return _previous_columns(with_before).drop("_t", "_before", "_slice", "_is_large", "_key", "_s", "_carried")
 
 
-def _previous_columns(df: DataFrame) -> DataFrame:
-    return df.withColumns({
-        "minutes_since_prev_session": (F.col("_t") - F.col("_before.t")) / 60_000_000.0,
-        "prev_session_duration": F.col("_before.minutes"),
-    })
+# --- all station context features -----------------------------------------------------------------
 
+# Totals of the windows: sessions, known temperatures, sums of both measures, and their infinite values by sign.
+RUNNING = ["_n7", "_m7", "_up7", "_down7", "_n30", "_t30", "_up30", "_down30"]
+# Totals over all earlier sessions.
+PAST = {"_past_n": "_minutes", "_past_m": "_exact", "_past_up": "_up7", "_past_down": "_down7"}
 
-# --- all station context features -----------------------------------------------------------------
 
-def _events(df: DataFrame, frame: Frame, last_t: int | None, with_row: bool = True) -> DataFrame:
+def _exact(value: Column) -> Column:
+    return F.when(F.abs(value) < LARGEST, value).cast(EXACT)
+
+
+def _events(df: DataFrame, frame: Frame) -> DataFrame:
     """One row per session plus two narrow markers for when it leaves the windows.
 
     The session's own columns travel in ``_row`` on the session row only. The three rows come from one
     read of the input.
     """
     t = epoch_micros(frame.ts)
-    minutes = F.col(frame.minutes).cast("double")
-    temperature = F.col(frame.temperature).cast("double")
-    known = temperature.isNotNull().cast("bigint")
+
+    def known(column: str) -> Column:
+        value = F.col(column).cast("double")
+        return F.when(~F.isnan(value), value)
+
+    minutes, temperature = known(frame.minutes), known(frame.temperature)
     whole = F.struct(*[F.col(c) for c in df.columns])
+    none = F.lit(0).cast("bigint")
+    zero = F.lit(0).cast(EXACT)
+
+    def parts(value: Column) -> list[Column]:
+        return [F.coalesce(_exact(value), zero), F.coalesce((value >= LARGEST).cast("bigint"), none),
+                F.coalesce((value <= -LARGEST).cast("bigint"), none)]
+
+    week = [F.lit(1).cast("bigint"), *parts(minutes)]
+    month = [temperature.isNotNull().cast("bigint"), *parts(temperature)]
+    nothing = [none, zero, none, none]
 
-    def event(kind: int, at: Column, n7: Column, m7: Column, n30: Column, t30: Column) -> Column:
+    def event(kind: int, at: Column, totals: list[Column]) -> Column:
         is_session = kind == SESSION
         return F.struct(
-            F.lit(kind).alias("_kind"),
-            at.alias("_t"),
-            (F.col(frame.order) if is_session else F.lit(None).cast(df.schema[frame.order].dataType)).alias("_o"),
-            n7.alias("_n7"),
-            m7.alias("_m7"),
-            n30.alias("_n30"),
-            t30.alias("_t30"),
+            F.lit(kind).alias("_kind"), at.alias("_t"), F.col(frame.order).alias("_o"),
+            *[c.cast(EXACT if n in ("_m7", "_t30") else "bigint").alias(n) for n, c in zip(RUNNING, totals)],
             (minutes if is_session else F.lit(None).cast("double")).alias("_minutes"),
-            *([(whole if is_session else F.lit(None).cast(df.schema)).alias("_row")] if with_row else []),
+            (_exact(minutes) if is_session else F.lit(None).cast(EXACT)).alias("_exact"),
+            (whole if is_session else F.lit(None).cast(df.schema)).alias("_row"),
         )
 
-    zero, none = F.lit(0).cast("bigint"), F.lit(0.0)
-    m, c = F.coalesce(minutes, none), F.coalesce(temperature, none)
-    one = F.lit(1).cast("bigint")
-    events = df.select(
-        F.col(frame.key),
-        F.inline(F.array(
-            event(SESSION, t, one, m, known, c),
-            event(LEAVES_WEEK, t + F.lit(7 * DAY_MICROS), -one, -m, zero, none),
-            event(LEAVES_MONTH, t + F.lit(30 * DAY_MICROS), zero, none, -known, -c),
-        )),
+    return df.select(F.col(frame.key), F.inline(F.array(
+        event(SESSION, t, [*week, *month]),
+        event(LEAVES_WEEK, t + F.lit(7 * DAY_MICROS), [*[-c for c in week], *nothing]),
+        event(LEAVES_MONTH, t + F.lit(30 * DAY_MICROS), [*nothing, *[-c for c in month]]),
+    )))
+
+
+def _within_slices(cut: DataFrame, frame: Frame) -> DataFrame:
+    """Totals of each event over the earlier events of its station in its slice, and the last session among them."""
+    is_session = F.col("_kind") == SESSION
+    group = Window.partitionBy("_slice", frame.key)
+    in_order = group.orderBy("_t", "_kind", "_o").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = group.orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
+    past = {name: F.count(F.when(is_session, F.col(c))) if name == "_past_n" else F.sum(F.when(is_session, F.col(c)))
+            for name, c in PAST.items()}
+    return cut.withColumns({
+        "_before": F.last(F.when(is_session, _session("_minutes")), ignorenulls=True).over(in_order),
+        **{name: total.over(in_order) for name, total in past.items()},
+        **{c + "_w": F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in RUNNING},
+    })
+
+
+def _carried(ordered: DataFrame, frame: Frame) -> DataFrame:
+    """One row for each station and slice: what the earlier slices of the station add up to.
+
+    ``_tie`` is set where the slice begins in the middle of an instant: the totals before that instant.
+    """
+    is_session = F.col("_kind") == SESSION
+    last_total = F.max_by(F.struct(*[F.col(c + "_w").alias(c) for c in RUNNING]), "_t")
+    slices = ordered.groupBy(F.col(frame.key).alias("_key"), F.col("_slice").alias("_s")).agg(
+        *[F.sum(c).alias(c) for c in RUNNING],
+        *[(F.count if name == "_past_n" else F.sum)(F.when(is_session, F.col(c))).alias(name) for name, c in PAST.items()],
+        F.max_by(F.when(is_session, _session("_minutes")), F.when(is_session, F.struct("_t", "_o"))).alias("_last"),
+        F.min("_t").alias("_first_t"), F.max("_t").alias("_last_t"), last_total.alias("_at_last"),
+    )
+    order = Window.partitionBy("_key").orderBy("_s")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    sums = slices.select(
+        "_key", "_s", "_first_t", "_last_t", "_at_last",
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias("_c" + c) for c in [*RUNNING, *PAST]],
+        F.last("_last", ignorenulls=True).over(before).alias("_c_last"),
     )
-    # A marker after the last session of all changes no row.
-    return events.filter((F.col("_kind") == SESSION) | (F.col("_t") <= F.lit(last_t)))
+    starts = stored(sums.withColumn("_tie", F.struct(*[(F.col("_c" + c) + F.col(f"_at_last.{c}")).alias(c) for c in RUNNING])), "carried")
+    # of the slices that end at an instant, the first is where it starts
+    ties = starts.groupBy(F.col("_key").alias("_tie_key"), F.col("_last_t").alias("_tie_t")).agg(
+        F.min("_s").alias("_tie_s"), F.min_by("_tie", "_s").alias("_tie"))
+    found = starts.drop("_tie", "_at_last", "_last_t").join(
+        ties, (F.col("_key") == F.col("_tie_key")) & (F.col("_first_t") == F.col("_tie_t")) & (F.col("_tie_s") < F.col("_s")), "left")
+    return found.drop("_tie_key", "_tie_t", "_tie_s")
 
 
-RUNNING = ["_n7", "_m7", "_n30", "_t30"]
+def _with_infinite(finite: Column, up: Column, down: Column) -> Column:
+    return F.when((up > 0) & (down > 0), F.lit(float("nan"))).when(up > 0, F.lit(float("inf"))) \
+        .when(down > 0, F.lit(float("-inf"))).otherwise(finite)
 
 
-def station_context(df: DataFrame, frame: Frame = Frame(), max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def station_context(df: DataFrame, frame: Frame = Frame(), slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Adds the six history features of each session; rows with a null station are dropped.
 
     A marker at the same instant as a session still counts for it: the running total takes strictly
-    earlier events, which gives exactly ``[t-7d, t)``.
+    earlier events, which gives exactly ``[t-7d, t)``. A measure that is NaN counts as absent.
     """
     df = df.filter(F.col(frame.key).isNotNull())
-    sizes = station_sizes(df, frame, max_rows)
-    events = _events(df, frame, sizes.last_t)
-    group = [frame.key]
-    if sizes.large is not None:
-        narrow = _with_slices(_events(df, frame, sizes.last_t, with_row=False), sizes, frame)
-        events = _carry_forward(_with_slices(events, sizes, frame), narrow, frame)
-        group.append("_slice")
-
-    is_session = F.col("_kind") == SESSION
-    in_order = Window.partitionBy(*group).orderBy("_t", "_kind", "_o").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy(*group).orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
-    here = F.struct(F.col("_t").alias("t"), F.col("_minutes").alias("minutes"))
-
-    ordered = events.withColumns({
-        "_before": F.last(F.when(is_session, here), ignorenulls=True).over(in_order),
-        "_past_n": F.count("_minutes").over(in_order),
-        "_past_m": F.sum("_minutes").over(in_order),
+    ordered = stored(_within_slices(sliced(_events(df, frame), 3 * df.count(), frame, slice_rows), frame), "ordered")
+    carried = _carried(ordered, frame)
+    sessions = ordered.filter(F.col("_kind") == SESSION).join(
+        carried, (F.col(frame.key) == F.col("_key")) & (F.col("_slice") == F.col("_s")))
+    in_tie = F.col("_tie").isNotNull() & (F.col("_t") == F.col("_first_t"))
+    totals = sessions.withColumns({
+        "_before": F.coalesce("_before", "_c_last"),
+        **{c: F.coalesce(F.col(c), F.lit(0)) + F.col("_c" + c) for c in PAST},
+        **{c + "_w": F.when(in_tie, F.col(f"_tie.{c}")).otherwise(F.col(c + "_w") + F.col("_c" + c)) for c in RUNNING},
     })
-    totals = ordered.withColumns({c + "_w": F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in RUNNING})
-    if sizes.large is not None:
-        totals = totals.withColumns({
-            "_before": F.coalesce("_before", "_c_last"),
-            "_past_n": F.col("_past_n") + F.coalesce("_c_past_n", F.lit(0)),
-            "_past_m": F.coalesce("_past_m", F.lit(0.0)) + F.coalesce("_c_past_m", F.lit(0.0)),
-            **{c + "_w": F.col(c + "_w") + F.coalesce("_c" + c, F.lit(0)) for c in RUNNING},
-        })
-    sessions = totals.filter(is_session)
-    n7, m7 = F.col("_n7_w"), F.col("_m7_w")
+    n7, n30 = F.col("_n7_w"), F.col("_n30_w")
+    m7 = _with_infinite(F.col("_m7_w").cast("double"), F.col("_up7_w"), F.col("_down7_w"))
+    t30 = _with_infinite(F.col("_t30_w").cast("double"), F.col("_up30_w"), F.col("_down30_w"))
+    past_m = _with_infinite(F.col("_past_m").cast("double"), F.col("_past_up"), F.col("_past_down"))
     mean7 = F.when(n7 > 0, F.nullif(m7 / n7, F.lit(0.0)))
-    past_mean = F.when(F.col("_past_n") > 0, F.col("_past_m") / F.col("_past_n"))
-    month_mean = F.when(F.col("_n30_w") > 0, F.col("_t30_w") / F.col("_n30_w"))
-    return sessions.select(
+    past_mean = F.when(F.col("_past_n") > 0, past_m / F.col("_past_n"))
+    month_mean = F.when(n30 > 0, t30 / n30)
+    return totals.select(
         "_row.*",
         ((F.col("_t") - F.col("_before.t")) / 60_000_000.0).alias("minutes_since_prev_session"),
         F.col("_before.minutes").alias("prev_session_duration"),
@@ -243,32 +222,6 @@ def station_context(df: DataFrame, frame: Frame = Frame(), max_rows: int = MAX_G
     )
 
 
-def _carry_forward(events: DataFrame, narrow: DataFrame, frame: Frame) -> DataFrame:
-    """Attach to each event of a cut station the totals of all its earlier slices.
-
-    The slices are summed from the same events without the sessions' own columns.
-    """
-    here = F.struct(F.col("_t").alias("t"), F.col("_minutes").alias("minutes"))
-    is_session = F.col("_kind") == SESSION
-    slices = narrow.filter("_is_large").groupBy(frame.key, "_slice").agg(
-        *[F.sum(c).alias(c) for c in RUNNING],
-        F.count("_minutes").alias("_past_n"),
-        F.sum("_minutes").alias("_past_m"),
-        F.max_by(F.when(is_session, here), F.when(is_session, F.struct("_t", "_o"))).alias("_last"),
-    )
-    before = Window.partitionBy(frame.key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = slices.select(
-        F.col(frame.key).alias("_key"),
-        F.col("_slice").alias("_s"),
-        *[F.sum(c).over(before).alias("_c" + c) for c in [*RUNNING, "_past_n", "_past_m"]],
-        F.last("_last", ignorenulls=True).over(before).alias("_c_last"),
-    )
-    joined = events.join(
-        F.broadcast(carried), (events[frame.key] == carried["_key"]) & (events["_slice"] == carried["_s"]), "left"
-    )
-    return joined.drop("_key", "_s", "_is_large")
-
-
 # --- daily series windows -------------------------------------------------------------------------
 # A series has at most one row per calendar day, so a window over it is bounded by the calendar.
 

@@ -15,7 +15,9 @@ from voltrail.schema import (
     CATEGORICAL_FEATURES, ENERGY, MINUTES, NUMERIC_FEATURES, ROW_ID, START, STATION,
 )
 from voltrail.session import cut_lineage
-from voltrail.sources.mapping import long_sessions, requests, rule_labels, sessions
+from voltrail.sources.mapping import (
+    DECIMAL_SESSIONS, HOT_SESSIONS, columns_sql, decimal_sessions, hot_sessions, long_sessions, requests, rule_labels, sessions,
+)
 
 NEEDED = [ROW_ID, STATION, START, MINUTES, "temperature_degc"]
 
@@ -47,6 +49,22 @@ def history_sql(source: str) -> str:
 HISTORY = {"history": history_sql("sessions"), "long_history": history_sql("long_sessions")}
 
 
+def decimal_history_sql(source: str) -> str:
+    """The sums in exact decimals, as the minutes have two places."""
+    exact = "CAST(charging_duration_minutes AS DECIMAL(18, 2))"
+    return (
+        "SELECT row_id, charging_station_id, CASE WHEN n7 > 0 THEN m7 / 10080 ELSE 0e0 END AS station_utilization_ratio_7d, "
+        "coalesce(nullif(CASE WHEN n7 > 0 THEN m7 / n7 END, 0e0), past_m / nullif(past_n, 0)) AS station_avg_duration_7d, "
+        "coalesce(temperature_degc - t30, 0e0) AS temperature_station_anomaly FROM (SELECT *, "
+        f"count(*) OVER ({_range(7)}) AS n7, CAST(sum({exact}) OVER ({_range(7)}) AS DOUBLE) AS m7, "
+        f"CAST(sum(CAST(temperature_degc AS DECIMAL(18, 2))) OVER ({_range(30)}) AS DOUBLE) / "
+        f"nullif(count(temperature_degc) OVER ({_range(30)}), 0) AS t30, "
+        f"count(*) OVER ({IN_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past_n, "
+        f"CAST(sum({exact}) OVER ({IN_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE) AS past_m "
+        f"FROM {source})"
+    )
+
+
 def _register_window(name: str, column: str, table: str = "history", source=sessions, previous: bool = False) -> None:
     @query(name, f"SELECT row_id, charging_station_id, {column} FROM {table}", (column,), extra=HISTORY)
     def _(spark, sf_dir):
@@ -66,6 +84,25 @@ CONTEXT = ["minutes_since_prev_session", "prev_session_duration", "station_sessi
            "station_avg_duration_7d", "station_utilization_ratio_7d", "temperature_station_anomaly"]
 
 
+EXACT_COLUMNS = ["station_utilization_ratio_7d", "station_avg_duration_7d", "temperature_station_anomaly"]
+DECIMALS = {"decimal_sessions": f"SELECT {columns_sql(DECIMAL_SESSIONS)} FROM orders",
+            "hot_sessions": f"SELECT {columns_sql(HOT_SESSIONS)} FROM events"}
+#: Events in a slice of the next two queries, so that stations and instants span slices in small tables too.
+SMALL_SLICE = 5000
+
+
+@query("history_decimals", decimal_history_sql("decimal_sessions"), EXACT_COLUMNS, extra=DECIMALS)
+def _(spark, sf_dir):
+    """Two-decimal minutes, and half-years of zero minutes."""
+    return W.station_context(decimal_sessions(spark, sf_dir), slice_rows=SMALL_SLICE).select(ROW_ID, STATION, *EXACT_COLUMNS)
+
+
+@query("history_hot_station", decimal_history_sql("hot_sessions"), EXACT_COLUMNS, extra=DECIMALS)
+def _(spark, sf_dir):
+    """A station with a third of all sessions, a third of those at one instant."""
+    return W.station_context(hot_sessions(spark, sf_dir), slice_rows=SMALL_SLICE).select(ROW_ID, STATION, *EXACT_COLUMNS)
+
+
 @query("recombine_groups", f"SELECT row_id, charging_station_id, {', '.join(CONTEXT)} FROM long_history",
        CONTEXT, extra=HISTORY)
 def _(spark, sf_dir):

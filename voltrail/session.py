@@ -36,16 +36,19 @@ def pin_calendar(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    A folder of its own is made only in local mode with the setting absent, as in unit tests.
+    Without that setting, local mode takes ``spark.voltrail.local.dir``, or makes a folder of its own as in unit
+    tests; a cluster is refused, as is a ``file:`` folder on machines that do not share one (any master but local ones).
+    Nothing in the folder is removed: expire what lies below ``voltrail/`` by age, or with the application's end.
     """
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
+    local = context.master.startswith("local[") or context.master == "local"
+    named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        named = context.getCheckpointDir()
-    if not named:
-        if not context.master.startswith("local"):
+        if not local:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        named = tempfile.mkdtemp(prefix="voltrail-")
+        named = context.getConf().get("spark.voltrail.local.dir", None) or tempfile.mkdtemp(prefix="voltrail-")
+    elif named.startswith("file:") and not context.master.startswith("local"):
+        raise ValueError(f"spark.checkpoint.dir is {named}, which other machines cannot see")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named
@@ -56,6 +59,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/voltrail/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: later passes prune its columns."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise on reliable storage, so that a lost executor costs a re-read and not a re-run."""
     shared_dir(df.sparkSession)

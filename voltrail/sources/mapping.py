@@ -52,6 +52,24 @@ ORDER_SESSIONS = {
     "temperature_degc": "((o_orderkey * 31) % 100) / 2e0 - 10e0",
 }
 
+# Minutes and temperatures that are no binary fractions; no minutes in the second half of a year.
+DECIMAL_SESSIONS = {
+    "row_id": "o_orderkey",
+    "charging_station_id": "concat('Station_', o_custkey % 20)",
+    "charging_start_time": "o_orderdate",
+    "charging_duration_minutes": "CASE WHEN month(o_orderdate) > 6 THEN 0e0 ELSE (1 + o_orderkey % 23999) / 100e0 END",
+    "temperature_degc": "((o_orderkey * 31) % 1000) / 10e0 - 20e0",
+}
+
+# One station has a third of all sessions, and a third of those start at one instant.
+HOT_SESSIONS = {
+    "row_id": "event_id",
+    "charging_station_id": f"CASE WHEN event_id % 3 = 0 THEN 'Station_hot' ELSE concat('Station_', {K}) END",
+    "charging_start_time": "CASE WHEN event_id % 9 = 0 THEN CAST('2024-01-15 12:00:00' AS {timestamp}) ELSE ts END",
+    "charging_duration_minutes": "(1 + (event_id * 7919) % 23999) / 100e0",
+    "temperature_degc": "((event_id * 31) % 1000) / 10e0 - 20e0",
+}
+
 REQUESTS = {
     "request_id": "c_custkey",
     "charging_station_id": "concat('Station_', c_custkey % 120)",
@@ -71,12 +89,13 @@ LABEL_FILTER = f"{LABEL_NUMBER} < 90"
 
 
 def columns_sql(mapping: dict[str, str], weekday_name: str = "dayname") -> str:
-    return ", ".join(f"{e.replace('{weekday_name}', weekday_name)} AS {c}" for c, e in mapping.items())
+    return ", ".join(f"{e.replace('{weekday_name}', weekday_name).replace('{timestamp}', 'TIMESTAMP')} AS {c}"
+                     for c, e in mapping.items())
 
 
 def _mapped(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     full_name = {"{weekday_name}(ts)": "date_format(ts, 'EEEE')"}
-    return df.selectExpr(*[f"{full_name.get(e, e)} AS {c}" for c, e in mapping.items()])
+    return df.selectExpr(*[f"{full_name.get(e, e).replace('{timestamp}', 'TIMESTAMP_NTZ')} AS {c}" for c, e in mapping.items()])
 
 
 def raw_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +114,16 @@ def long_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(spark.read.parquet(f"{sf_dir}/orders.parquet"), ORDER_SESSIONS)
 
 
+def decimal_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pin_calendar(spark)
+    return _mapped(spark.read.parquet(f"{sf_dir}/orders.parquet"), DECIMAL_SESSIONS)
+
+
+def hot_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pin_calendar(spark)
+    return _mapped(spark.read.parquet(f"{sf_dir}/events.parquet"), HOT_SESSIONS)
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(spark.read.parquet(f"{sf_dir}/customer.parquet"), REQUESTS)
 

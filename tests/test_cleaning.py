@@ -75,7 +75,7 @@ def test_columns_follow_the_header_row(spark, tmp_path):
     path = str(tmp_path / "other.csv")
     with open(path, "w", encoding="utf-8") as f:
         f.write("Charging Duration (hours),User ID,Extra\n2.0,u1,x\nbad,u2,y\n")
-    assert [tuple(r) for r in IN.load_clean(spark, path).collect()] == [(2.0, "u1", "x", 120.0)]
+    assert [tuple(r) for r in IN.load_clean(spark, path).drop("row_id").collect()] == [(2.0, "u1", "x", 120.0)]
     with pytest.raises(Exception, match="(?i)header"):
         IN.load_raw(spark, path, ["User ID", "Charging Duration (hours)", "Extra"]).collect()
 
@@ -149,3 +149,76 @@ def test_cluster_without_shared_folder_is_refused(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(Session)
+
+
+def write(path, text):
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        f.write(text)
+
+
+def test_files_with_another_column_order(spark, tmp_path):
+    write(tmp_path / "a.csv", "Energy Consumed (kWh),Charging Duration (hours)\n1.0,10\n2.0,20\n")
+    write(tmp_path / "b.csv", "Charging Duration (hours),Energy Consumed (kWh),User ID\n30,3.0,u\n")
+    glob = str(tmp_path / "*.csv")
+    with pytest.raises(Exception, match="(?i)header"):
+        IN.load_raw(spark, glob).collect()
+    rows = IN.load_clean(spark, glob, by_name=True).orderBy("row_id").collect()
+    assert [(r["row_id"], r["energy_consumed_kwh"], r["charging_duration_hours"], r["user_id"]) for r in rows] == [
+        (0, 1.0, 10.0, None), (1, 2.0, 20.0, None), (2, 3.0, 30.0, "u")]
+
+
+def test_quoted_cells(spark, tmp_path):
+    write(tmp_path / "q.csv", 'id,t\n1,"a ""b"", c"\n2,"x\ny"\n')
+    assert [tuple(r) for r in IN.load_raw(spark, str(tmp_path / "q.csv"), multi_line=True).collect()] == [("1", 'a "b", c'), ("2", "x\ny")]
+    path = OUT.write_csv(spark.createDataFrame([(1, 'say "hi", now')], "id int, t string"), str(tmp_path / "out"))
+    assert [tuple(r) for r in IN.load_raw(spark, path).collect()] == [("1", 'say "hi", now')]
+    import glob as files
+    import pandas
+    assert pandas.concat(map(pandas.read_csv, files.glob(f"{path}/part-*.csv")))["t"].tolist() == ['say "hi", now']
+
+
+def test_only_numbers_are_numbers(spark):
+    cells = ["12", " 1.5 ", "-.5", "1e3", "12d", "12f", "0x1", "1,2", "", "1_000", "inf", None]
+    df = spark.createDataFrame([(c,) for c in cells], "temperature_degc string")
+    assert [r[0] for r in C.coerce_numeric(df).collect()] == [12.0, 1.5, -0.5, 1000.0, None, None, None, None, None, None, float("inf"), None]
+
+
+def test_only_an_absent_path_counts_as_absent(spark, tmp_path):
+    assert not IN.path_exists(spark, str(tmp_path / "nothing"))
+    with pytest.raises(Exception):
+        IN.path_exists(spark, "nosuchscheme://host/x")
+
+
+def test_row_numbers_follow_files_and_lines(spark, tmp_path):
+    for name, first in (("b", 100), ("a", 0)):
+        write(tmp_path / f"{name}.csv", "Energy Consumed (kWh),Charging Duration (hours)\n" + "".join(f"{first + i},1\n" for i in range(50)))
+    rows = IN.load_clean(spark, str(tmp_path)).orderBy("row_id").collect()
+    assert [r["row_id"] for r in rows] == list(range(100))
+    assert [r["energy_consumed_kwh"] for r in rows] == [float(i) for i in (*range(50), *range(100, 150))]
+
+
+def test_places_of_an_ordered_table(spark):
+    from voltrail.operators.joins import numbered
+    rows = numbered(spark.range(500).repartition(7).orderBy("id")).collect()
+    assert all(r["place"] == r["id"] + 1 for r in rows)
+
+
+def test_local_files_are_refused_on_a_cluster():
+    from voltrail import session
+
+    class Context:
+        master = "yarn"
+
+        @staticmethod
+        def getConf():
+            return {"spark.checkpoint.dir": "file:///tmp/x"}
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    class Session:
+        sparkContext = Context
+
+    with pytest.raises(ValueError, match="cannot see"):
+        session.shared_dir(Session)

@@ -177,6 +177,7 @@ def test_search_samples_are_distinct_and_seeded():
 
 def test_tuned_model_is_the_best_of_the_scores(prepared):
     fitted, scores = D.tune("random_forest", prepared, 2, 2, grid={"numTrees": [3], "maxDepth": [2, 4]})
+    assert len(scores) == 2
     assert fitted.params["maxDepth"] == min(scores, key=lambda s: s["cv_mae"])["maxDepth"]
 
 
@@ -272,3 +273,57 @@ def test_residual_table_matches_pandas(spark, sf_dir):
     want = want.loc[found.index]
     assert np.allclose(found[["sessions", "mae", "bias", "rmse"]], want)
     assert found["mae"].is_monotonic_decreasing
+
+
+def test_hashed_columns_are_chosen_by_the_caller(spark, sf_dir):
+    train = Q.stored_features(spark, sf_dir).limit(300)
+    model = P.build_preprocessor(train, hash_columns=[STATION], hash_slots=16).fit(train)
+    names = P.feature_names(P.prepared_rows(model, train))
+    assert names.count(STATION) == 16 and set(names) == set(NUMERIC_FEATURES + CATEGORICAL_FEATURES)
+
+
+def test_features_without_values_are_left_out(spark, sf_dir):
+    train = Q.stored_features(spark, sf_dir).limit(200).withColumns({
+        "temperature_degc": F.lit(None).cast("double"), "user_type": F.lit(None).cast("string")})
+    with pytest.warns(UserWarning, match="left out"):
+        model = P.build_preprocessor(train).fit(train)
+    names = P.feature_names(P.prepared_rows(model, train))
+    assert "temperature_degc" not in names and "user_type" not in names and "charger_type" in names
+
+
+def test_folds_learn_their_own_preprocessing(spark, prepared):
+    parts = D.split_folds(prepared, 3)
+    assert sum(p.test.count() for p in parts) == prepared.train.count()
+    rows = [set(r["row_id"] for r in p.test.select("row_id").collect()) for p in parts]
+    assert not rows[0] & rows[1] and not rows[0] & rows[2]
+    fills = {p.preprocessor.stages[0].getStatement() for p in parts}
+    assert len(fills) > 1
+
+
+def test_experiment_keeps_and_saves_the_best(spark, sf_dir, prepared, tmp_path):
+    grids = {"random_forest": {"numTrees": [3], "maxDepth": [2, 3]}, "hist_gradient_boosting": {"maxIter": [2], "maxDepth": [2]}}
+    path = str(tmp_path / "best")
+    found = D.experiment(Q.stored_features(spark, sf_dir), n_sets=2, folds=2, grids=grids, prepared=prepared, path=path)
+    rows = {r["model"]: r["mae"] for r in found.comparison.collect()}
+    assert set(rows) == {"random_forest", "hist_gradient_boosting", D.MEAN_PREDICTOR} and len(found.scores) == 3
+    models = {k: v for k, v in rows.items() if k != D.MEAN_PREDICTOR}
+    assert found.best.name == min(models, key=models.get)
+    about = spark.read.parquet(f"{path}-metadata").first()
+    assert about["model_type"] == found.best.name and "maxDepth" in about["params"] and about["mae"] == pytest.approx(models[found.best.name])
+    assert found.residuals.agg(F.sum("sessions")).first()[0] == prepared.test.count()
+
+
+def test_richer_forecast_equals_least_squares(spark):
+    rows = [("s", DAY + dt.timedelta(days=i), 10 + i + (5 if i % 7 == 2 else 0)) for i in range(140)]
+    ahead = M.per_group_forecast(spark.createDataFrame(rows, f"{STATION} string, ds date, y bigint"), 7).orderBy("ds").collect()
+    assert [r["ds"] for r in ahead] == [DAY + dt.timedelta(days=140 + i) for i in range(7)]
+    want = [10 + 140 + i + (5 if (140 + i) % 7 == 2 else 0) for i in range(7)]
+    assert [r["yhat"] for r in ahead] == pytest.approx(want, abs=0.6)
+
+
+def test_scope_series_have_a_key(spark, sf_dir):
+    daily = R.daily_agg(sessions(spark, sf_dir))
+    whole = R.scope_series(daily, "all")
+    assert whole.select(STATION).distinct().count() == 1
+    assert whole.agg(F.sum("y")).first()[0] == daily.agg(F.sum("total_sessions")).first()[0]
+    assert R.scope_series(daily, "none", station="absent").isEmpty()

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from voltrail.functions.quantiles import exact_quantiles
 from voltrail.operators import profile as P, reports as R
@@ -24,8 +25,8 @@ def values(to_spark):
     return frame.reset_index(drop=True), to_spark(frame, "g string, a double, b double").repartition(6)
 
 
-# Built-in; bracket with every group below the sketch's accuracy; bracket with real cuts.
-PATHS = [{"small_rows": 10**9}, {"small_rows": 10}, {"small_rows": 10, "accuracy": 500}]
+# Every group below the sketch's accuracy; real cuts; and several parts left in each round.
+PATHS = [{}, {"accuracy": 500}, {"accuracy": 50, "buckets": 4}]
 
 
 @pytest.mark.parametrize("path", PATHS)
@@ -66,7 +67,7 @@ def test_correlation_equals_pandas(to_spark):
 def test_describe_equals_pandas(spark, sf_dir):
     df = sessions(spark, sf_dir)
     frame = df.toPandas()
-    found = P.describe_numeric(df, ["energy_consumed_kwh", "charging_rate_kw"], small_rows=10).toPandas()
+    found = P.describe_numeric(df, ["energy_consumed_kwh", "charging_rate_kw"], accuracy=100).toPandas()
     for row in found.to_dict("records"):
         want = frame[row["column"]].describe()
         got = [row[k] for k in ("count", "mean", "std", "min", "p25", "p50", "p75", "max")]
@@ -96,7 +97,42 @@ def test_missing_counts_nan_and_null(spark):
     assert [tuple(r) for r in P.missing_report_short(df).collect()] == [("v", 2, 66.67), ("t", 1, 33.33)]
 
 
-def test_quantile_row_reports_agree_on_both_paths(spark, sf_dir):
+def test_quantile_row_reports_agree_for_any_accuracy(spark, sf_dir):
     df = sessions(spark, sf_dir)
-    row = R._quantile_row(df, "energy_consumed_kwh", {"m": 0.5}, small_rows=10).first()
+    row = R._quantile_row(df, "energy_consumed_kwh", {"m": 0.5}, accuracy=20).first()
     assert row["m"] == pytest.approx(R.energy_stats(df).first()["median_kwh"])
+
+
+def test_ranks_in_brackets_are_cut_before_they_are_ordered(spark):
+    """Many distinct values: the rounds leave only a few of them for the last window."""
+    from voltrail.functions import quantiles as Q
+    inside = spark.range(50_000).select(F.lit("c").alias("column"), F.lit(0.5).alias("prob"), F.col("id").cast("double").alias("v"), F.lit(2).alias("k"),
+                                        F.lit(60_000).alias("first"), F.lit(60_001).alias("second"), F.lit(10_000).alias("base"))
+    once = Q._narrowed(inside, ["column", "prob"], 128)
+    twice = Q._narrowed(once, ["column", "prob"], 128).orderBy("v").collect()
+    assert once.count() < 1500 and len(twice) < 30
+    at = twice[0]["base"]
+    for row in twice:
+        if at <= 60_000 < at + row["k"]:
+            assert row["v"] == 25_000.0
+        at += row["k"]
+    assert at > 60_001
+
+
+def test_nan_is_missing_in_profiles(spark):
+    df = spark.createDataFrame([(v, "x") for v in (1.0, 2.0, 6.0, float("nan"), None)], "v double, t string")
+    row = P.describe_numeric(df).first()
+    assert (row["count"], row["mean"], row["min"], row["p50"], row["max"]) == (3, 3.0, 1.0, 2.0, 6.0)
+    assert [tuple(r) for r in P.histogram(df, "v", 5).collect()] == [(0, 1.0, 1), (1, 2.0, 1), (4, 5.0, 1)]
+    assert P.describe_numeric(df.select("t")).isEmpty()
+
+
+def test_every_column_that_is_asked_for_is_answered(spark):
+    df = spark.createDataFrame([tuple("abcdefg")], ", ".join(f"c{i} string" for i in range(7)))
+    assert P.category_top_values(df, df.columns).count() == 7
+    assert P.category_top_values(df).count() == 5 and P.category_top_values(df, max_columns=6).count() == 6
+
+
+def test_kpi_plans_expand_nothing(spark, sf_dir):
+    for report in (R.kpi_dashboard, R.kpi_ratios, R.kpi_analytics):
+        assert "Expand" not in report(sessions(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()

@@ -1,13 +1,13 @@
 """Exact quantiles (linear interpolation) that do not gather a large group in one task.
 
-A small input uses the built-in ``percentile``. That aggregate keeps every distinct value of a group
-in one buffer, so beyond ``SMALL_ROWS`` rows a bracket is used instead:
+The built-in ``percentile`` keeps every distinct value of a group in one buffer. Here, for any number of rows:
 
 1. one mergeable sketch per group (``approx_percentile``) gives two values that enclose each wanted
    rank with a wide margin over the sketch's error bound;
 2. one counting pass finds how many values lie below each bracket and at its ends;
-3. the values strictly inside a bracket, a fixed small fraction of the group's rows, are counted, and
-   the wanted ranks are read off the cumulative counts.
+3. the values strictly inside a bracket, a fixed small fraction of the group's rows, are counted, and cut ``ROUNDS`` times
+   in ``BUCKETS`` parts of which only those with a wanted rank stay;
+4. the ranks are read off the cumulative counts of what is left, about 1 / 2,500 of the rows / ``BUCKETS`` ** ``ROUNDS``.
 
 The result is exact. If a bracket ever missed its rank the job fails; it cannot return a wrong value.
 """
@@ -21,14 +21,14 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voltrail.operators.joins import size_checked
-from voltrail.session import cut_lineage
+from voltrail.session import cut_lineage, stored
 
-SMALL_ROWS = 300_000
-# The rank error of a sketch is n / accuracy, and a bracket spans six such errors. The accuracy grows with
-# the rows so that a bracket holds about BRACKET_ROWS; a task holds one sketch per group, so grouped
-# sketches stay smaller.
-BRACKET_ROWS = 10_000_000
-LEAST_ACCURACY, MOST_ACCURACY, MOST_GROUPED_ACCURACY = 2_000, 100_000, 20_000
+# The rank error of a sketch is n / accuracy, and a bracket spans six such errors. A task holds one sketch per group,
+# so grouped sketches are smaller.
+ACCURACY, GROUPED_ACCURACY = 15_000, 2_000
+BUCKETS, ROUNDS = 128, 2
+# A table of cuts is broadcast up to this size.
+BROADCAST_BYTES = 64 << 20
 
 
 def exact_quantiles(
@@ -36,32 +36,12 @@ def exact_quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    small_rows: int = SMALL_ROWS,
-    rows: int | None = None,
     accuracy: int | None = None,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Long form: the ``by`` columns, ``column``, ``prob``, ``value`` (null for a group without values).
-
-    ``rows`` is the row count of ``df``, for a caller that has it already.
-    """
+    """Long form: the ``by`` columns, ``column``, ``prob``, ``value`` (null for a group without values)."""
     wanted = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
-    # A plain count: a limit below it would move rows to one task.
-    rows = wanted.count() if rows is None else rows
-    if rows <= small_rows:
-        return _built_in(wanted, columns, probs, by)
-    most = MOST_GROUPED_ACCURACY if by else MOST_ACCURACY
-    return _bracketed(wanted, columns, probs, by, accuracy or min(most, max(LEAST_ACCURACY, 6 * rows // BRACKET_ROWS)))
-
-
-def _built_in(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
-    points = F.array(*[F.lit(float(p)) for p in probs])
-    wide = df.groupBy(*by).agg(*[F.percentile(c, points).alias(c) for c in columns])
-    cells = [
-        F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("prob"), F.col(c)[i].alias("value"))
-        for c in columns
-        for i, p in enumerate(probs)
-    ]
-    return wide.select(*by, F.inline(F.array(*cells)))
+    return _bracketed(wanted, columns, probs, by, accuracy or (GROUPED_ACCURACY if by else ACCURACY), buckets)
 
 
 # Three counters per cell: 32 cells stay below the 100 fields up to which Spark generates code.
@@ -69,7 +49,7 @@ CELLS_PER_SCAN = 32
 
 
 def _bracketed(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str], accuracy: int
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str], accuracy: int, buckets: int
 ) -> DataFrame:
     margin = 3.0 / accuracy
     edges = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
@@ -80,7 +60,7 @@ def _bracketed(
         F.when(F.count(c) > accuracy, F.approx_percentile(c, points, accuracy)).alias(f"cut_{c}") for c in columns
     ]))
     cells = [(c, float(p), i) for c in columns for i, p in enumerate(probs)]
-    rows = _with_cuts(df, sketch, columns, by)
+    rows = _with_cuts(df, sketch, columns, by, edges)
 
     brackets = sketch.select(*by, F.inline(F.array(*[
         F.struct(
@@ -93,7 +73,7 @@ def _bracketed(
     counted = reduce(DataFrame.unionByName, [_edge_counts(rows, chunk, by) for chunk in chunks])
     key = [*by, "column", "prob"]
     rank = F.col("prob") * (F.col("n") - 1)
-    known = _join(brackets, counted, key).withColumns({"first": F.floor(rank), "second": F.ceil(rank), "rank": rank})
+    known = cut_lineage(_join(brackets, counted, key).withColumns({"first": F.floor(rank), "second": F.ceil(rank), "rank": rank}))
 
     # Strictly inside a bracket there are few rows, however often its end values occur. ``stack`` keeps the
     # reshape in generated code, and its filter is not pushed (and so not copied) into the scan.
@@ -104,8 +84,12 @@ def _bracketed(
     inside = long.filter(reduce(or_, hits)).select(*by, "column", "v", F.inline(F.filter(F.array(*[
         F.struct(F.lit(float(p)).alias("prob"), hit.alias("hit")) for p, hit in zip(probs, hits)
     ]), lambda x: x["hit"]))).groupBy(*key, "v").agg(F.count(F.lit(1)).alias("k"))
-    upto = F.col("upto_low") + F.sum("k").over(Window.partitionBy(*key).orderBy("v"))
-    looked_up = _join(inside, known, key).withColumn("upto", upto).groupBy(*key).agg(
+    ranks = known.select(*key, "first", "second", F.col("upto_low").alias("base"))
+    left = stored(_join(inside, ranks, key), "inside")
+    for _ in range(ROUNDS):
+        left = stored(_narrowed(left, key, buckets), "inside")
+    upto = F.col("base") + F.sum("k").over(Window.partitionBy(*key).orderBy("v"))
+    looked_up = left.withColumn("upto", upto).groupBy(*key).agg(
         F.min(F.when(F.col("upto") > F.col("first"), F.col("v"))).alias("first_inside"),
         F.min(F.when(F.col("upto") > F.col("second"), F.col("v"))).alias("second_inside"),
     )
@@ -122,6 +106,24 @@ def _bracketed(
     return _join(known, looked_up, key, "left").select(*key, F.when(F.col("n") > 0, value).alias("value"))
 
 
+def _narrowed(inside: DataFrame, key: Sequence[str], buckets: int) -> DataFrame:
+    """Of the values (v, k times) only those in the parts that hold a wanted rank; ``base`` values lie before them.
+
+    The parts' limits come from a sketch of the distinct values, and are alike for all rows of a key whatever its error.
+    """
+    points = F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)])
+    limits = inside.groupBy(*key).agg(F.approx_percentile("v", points, 10 * buckets).alias("limits"))
+    placed = _join(inside, limits, key).withColumn("part", F.size(F.filter("limits", lambda x: x < F.col("v")))).drop("limits")
+    sizes = placed.groupBy(*key, "part").agg(F.sum("k").alias("size"), *[F.first(c).alias(c) for c in ("first", "second", "base")])
+    # one row for each part
+    before = F.col("base") + F.coalesce(
+        F.sum("size").over(Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    holds = [(F.col("before") <= F.col(r)) & (F.col("before") + F.col("size") > F.col(r)) for r in ("first", "second")]
+    kept = sizes.withColumn("before", before).filter(holds[0] | holds[1]) \
+        .select(*key, "part", F.min("before").over(Window.partitionBy(*key)).alias("start"))
+    return _join(placed.drop("base"), kept, [*key, "part"]).withColumnRenamed("start", "base").drop("part")
+
+
 def _low(column: str, i: int) -> Column:
     return F.col(f"cut_{column}")[2 * i]
 
@@ -153,10 +155,11 @@ def _edge_counts(rows: DataFrame, cells: Sequence[tuple[str, float, int]], by: S
     ])))
 
 
-def _with_cuts(df: DataFrame, sketch: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+def _with_cuts(df: DataFrame, sketch: DataFrame, columns: Sequence[str], by: Sequence[str], edges: Sequence[float]) -> DataFrame:
     cuts = [f"cut_{c}" for c in columns]
     if by:
-        return _join(df, size_checked(sketch.select(*by, *cuts)), by)
+        row_bytes = 64 * len(by) + sum(8 * len(cut) + 32 for cut in [edges] * len(cuts))
+        return _join(df, size_checked(sketch.select(*by, *cuts), BROADCAST_BYTES // row_bytes), by)
     only = sketch.first()  # one row of a few dozen numbers
     return df.withColumns({
         name: F.lit(None).cast("array<double>") if only[name] is None else F.array(*[F.lit(v) for v in only[name]])

@@ -3,23 +3,26 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from itertools import product
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voltrail.functions.scalar import is_weekend, served_duration, start_hour_bin, valid_duration_request
-from voltrail.models.heuristic import eval_metrics
+from voltrail.models.heuristic import eval_metrics, residuals_by_station
 from voltrail.models.preprocess import build_preprocessor, feature_names, is_test_row, prepared_rows
 from voltrail.operators.joins import modal_cluster_default
 from voltrail.schema import (
     CATEGORICAL_FEATURES, ENERGY, MINUTES, NUMERIC_FEATURES, ROW_ID, STATION, WEEKDAYS,
 )
-from voltrail.session import cut_lineage
+from voltrail.session import stored
+from voltrail.sources.sinks import save_model
 
 SEED = 42
 
@@ -60,17 +63,21 @@ class Prepared:
     test: DataFrame
 
 
-def prepare(features: DataFrame, share: float = 0.2, seed: int = SEED) -> Prepared:
+def prepare(features: DataFrame, share: float = 0.2, seed: int = SEED, hash_columns: Sequence[str] = ()) -> Prepared:
     """Split by row, learn imputation and encoding on the train part, and store the encoded rows.
 
-    Pass ``features`` as a stored table (``cut_lineage``), as it is read for every learning step. The
-    iterative fits then read the encoded rows that are stored here.
+    Pass ``features`` as a stored table, as it is read for every learning step. The iterative fits and all scorings then read
+    the encoded rows of both parts, which are stored here.
     """
     wanted = [ROW_ID, *NUMERIC_FEATURES, *CATEGORICAL_FEATURES, MINUTES]
     marked = features.select(*wanted, is_test_row(ROW_ID, share, seed).alias("is_test"))
-    train, test = marked.filter(~F.col("is_test")), marked.filter("is_test")
-    model = build_preprocessor(train).fit(train)
-    return Prepared(model, cut_lineage(prepared_rows(model, train)), prepared_rows(model, test))
+    return encode(marked.filter(~F.col("is_test")), marked.filter("is_test"), hash_columns)
+
+
+def encode(train: DataFrame, test: DataFrame, hash_columns: Sequence[str] = ()) -> Prepared:
+    """Imputation and encoding learned on ``train``, both parts encoded and stored."""
+    model = build_preprocessor(train, hash_columns).fit(train)
+    return Prepared(model, stored(prepared_rows(model, train), "train"), stored(prepared_rows(model, test), "test"))
 
 
 @dataclass
@@ -90,31 +97,99 @@ def sample_sets(grid: dict[str, list], n: int, seed: int = SEED) -> list[dict]:
     return random.Random(seed).sample(every, min(n, len(every)))
 
 
+def fold_of(folds: int, row_id: str = ROW_ID, seed: int = SEED) -> Column:
+    """Fold of a row, tied to its number and independent of the hold-out split."""
+    digest = F.md5(F.concat_ws("-", F.lit(f"fold {seed}"), F.col(row_id).cast("string")))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(folds)).cast("int")
+
+
+def split_folds(prepared: Prepared, folds: int = SEARCH_FOLDS, hash_columns: Sequence[str] = ()) -> list[Prepared]:
+    """For each fold the other folds as train part, with imputation and encoding learned on those alone."""
+    marked = prepared.train.drop("features", "label").withColumn("_fold", fold_of(folds))
+    return [encode(marked.filter(F.col("_fold") != k).drop("_fold"), marked.filter(F.col("_fold") == k).drop("_fold"), hash_columns)
+            for k in range(folds)]
+
+
 def tune(
     name: str,
     prepared: Prepared,
     n_sets: int = SEARCH_SETS,
-    folds: int = SEARCH_FOLDS,
+    folds: int | list[Prepared] = SEARCH_FOLDS,
     parallelism: int = 4,
     grid: dict[str, list] | None = None,
     **fixed,
 ) -> tuple[Fitted, list[dict]]:
-    """Random search with cross-validation on MAE; the best settings are refitted on all train rows."""
+    """Random search with cross-validation on MAE; the best settings are refitted on all train rows.
+
+    The preprocessing is part of what is validated: every fold learns its own (``split_folds``, which several models can share).
+    """
     build, full_grid = MODELS[name]
-    estimator = build(**fixed)
     settings = sample_sets(grid or full_grid, n_sets)
-    maps = [{estimator.getParam(k): v for k, v in s.items()} for s in settings]
-    search = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=maps,
-        evaluator=RegressionEvaluator(metricName="mae"),
-        numFolds=folds,
-        seed=SEED,
-        parallelism=parallelism,
-    ).fit(prepared.train.select("features", "label"))
-    scores = [{"model": name, **s, "cv_mae": float(m)} for s, m in zip(settings, search.avgMetrics)]
-    best = min(range(len(settings)), key=lambda i: search.avgMetrics[i])
-    return Fitted(name, search.bestModel, settings[best]), scores
+    parts = split_folds(prepared, folds) if isinstance(folds, int) else folds
+    judge = RegressionEvaluator(metricName="mae")
+
+    def score(job: tuple[dict, Prepared]) -> float:
+        chosen, part = job
+        model = build(**fixed, **chosen).fit(part.train.select("features", "label"))
+        return float(judge.evaluate(model.transform(part.test.select("features", "label"))))
+
+    jobs = [(chosen, part) for chosen in settings for part in parts]
+    with ThreadPoolExecutor(parallelism) as pool:
+        errors = list(pool.map(inheritable_thread_target(prepared.train.sparkSession)(score), jobs))
+    means = [sum(errors[i * len(parts):(i + 1) * len(parts)]) / len(parts) for i in range(len(settings))]
+    scores = [{"model": name, **chosen, "cv_mae": mean} for chosen, mean in zip(settings, means)]
+    best = settings[min(range(len(settings)), key=means.__getitem__)]
+    return Fitted(name, build(**fixed, **best).fit(prepared.train), best), scores
+
+
+@dataclass
+class Experiment:
+    """Tuned models with their validation scores, hold-out errors, and the best model with its residuals."""
+
+    models: list[Fitted]
+    scores: list[dict]
+    comparison: DataFrame
+    best: Fitted
+    residuals: DataFrame
+
+
+def experiment(features: DataFrame, n_sets: int = SEARCH_SETS, folds: int = SEARCH_FOLDS, fit_rows: int | None = None,
+               grids: dict[str, dict[str, list]] | None = None, hash_columns: Sequence[str] = (), prepared: Prepared | None = None,
+               path: str | None = None) -> Experiment:
+    """Tune both models, compare them and a mean predictor on the hold-out part, keep the best by MAE and save it.
+
+    ``fit_rows`` bounds the labelled rows that are fitted on (by a hash of the row number, about); the hold-out part is whole.
+    With ``path`` the best model is saved as a pipeline, with a table of its metadata beside it.
+    """
+    prepared = prepared or prepare(features, hash_columns=hash_columns)
+    if fit_rows is not None:
+        n = prepared.train.count()
+        if n > fit_rows:
+            chosen = prepared.train.filter(fold_of(1 << 20, seed=SEED + 1) < int(fit_rows / n * (1 << 20))).drop("features", "label")
+            prepared = encode(chosen, prepared.test.drop("features", "label"), hash_columns)
+    parts = split_folds(prepared, folds, hash_columns)
+    models, scores = [], []
+    for name in MODELS:
+        fitted, found = tune(name, prepared, n_sets, parts, grid=(grids or {}).get(name))
+        models.append(fitted)
+        scores += found
+    compared = stored(with_mean_predictor(comparison(models, prepared.test), prepared), "comparison")
+    best_name = best_model(compared.filter(F.col("model") != MEAN_PREDICTOR)).first()["best_model"]
+    best = next(m for m in models if m.name == best_name)
+    residuals = residuals_by_station(predict(best.model, prepared.test))
+    if path is not None:
+        save_model(as_pipeline(prepared, best), path, best.name, best.params, compared.filter(F.col("model") == best.name))
+    return Experiment(models, scores, compared, best, residuals)
+
+
+MEAN_PREDICTOR = "mean_predictor"
+
+
+def with_mean_predictor(scores: DataFrame, prepared: Prepared) -> DataFrame:
+    """Adds the hold-out errors of predicting the train part's mean: what a model has to beat."""
+    mean = prepared.train.agg(F.avg(MINUTES)).scalar()
+    flat = eval_metrics(prepared.test.withColumn("predicted_minutes", mean))
+    return scores.unionByName(flat.select(F.lit(99).alias("place"), F.lit(MEAN_PREDICTOR).alias("model"), "n", "mae", "rmse", "r2"))
 
 
 def comparison(fitted: list[Fitted], test: DataFrame) -> DataFrame:

@@ -243,16 +243,27 @@ WAVES = 3
 GROUP_SCHEMA = f"{STATION} string, train_rows bigint, slope double, mae double, rmse double"
 
 
-def _fit_waves(rows: pd.DataFrame) -> pd.DataFrame:
+FORECAST_SCHEMA = f"{STATION} string, ds date, yhat double"
+
+
+def _design(days: pd.Series, first: pd.Timestamp) -> np.ndarray:
+    x = (days - first).dt.days.to_numpy(float)
+    angle = 2 * np.pi * days.dt.dayofweek.to_numpy(float)[:, None] * np.arange(1, WAVES + 1) / 7
+    return np.column_stack([np.ones_like(x), x, np.sin(angle), np.cos(angle)])
+
+
+def _waves(rows: pd.DataFrame) -> tuple[pd.Series, np.ndarray, np.ndarray, np.ndarray]:
     """Trend plus three weekly sine/cosine pairs by ridge regression on one station's days."""
     rows = rows.sort_values("ds")
     days = pd.to_datetime(rows["ds"])
-    x = (days - days.iloc[0]).dt.days.to_numpy(float)
     y = rows["y"].to_numpy(float)
-    angle = 2 * np.pi * days.dt.dayofweek.to_numpy(float)[:, None] * np.arange(1, WAVES + 1) / 7
-    design = np.column_stack([np.ones_like(x), x, np.sin(angle), np.cos(angle)])
+    design = _design(days, days.iloc[0])
     penalty = np.diag([0.0, 0.0] + [1.0] * (2 * WAVES))
-    beta = np.linalg.lstsq(design.T @ design + penalty, design.T @ y, rcond=None)[0]
+    return days, design, y, np.linalg.lstsq(design.T @ design + penalty, design.T @ y, rcond=None)[0]
+
+
+def _fit_waves(rows: pd.DataFrame) -> pd.DataFrame:
+    _, design, y, beta = _waves(rows)
     error = y - design @ beta
     return pd.DataFrame({
         STATION: [rows[STATION].iloc[0]],
@@ -266,3 +277,13 @@ def _fit_waves(rows: pd.DataFrame) -> pd.DataFrame:
 def per_group_model(series: DataFrame) -> DataFrame:
     """One small regression per station in Arrow batches; a group is one row per calendar day."""
     return series.groupBy(STATION).applyInPandas(_fit_waves, GROUP_SCHEMA)
+
+
+def per_group_forecast(series: DataFrame, horizon: int = 30) -> DataFrame:
+    """The richer model's days after each series, one row per station and day."""
+    def ahead(rows: pd.DataFrame) -> pd.DataFrame:
+        days, _, _, beta = _waves(rows)
+        future = pd.Series(pd.date_range(days.iloc[-1] + pd.Timedelta(days=1), periods=horizon))
+        return pd.DataFrame({STATION: rows[STATION].iloc[0], "ds": future.dt.date, "yhat": _design(future, days.iloc[0]) @ beta})
+
+    return series.groupBy(STATION).applyInPandas(ahead, FORECAST_SCHEMA)

@@ -21,19 +21,18 @@ def duration_medians(sessions: DataFrame) -> DataFrame:
 
     Level ``all`` holds the overall medians of minutes and energy.
     """
-    rows = sessions.select(MINUTES).count()
     blocks = sessions.withColumn("hour_block", hour_block("start_hour"))
     columns = ["charger_type", "day_of_week", "hour_block"]
     parts = []
     for level, by in LEVELS.items():
-        medians = exact_quantiles(blocks, [MINUTES], [0.5], by, rows=rows)
+        medians = exact_quantiles(blocks, [MINUTES], [0.5], by)
         parts.append(medians.select(
             F.lit(level).alias("level"),
             *[F.col(c) if c in by else F.lit(None).cast("string").alias(c) for c in columns],
             F.col("value").alias("median_minutes"),
             F.lit(None).cast("double").alias("median_energy"),
         ))
-    overall = exact_quantiles(blocks, [MINUTES, ENERGY], [0.5], rows=rows)
+    overall = exact_quantiles(blocks, [MINUTES, ENERGY], [0.5])
     parts.append(overall.agg(
         F.lit("all").alias("level"),
         *[F.lit(None).cast("int" if c == "hour_block" else "string").alias(c) for c in columns],

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -13,8 +14,8 @@ from voltrail.functions.quantiles import exact_quantiles
 from voltrail.operators.profile import describe_categorical
 from voltrail.schema import CATEGORICAL_FEATURES, MINUTES, NUMERIC_FEATURES, ROW_ID
 
-# A text column with more values than this is hashed into this many slots and not one-hot encoded.
-MAX_ONE_HOT = 20_000
+# Slots of a text column that the caller wants hashed and not one-hot encoded.
+HASH_SLOTS = 20_000
 
 
 def is_test_row(row_id: str = ROW_ID, share: float = 0.2, seed: int = 42) -> Column:
@@ -47,12 +48,15 @@ def fill_table(
 
 
 def learn_fills(train: DataFrame) -> Fills:
+    """Fill values; a feature without any value in the train part is left out, with a warning, as there is nothing to learn."""
     # One row per feature, a few dozen in all.
-    rows = fill_table(train).collect()
-    return Fills(
-        {r["column"]: r["median"] or 0.0 for r in rows if r["column"] in NUMERIC_FEATURES},
-        {r["column"]: r["most_common"] for r in rows if r["column"] in CATEGORICAL_FEATURES},
-    )
+    rows = {r["column"]: r for r in fill_table(train).collect()}
+    numeric = {c: rows[c]["median"] for c in NUMERIC_FEATURES if c in rows and rows[c]["median"] is not None}
+    text = {c: rows[c]["most_common"] for c in CATEGORICAL_FEATURES if c in rows and rows[c]["most_common"] is not None}
+    empty = [c for c in NUMERIC_FEATURES + CATEGORICAL_FEATURES if c not in numeric and c not in text]
+    if empty:
+        warnings.warn(f"features without values are left out: {empty}", stacklevel=2)
+    return Fills(numeric, text)
 
 
 def _sql_text(value: str) -> str:
@@ -66,28 +70,27 @@ def _imputer(fills: Fills) -> SQLTransformer:
     return SQLTransformer(statement=f"select *, {', '.join(parts)} from __THIS__")
 
 
-def build_preprocessor(train: DataFrame, max_one_hot: int = MAX_ONE_HOT) -> Pipeline:
-    """Impute, one-hot encode (an unseen value becomes all zeros) and assemble a sparse vector."""
+def build_preprocessor(train: DataFrame, hash_columns: Sequence[str] = (), hash_slots: int = HASH_SLOTS) -> Pipeline:
+    """Impute, one-hot encode (an unseen value becomes all zeros) and assemble a sparse vector.
+
+    One-hot encoding brings all values of a text column to the driver. Name the columns for which these are too many, as
+    the station id of a large network, in ``hash_columns``: each is hashed into ``hash_slots`` slots of its own.
+    """
     fills = learn_fills(train)
-    text = list(fills.text)
-    levels = train.agg(*[F.approx_count_distinct(c).alias(c) for c in text]).first()
-    hashed = [c for c in text if levels[c] > max_one_hot]
-    one_hot = [c for c in text if c not in hashed]
-    stages = [
-        _imputer(fills),
-        StringIndexer(
-            inputCols=[f"{c}_f" for c in one_hot], outputCols=[f"{c}_i" for c in one_hot],
-            handleInvalid="keep", stringOrderType="alphabetAsc",
-        ),
-        # "keep" adds a last slot for unseen values, which dropLast removes again.
-        OneHotEncoder(inputCols=[f"{c}_i" for c in one_hot], outputCols=[f"{c}_o" for c in one_hot], dropLast=True),
-    ]
-    vectors = [f"{c}_f" for c in fills.numeric] + [f"{c}_o" for c in one_hot]
-    if hashed:
-        stages.append(FeatureHasher(
-            inputCols=[f"{c}_f" for c in hashed], outputCol="hashed_text", numFeatures=max_one_hot
-        ))
-        vectors.append("hashed_text")
+    hashed = [c for c in fills.text if c in hash_columns]
+    one_hot = [c for c in fills.text if c not in hash_columns]
+    stages = [_imputer(fills)]
+    if one_hot:
+        stages += [
+            StringIndexer(
+                inputCols=[f"{c}_f" for c in one_hot], outputCols=[f"{c}_i" for c in one_hot],
+                handleInvalid="keep", stringOrderType="alphabetAsc",
+            ),
+            # "keep" adds a last slot for unseen values, which dropLast removes again.
+            OneHotEncoder(inputCols=[f"{c}_i" for c in one_hot], outputCols=[f"{c}_o" for c in one_hot], dropLast=True),
+        ]
+    stages += [FeatureHasher(inputCols=[f"{c}_f"], outputCol=f"{c}_h", numFeatures=hash_slots) for c in hashed]
+    vectors = [f"{c}_f" for c in fills.numeric] + [f"{c}_o" for c in one_hot] + [f"{c}_h" for c in hashed]
     stages.append(VectorAssembler(inputCols=vectors, outputCol="features"))
     return Pipeline(stages=stages)
 
@@ -99,8 +102,7 @@ def feature_names(prepared: DataFrame) -> list[str]:
     known = NUMERIC_FEATURES + CATEGORICAL_FEATURES
     owner = []
     for _, name in slots:
-        owners = [c for c in known if name == f"{c}_f" or name.startswith(f"{c}_o_")]
-        owner.append(owners[0] if owners else "hashed_text")
+        owner.append(next(c for c in known if name == f"{c}_f" or name.startswith((f"{c}_o_", f"{c}_h_"))))
     return owner
 
 

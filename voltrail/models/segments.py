@@ -17,8 +17,6 @@ from voltrail.schema import SEGMENT_FEATURES, STATION
 from voltrail.session import cut_lineage
 
 SEED, RESTARTS, CLUSTERS = 42, 20, 4
-# The layout of the station table decides which rows seed k-means, so it is fixed by the key.
-STATION_PARTITIONS = 8
 
 
 def scale_features(features: DataFrame, columns: list[str] = SEGMENT_FEATURES) -> DataFrame:
@@ -34,11 +32,13 @@ def scale_features(features: DataFrame, columns: list[str] = SEGMENT_FEATURES) -
     return features.withColumn("_m", moments).select(STATION, *scaled)
 
 
-def assemble(scaled: DataFrame, partitions: int = STATION_PARTITIONS) -> DataFrame:
-    """Feature vectors in a layout that depends on the station ids only, stored for the iterative fits.
+def assemble(scaled: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Feature vectors in a layout that depends on the station ids and the number of partitions, stored for the iterative fits.
 
-    Cached on top of the stored copy: an iteration reads memory, a lost executor re-reads the files.
+    The layout decides which rows seed k-means. The number is that of the session's shuffles unless given.
+    Cached on top of the stored copy: an iteration reads memory, a lost executor re-reads the files. Unpersist it after use.
     """
+    partitions = partitions or int(scaled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     vectors = VectorAssembler(inputCols=SEGMENT_FEATURES, outputCol="features").transform(scaled)
     laid_out = vectors.select(STATION, "features").repartition(partitions, STATION).sortWithinPartitions(STATION)
     return cut_lineage(laid_out).persist()
@@ -51,6 +51,18 @@ class Segmentation:
     model: KMeansModel
     cost: float
 
+    def release(self) -> None:
+        """Drop the cached vectors; their stored copy stays."""
+        self.vectors.unpersist()
+
+    def centres(self) -> DataFrame:
+        """The stored centres in scaled units: cluster and one column for each feature."""
+        raw = [[float(x) for x in c] for c in self.model.clusterCenters()]
+        volume = SEGMENT_FEATURES.index("session_count")
+        ordered = sorted(raw, key=lambda c: (c[volume], c))
+        return self.vectors.sparkSession.createDataFrame(
+            [(i, *c) for i, c in enumerate(ordered)], "cluster int, " + ", ".join(f"{c} double" for c in SEGMENT_FEATURES))
+
 
 def fit_kmeans(vectors: DataFrame, k: int = CLUSTERS, restarts: int = RESTARTS, seed: int = SEED,
                parallelism: int = 8) -> KMeansModel:

@@ -37,6 +37,10 @@ def parse_times(df: DataFrame, columns: Sequence[str] = TIME_COLUMNS) -> DataFra
     })
 
 
+# A decimal number as text, or an infinity; the cast alone would also take Java's suffixes (12d, 12f).
+NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
+
+
 def coerce_numeric(df: DataFrame, columns: Sequence[str] = NUMERIC_COLUMNS) -> DataFrame:
     """Known numeric columns to double; text that is no number becomes null."""
     changed = {}
@@ -47,7 +51,7 @@ def coerce_numeric(df: DataFrame, columns: Sequence[str] = NUMERIC_COLUMNS) -> D
         if isinstance(kind, T.DoubleType):
             number = F.col(c)
         else:
-            number = F.col(c).try_cast("double") if isinstance(kind, T.StringType) else F.col(c).cast("double")
+            number = F.when(F.col(c).rlike(NUMBER), F.col(c)).try_cast("double") if isinstance(kind, T.StringType) else F.col(c).cast("double")
         changed[c] = F.when(~F.isnan(number), number)
     return df.withColumns(changed)
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voltrail.schema import STATION
+from voltrail.session import stored
 
 # A side is broadcast only when it was counted and holds at most this many (narrow) rows.
 BROADCAST_ROWS = 200_000
@@ -87,3 +88,16 @@ def modal_cluster_default(requests: DataFrame, clusters: DataFrame) -> DataFrame
     return requests.join(size_checked(clusters.select(STATION, "cluster")), STATION, "left").withColumn(
         "cluster", F.coalesce("cluster", common.scalar())
     )
+
+
+def numbered(ordered: DataFrame) -> DataFrame:
+    """Adds ``place``: 1, 2, ... in the order in which the rows of an ordered table come.
+
+    The table is stored with the number of its partition and the place within; the window holds one row for each partition.
+    """
+    kept = stored(ordered.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}), "ordered")
+    parts = kept.groupBy("_part").agg(F.min("_place").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    place = F.col("_start") + F.col("_place") - F.col("_least") + 1
+    return kept.join(starts, "_part").withColumn("place", place).drop("_part", "_place", "_least", "_start")

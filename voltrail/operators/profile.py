@@ -71,8 +71,25 @@ def _moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ]).select(F.inline(F.array(*[F.col(c) for c in columns])))
 
 
+NUMERIC_SCHEMA = "column string, count bigint, mean double, std double, min double, " \
+                 + "".join(f"{name} double, " for name in QUARTILES) + "max double"
+
+
+def _without_nan(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns with NaN as null: a NaN is a missing value."""
+    kept = {c: F.col(c) for c in columns}
+    for c in columns:
+        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+            kept[c] = F.when(~F.isnan(c), F.col(c))
+    return df.select(*[v.alias(c) for c, v in kept.items()])
+
+
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None, **options) -> DataFrame:
-    columns = list(columns or numeric_columns(df))
+    """Count, mean, deviation and quartiles of each numeric column; NaN is skipped. No numeric column, no rows."""
+    columns = list(numeric_columns(df) if columns is None else columns)
+    if not columns:
+        return df.sparkSession.createDataFrame([], NUMERIC_SCHEMA)
+    df = _without_nan(df, columns)
     parts = [_moments(df, columns[i:i + MOMENT_COLUMNS]) for i in range(0, len(columns), MOMENT_COLUMNS)]
     moments = reduce(DataFrame.unionByName, parts)
     ranks = exact_quantiles(df, columns, list(QUARTILES.values()), **options)
@@ -109,13 +126,13 @@ def describe_categorical(df: DataFrame, columns: Sequence[str] | None = None) ->
     )
 
 
-def category_top_values(df: DataFrame, columns: Sequence[str] | None = None, n: int = 10) -> DataFrame:
-    """Distinct count and the ``n`` most common values of the first five text columns.
+def category_top_values(df: DataFrame, columns: Sequence[str] | None = None, n: int = 10, max_columns: int = 5) -> DataFrame:
+    """Distinct count and the ``n`` most common values of the given columns, or of the first ``max_columns`` text columns.
 
     The rank limit is applied in every task before the shuffle (window group limit), so a column with
     very many values sends only ``n`` candidates per task.
     """
-    columns = (text_columns(df) if columns is None else list(columns))[:5]
+    columns = text_columns(df)[:max_columns] if columns is None else list(columns)
     counts = _value_counts(df, columns)
     # Reads ``n`` as well, so that both branches are one plan and share its shuffle.
     unique = counts.groupBy("column").agg(F.count_if(F.col("n") > 0).alias("unique_values"))
@@ -127,8 +144,9 @@ def category_top_values(df: DataFrame, columns: Sequence[str] | None = None, n:
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """Equal-width bins between the least and greatest value; empty bins are left out."""
-    value = F.col(column).cast("double")
+    """Equal-width bins between the least and greatest value; NaN is skipped, empty bins are left out."""
+    number_or_nan = F.col(column).cast("double")
+    value = F.when(~F.isnan(number_or_nan), number_or_nan)
     ends = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high"))).scalar()
     spread = F.col("_e.high") - F.col("_e.low")
     number = F.when(spread == 0, F.lit(0)).otherwise(

@@ -6,7 +6,7 @@ partial row per task. Keys that are null are dropped in the extracts and kept in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voltrail.functions.quantiles import exact_quantiles
 from voltrail.functions.scalar import iso_date, safe_divide, share_of
@@ -82,31 +82,31 @@ def kpi_analytics(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_sessions"),
         F.bround(F.sum(ENERGY), 2).alias("total_energy_kwh"),
         F.bround(F.avg(MINUTES), 2).alias("avg_session_duration_minutes"),
-        F.countDistinct(STATION).alias("total_stations"),
         iso_date(F.min(START)).alias("first_date"),
         iso_date(F.max(START)).alias("last_date"),
-    ).withColumn("peak_hour", peak_hour(df).select("start_hour").scalar())
+    ).withColumns({"total_stations": _distinct(df, STATION), "peak_hour": peak_hour(df).select("start_hour").scalar()})
+
+
+def _distinct(df: DataFrame, column: str) -> Column:
+    """Number of values of a column, by an aggregate of its own: no row is expanded for it, and no mean travels with it."""
+    return df.select(column).groupBy(column).agg(F.lit(1)).agg(F.count(column).alias("n")).scalar()
 
 
 def kpi_dashboard(df: DataFrame) -> DataFrame:
-    return df.agg(
+    totals = df.agg(
         F.count(F.lit(1)).alias("total_sessions"),
-        F.countDistinct(STATION).alias("total_stations"),
-        F.countDistinct("user_id").alias("total_users"),
         F.avg(MINUTES).alias("avg_duration_minutes"),
         (F.sum(ENERGY) / 1000).alias("total_energy_mwh"),
         F.avg("charging_cost_usd").alias("avg_cost_usd"),
     )
+    return totals.withColumns({"total_stations": _distinct(df, STATION), "total_users": _distinct(df, "user_id")}).select(
+        "total_sessions", "total_stations", "total_users", "avg_duration_minutes", "total_energy_mwh", "avg_cost_usd")
 
 
 def kpi_ratios(df: DataFrame) -> DataFrame:
-    totals = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.countDistinct(STATION).alias("stations"),
-        F.countDistinct("user_id").alias("users"),
-    )
+    totals = row_count(df).withColumns({"stations": _distinct(df, STATION), "users": _distinct(df, "user_id")})
     return totals.select(
-        safe_divide(F.col("n"), F.col("stations"), None).alias("sessions_per_station"),
+        safe_divide(F.col("row_count"), F.col("stations"), None).alias("sessions_per_station"),
         safe_divide(F.col("users"), F.col("stations"), None).alias("users_per_station"),
     )
 
@@ -238,6 +238,14 @@ def scoped_series(daily: DataFrame, top: DataFrame | None = None, station: str |
     return scoped.groupBy(F.col(DATE).alias("ds")).agg(F.sum("total_sessions").alias("y")).orderBy("ds")
 
 
+def scope_series(daily: DataFrame, name: str, top: DataFrame | None = None, station: str | None = None, min_days: int = 2) -> DataFrame:
+    """``scoped_series`` as one series with ``name`` as its key, in the shape the forecasts read."""
+    total = scoped_series(daily.filter(F.col(DATE).isNotNull()), top, station)
+    # a scope has one row for each day of the calendar
+    days = F.count(F.lit(1)).over(Window.partitionBy(STATION))
+    return total.select(F.lit(name).alias(STATION), "ds", "y").withColumn("_days", days).filter(F.col("_days") >= min_days).drop("_days")
+
+
 def station_series(daily: DataFrame, min_days: int = 2) -> DataFrame:
     """(station, ds, y) of every station with at least ``min_days`` days.
 

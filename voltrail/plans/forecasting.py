@@ -220,6 +220,39 @@ def _(spark, sf_dir):
     return M.per_group_model(station_days(spark, sf_dir))
 
 
+@query("per_group_forecast", "SELECT charging_station_id, last_day + CAST(unnest(generate_series(1, 14)) AS INT) AS ds, true AS is_number FROM "
+       "st_coef", extra=STATION_FIT)
+def _(spark, sf_dir):
+    """The richer model's forecast: a number for every station and day ahead (the numbers are tested against least squares)."""
+    rows = M.per_group_forecast(station_days(spark, sf_dir), 14)
+    return rows.select(STATION, "ds", (F.col("yhat").isNotNull() & ~F.isnan("yhat")).alias("is_number"))
+
+
+SCOPE_STATION = "Station_1"
+SCOPES = {
+    "top_of_all": "SELECT charging_station_id FROM sessions GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 50",
+    "scope_days": "SELECT 'all' AS charging_station_id, session_date AS ds, CAST(sum(total_sessions) AS BIGINT) AS y FROM daily GROUP BY 1, 2 "
+                  "UNION ALL SELECT 'top 50', session_date, CAST(sum(total_sessions) AS BIGINT) FROM daily WHERE charging_station_id IN "
+                  "(SELECT charging_station_id FROM top_of_all) GROUP BY 1, 2 UNION ALL SELECT charging_station_id, session_date, total_sessions "
+                  f"FROM daily WHERE charging_station_id = '{SCOPE_STATION}'",
+    "long_scopes": "SELECT * FROM scope_days QUALIFY count(*) OVER (PARTITION BY charging_station_id) >= 10",
+    "short_scopes": "SELECT * FROM scope_days QUALIFY count(*) OVER (PARTITION BY charging_station_id) BETWEEN 2 AND 9",
+    **fit_sql("long_scopes", "sc_"),
+}
+
+
+@query("forecast_scope", 'SELECT charging_station_id, ds AS "Date", yhat AS "Predicted", yhat_lower AS "Lower", yhat_upper AS "Upper", '
+       f"'{M.MODEL_NAME}' AS model FROM ({future_sql('sc_', '30', 95)}) UNION ALL SELECT charging_station_id, ds, yhat, "
+       f"yhat_lower, yhat_upper, '{M.BASELINE_NAME}' FROM ({naive_sql('short_scopes', 30, '196e-2')})", ("Predicted", "Lower", "Upper"), extra=SCOPES)
+def _(spark, sf_dir):
+    """The forecast of a scope: all stations, the 50 with most sessions, and one station."""
+    df = sessions(spark, sf_dir)
+    daily = R.daily_agg(df)
+    series = R.scope_series(daily, "all").unionByName(R.scope_series(daily, "top 50", top=R.top_scope(df))) \
+        .unionByName(R.scope_series(daily, SCOPE_STATION, station=SCOPE_STATION))
+    return M.auto(series, 30)
+
+
 @query("forecast_report", "SELECT charging_station_id, printf('| %s | %d | %.2f | %.2f | %s |', charging_station_id, "
        "train_rows, mae, rmse, CASE WHEN mape IS NULL THEN 'n/a' ELSE printf('%.3f', mape) END) AS line FROM st_metrics",
        extra=STATION_FIT)

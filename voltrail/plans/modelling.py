@@ -15,7 +15,7 @@ from voltrail.plans.reporting import FEATURE_DOUBLES, STATION_FEATURES
 from voltrail.schema import (
     CATEGORICAL_FEATURES, ENERGY, MINUTES, NUMERIC_FEATURES, ROW_ID, SEGMENT_FEATURES, STATION,
 )
-from voltrail.session import cut_lineage, scratch_path
+from voltrail.session import scratch_path, stored
 from voltrail.sources import sinks as OUT
 from voltrail.sources.mapping import requests, sessions
 
@@ -158,7 +158,7 @@ def _(spark, sf_dir):
 
 def stored_features(spark, sf_dir):
     """The feature table on reliable storage: imputation, encoding and scoring read it several times."""
-    return once(spark, sf_dir, "features", lambda: cut_lineage(labelled_features(spark, sf_dir)))
+    return once(spark, sf_dir, "features", lambda: stored(labelled_features(spark, sf_dir), "features"))
 
 
 def prepared(spark, sf_dir) -> D.Prepared:
@@ -218,13 +218,39 @@ def _(spark, sf_dir):
     return rows.select(ROW_ID, STATION, MINUTES, "predicted_minutes")
 
 
-LIGHT_GRID = {"numTrees": [5, 10], "maxDepth": [3, 5], "minInstancesPerNode": [1, 2, 4]}
+# Settings of the search that fit the time of a check; the library's defaults are the full grids with 12 sets.
+LIGHT_GRIDS = {
+    "random_forest": {"numTrees": [5, 10], "maxDepth": [3, 5], "minInstancesPerNode": [1, 2, 4]},
+    "hist_gradient_boosting": {"stepSize": [0.05, 0.1], "maxDepth": [3, 4], "maxIter": [5]},
+}
+#: Labelled rows that the search is fitted on (the library's documented bound; the hold-out part is whole).
+SEARCH_ROWS = 5000
+
+
+def searched(spark, sf_dir) -> D.Experiment:
+    return once(spark, sf_dir, "experiment", lambda: D.experiment(
+        stored_features(spark, sf_dir), n_sets=2, folds=3, fit_rows=SEARCH_ROWS, grids=LIGHT_GRIDS, prepared=prepared(spark, sf_dir),
+        path=scratch_path(spark, "best-model")))
 
 
 @query("tune")
 def _(spark, sf_dir):
-    _, scores = D.tune("random_forest", prepared(spark, sf_dir), n_sets=2, folds=3, grid=LIGHT_GRID)
-    return spark.createDataFrame(scores).select("model", *LIGHT_GRID, "cv_mae")
+    """Validation scores of both models."""
+    names = sorted({k for grid in LIGHT_GRIDS.values() for k in grid})
+    rows = [(s["model"], *[float(s[k]) if k in s else None for k in names], s["cv_mae"]) for s in searched(spark, sf_dir).scores]
+    return spark.createDataFrame(rows, "model string, " + ", ".join(f"{k} double" for k in names) + ", cv_mae double")
+
+
+@query("experiment")
+def _(spark, sf_dir):
+    """Hold-out errors of the tuned models and of a mean predictor; the best one is marked."""
+    found = searched(spark, sf_dir)
+    return found.comparison.withColumn("is_best", F.col("model") == found.best.name)
+
+
+@query("experiment_residuals")
+def _(spark, sf_dir):
+    return searched(spark, sf_dir).residuals
 
 
 @query("model_comparison")
@@ -268,6 +294,101 @@ def _(spark, sf_dir):
     )
 
 
+# --- checked properties of what has no SQL form ----------------------------------------------------
+
+TEST_ROWS = "SELECT * FROM features WHERE substring(md5(concat('42-', row_id)), 1, 8) < '33333333'"
+
+
+@query("best_of_predictors", "SELECT CASE WHEN a <= b THEN 'median_estimate' ELSE 'station_mean' END AS best_model, least(a, b) AS mae FROM "
+       f"(SELECT avg(abs({ERROR})) AS a FROM session_estimates), (SELECT avg(abs(charging_duration_minutes - m)) AS b FROM (SELECT *, "
+       "avg(charging_duration_minutes) OVER (PARTITION BY charging_station_id) AS m FROM sessions))", ("mae",), extra=ESTIMATE)
+def _(spark, sf_dir):
+    """The choice of the best model, on two predictors that SQL has too."""
+    rows = session_estimates(spark, sf_dir)
+    means = rows.groupBy(STATION).agg(F.avg(MINUTES).alias("predicted_minutes"))
+    scored = [H.eval_metrics(rows), H.eval_metrics(rows.drop("predicted_minutes").join(means, STATION))]
+    named = [s.withColumns({"place": F.lit(i), "model": F.lit(n)}) for i, (s, n) in enumerate(zip(scored, ("median_estimate", "station_mean")))]
+    return D.best_model(named[0].unionByName(named[1]))
+
+
+def _model_properties(name: str, which) -> None:
+    @query(name, f"SELECT row_id, charging_station_id, charging_duration_minutes, true AS is_predicted, true AS better_on_train FROM ({TEST_ROWS})",
+           (MINUTES,), extra=FEATURES)
+    def _(spark, sf_dir):
+        """A finite prediction for every test session, by a model with a smaller error than the mean on its train rows."""
+        model, parts = which(spark, sf_dir).model, prepared(spark, sf_dir)
+        mean = parts.train.agg(F.avg(MINUTES)).scalar()
+        error = D.predict(model, parts.train).agg(
+            (F.avg(F.abs(F.col(MINUTES) - F.col("predicted_minutes"))) < F.avg(F.abs(F.col(MINUTES) - mean))).alias("better")).scalar()
+        known = F.col("predicted_minutes").isNotNull() & ~F.isnan("predicted_minutes")
+        return D.predict(model, parts.test).select(ROW_ID, STATION, MINUTES, known.alias("is_predicted"), error.alias("better_on_train"))
+
+
+_model_properties("duration_rf_properties", forest)
+_model_properties("duration_gbt_properties", boosted)
+
+
+@query("tune_properties", " UNION ALL ".join(
+    f"SELECT '{name}' AS model, CAST({n} AS BIGINT) AS sets, true AS scored, true AS best_is_least" for name, n in
+    (("random_forest", 2), ("hist_gradient_boosting", 2))))
+def _(spark, sf_dir):
+    """Each model has the number of distinct settings asked for, all scored, and keeps the one with the least error."""
+    found = searched(spark, sf_dir)
+    rows = []
+    for fitted in found.models:
+        own = [s for s in found.scores if s["model"] == fitted.name]
+        least = min(own, key=lambda s: s["cv_mae"])
+        distinct = {tuple(sorted((k, v) for k, v in s.items() if k != "cv_mae")) for s in own}
+        rows.append((fitted.name, len(distinct), all(0 < s["cv_mae"] < 1e6 for s in own), all(least[k] == v for k, v in fitted.params.items())))
+    return spark.createDataFrame(rows, "model string, sets bigint, scored boolean, best_is_least boolean")
+
+
+@query("duration_serve_properties", "SELECT request_id, charging_station_id, coalesce(cluster, (SELECT cluster FROM labels GROUP BY 1 ORDER BY "
+       "count(*) DESC, 1 LIMIT 1)) AS cluster, true AS in_range FROM requests LEFT JOIN labels USING (charging_station_id) "
+       "WHERE energy_kwh > 0 AND start_hour BETWEEN 0 AND 23 AND weekday BETWEEN 0 AND 6")
+def _(spark, sf_dir):
+    """Every valid request is served, with its cluster, between 5 and 240 minutes at one decimal."""
+    served = D.serve(requests(spark, sf_dir), stored_labels(spark, sf_dir), prepared(spark, sf_dir).preprocessor, forest(spark, sf_dir))
+    minutes = F.col("predicted_duration_minutes")
+    return served.select("request_id", STATION, "cluster", (minutes.between(5, 240) & (F.bround(minutes, 1) == minutes)).alias("in_range"))
+
+
+@query("importance_properties", " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, true AS not_negative, true AS sums_to_one" for c in NUMERIC_FEATURES + CATEGORICAL_FEATURES))
+def _(spark, sf_dir):
+    rows = D.feature_importance(spark, forest(spark, sf_dir), prepared(spark, sf_dir))
+    total = rows.agg(F.sum("importance")).scalar()
+    return rows.select("feature", (F.col("importance") >= 0).alias("not_negative"), (F.abs(total - 1) < 1e-9).alias("sums_to_one"))
+
+
+@query("kmeans_properties", "SELECT charging_station_id, true AS nearest, true AS centre_is_mean FROM station_table",
+       extra={"station_table": STATION_FEATURES})
+def _(spark, sf_dir):
+    """Every station once, in the cluster of the nearest stored centre; the centres are the means of their clusters."""
+    found = segmentation(spark, sf_dir)
+    path = OUT.write_parquet(found.centres(), scratch_path(spark, "centres"))
+    centres = spark.read.parquet(path).select(F.col("cluster").alias("of"), F.array(*SEGMENT_FEATURES).alias("centre"))
+    points = found.vectors.select(STATION, vector_to_array("features").alias("point")).join(found.labels.select(STATION, "cluster"), STATION)
+    gap = F.aggregate(F.zip_with("point", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    nearest = points.crossJoin(F.broadcast(centres)).groupBy(STATION, "cluster").agg(
+        F.min(gap).alias("least"), F.min(F.when(F.col("of") == F.col("cluster"), gap)).alias("own"))
+    means = points.select("cluster", F.posexplode("point").alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("mean"))
+    off = means.join(centres, F.col("of") == F.col("cluster")).agg(
+        (F.max(F.abs(F.col("mean") - F.col("centre")[F.col("i")])) < 1e-3).alias("ok")).scalar()
+    return nearest.select(STATION, (F.col("own") <= F.col("least") + 1e-9).alias("nearest"), off.alias("centre_is_mean"))
+
+
+@query("pca_properties", "SELECT count(*) AS stations, true AS uncorrelated, true AS first_is_larger, true AS within_variance FROM station_table",
+       extra={"station_table": STATION_FEATURES})
+def _(spark, sf_dir):
+    """Scores of the two components: uncorrelated, the first the larger, together within the z-scores' variance."""
+    points = G.pca_projection(segmentation(spark, sf_dir))
+    return points.agg(
+        F.count(F.lit(1)).alias("stations"), (F.abs(F.covar_pop("pc1", "pc2")) < 1e-6).alias("uncorrelated"),
+        (F.var_pop("pc1") >= F.var_pop("pc2")).alias("first_is_larger"),
+        (F.var_pop("pc1") + F.var_pop("pc2") <= len(SEGMENT_FEATURES) + 1e-6).alias("within_variance"))
+
+
 # --- station segments -----------------------------------------------------------------------------
 
 ZSCORES = ", ".join(f"(f.{c} - avg(f.{c}) OVER ()) / coalesce(nullif(stddev_pop(f.{c}) OVER (), 0), 1) AS {c}"
@@ -327,13 +448,16 @@ def _(spark, sf_dir):
     return G.cluster_profile(segmentation(spark, sf_dir).labels)
 
 
-@query("segment_export", STATION_FEATURES, FEATURE_DOUBLES)
+@query("segment_export", f"SELECT *, true AS labelled, true AS in_profile FROM ({STATION_FEATURES})", FEATURE_DOUBLES)
 def _(spark, sf_dir):
-    """Labels and profile written as tables; the read-back feature part is compared."""
+    """Labels and profile written as tables and read back: the features, a label from 0 to 3, and the label's row in the profile."""
     found = segmentation(spark, sf_dir)
     folder = scratch_path(spark, "segments")
-    OUT.write_parquet(G.cluster_profile(found.labels), f"{folder}/profile")
-    return spark.read.parquet(OUT.write_parquet(found.labels, f"{folder}/labels")).drop("cluster")
+    profile = spark.read.parquet(OUT.write_parquet(G.cluster_profile(found.labels), f"{folder}/profile"))
+    labels = spark.read.parquet(OUT.write_parquet(found.labels, f"{folder}/labels"))
+    known = profile.select(F.col("cluster").alias("_c"), F.lit(True).alias("in_profile"))
+    return labels.join(known, F.col("cluster") == F.col("_c"), "left").withColumns({
+        "labelled": F.col("cluster").between(0, G.CLUSTERS - 1), "in_profile": F.coalesce("in_profile", F.lit(False))}).drop("cluster", "_c")
 
 
 @query("segment_report")

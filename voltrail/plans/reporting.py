@@ -71,7 +71,7 @@ def _(spark, sf_dir):
     names = ["row_id", "user_id", STATION, "charging_start_time", ENERGY, "start_hour", "day_of_week", MINUTES]
     df = sessions(spark, sf_dir).select(*names)
     path = OUT.write_csv(df, scratch_path(spark, "sessions-csv"))
-    return spark.read.schema(df.schema).csv(path, header=True)
+    return spark.read.schema(df.schema).options(**IN.CSV).csv(path)
 
 
 @query("station_master", "SELECT DISTINCT charging_station_id, charging_station_location, charger_type, "
@@ -91,24 +91,49 @@ def _(spark, sf_dir):
     return R.row_count(sessions(spark, sf_dir))
 
 
-@query("daily_or_rebuild", "SELECT charging_station_id, session_date, total_sessions FROM daily")
+@query("daily_or_rebuild", "SELECT 'rebuilt' AS branch, charging_station_id, session_date, total_sessions FROM daily UNION ALL "
+       "SELECT 'stored', charging_station_id, session_date, total_sessions + 1 FROM daily")
 def _(spark, sf_dir):
-    # No stored table at this fresh path, so this takes the rebuild branch.
-    return IN.daily_or_rebuild(spark, scratch_path(spark, "absent"), sessions(spark, sf_dir))
+    """Both branches: at a fresh path nothing is stored; the stored table is told apart by one session more a day."""
+    df = sessions(spark, sf_dir)
+    rebuilt = IN.daily_or_rebuild(spark, scratch_path(spark, "absent"), df)
+    path = OUT.write_parquet(R.daily_agg(df).withColumn("total_sessions", F.col("total_sessions") + 1), scratch_path(spark, "daily"))
+    kept = IN.daily_or_rebuild(spark, path, df)
+    return rebuilt.select(F.lit("rebuilt").alias("branch"), "*").unionByName(kept.select(F.lit("stored").alias("branch"), "*"))
+
 
+EXTRACTS = {
+    "hourly": "SELECT charging_station_id, start_hour, count(user_id) AS total_sessions, sum(energy_consumed_kwh) AS total_energy_kwh, "
+              "avg(charging_duration_minutes) AS avg_duration_minutes FROM sessions GROUP BY 1, 2",
+}
+EXTRACT_NUMBERS = ("first_number", "second_number")
 
-@query("export_all", "SELECT 'sessions_cleaned' AS extract, count(*) AS rows FROM sessions "
-       "UNION ALL SELECT 'station_master', count(*) FROM (SELECT DISTINCT charging_station_id, "
-       "charging_station_location, charger_type, charging_rate_kw FROM sessions) "
-       "UNION ALL SELECT 'daily_agg', count(*) FROM daily "
-       "UNION ALL SELECT 'hourly_agg', count(*) FROM (SELECT DISTINCT charging_station_id, start_hour FROM sessions)")
+
+@query("export_all", "SELECT 'sessions_cleaned' AS extract, charging_station_id, CAST(row_id AS VARCHAR) AS place, energy_consumed_kwh AS "
+       "first_number, charging_duration_minutes AS second_number FROM sessions "
+       "UNION ALL SELECT 'station_master', charging_station_id, concat(charging_station_location, ' / ', charger_type), charging_rate_kw, NULL FROM "
+       "(SELECT DISTINCT charging_station_id, charging_station_location, charger_type, charging_rate_kw FROM sessions) "
+       "UNION ALL SELECT 'daily_agg', charging_station_id, concat(CAST(session_date AS VARCHAR), ' / ', total_sessions), total_energy_kwh, "
+       "avg_duration_minutes FROM daily "
+       "UNION ALL SELECT 'hourly_agg', charging_station_id, concat(start_hour, ' / ', total_sessions), total_energy_kwh, avg_duration_minutes "
+       "FROM hourly", EXTRACT_NUMBERS, extra=EXTRACTS)
 def _(spark, sf_dir):
+    """The contents of all four extracts, read back."""
     paths = OUT.export_all(sessions(spark, sf_dir), scratch_path(spark, "extracts"))
-    counts = [
-        spark.read.parquet(p).agg(F.lit(name).alias("extract"), F.count(F.lit(1)).alias("rows"))
-        for name, p in paths.items()
+    with_count = lambda c: F.concat_ws(" / ", F.col(c).cast("string"), "total_sessions")
+    shown = {
+        "sessions_cleaned": (F.col("row_id").cast("string"), F.col(ENERGY), F.col(MINUTES)),
+        "station_master": (F.concat_ws(" / ", "charging_station_location", "charger_type"), F.col("charging_rate_kw"), F.lit(None).cast("double")),
+        "daily_agg": (with_count("session_date"), F.col("total_energy_kwh"), F.col("avg_duration_minutes")),
+        "hourly_agg": (with_count("start_hour"), F.col("total_energy_kwh"), F.col("avg_duration_minutes")),
+    }
+    parts = [
+        spark.read.parquet(paths[name]).select(
+            F.lit(name).alias("extract"), STATION, place.alias("place"),
+            *[v.cast("double").alias(n) for n, v in zip(EXTRACT_NUMBERS, values)])
+        for name, (place, *values) in shown.items()
     ]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 # --- projections, filters, cleaning ---------------------------------------------------------------
@@ -431,14 +456,74 @@ def _(spark, sf_dir):
     return J.keep_members(df.select("row_id", STATION), R.top_scope(df), top_n=True)
 
 
-@query("ordered_reports", "SELECT row_number() OVER (ORDER BY sessions DESC, charging_station_id) AS place, "
-       "charging_station_id, sessions FROM (SELECT charging_station_id, count(*) AS sessions FROM sessions GROUP BY 1) "
-       "QUALIFY place <= 15")
-def _(spark, sf_dir):
-    from pyspark.sql import Window
-    report = R.station_demand(sessions(spark, sf_dir)).limit(15)
-    place = F.row_number().over(Window.orderBy(F.desc("sessions"), STATION)).cast("bigint")
-    return report.select(place.alias("place"), STATION, "sessions")
+def _placed_sql(report: str, order: str, label: str, value: str, source: str) -> str:
+    return (f"SELECT '{report}' AS report, row_number() OVER (ORDER BY {order}) AS place, {label} AS label, "
+            f"CAST({value} AS DOUBLE) AS value FROM {source}")
+
+
+RULE_PROFILE = "(SELECT cluster, count(*) AS n FROM labels GROUP BY 1)"
+ORDERED = " UNION ALL ".join([
+    _placed_sql("hourly_demand", "start_hour", "CAST(start_hour AS VARCHAR)", "n", "(SELECT start_hour, count(*) AS n FROM sessions GROUP BY 1)"),
+    _placed_sql("station_demand", "n DESC, charging_station_id", "charging_station_id", "n",
+                "(SELECT charging_station_id, count(*) AS n FROM sessions GROUP BY 1)"),
+    _placed_sql("avg_charging_duration", "m DESC, charging_station_id", "charging_station_id", "m",
+                "(SELECT charging_station_id, avg(charging_duration_minutes) AS m FROM sessions GROUP BY 1)"),
+    _placed_sql("monthly_trends", "y, m", "concat(y, '-', m)", "n", "(SELECT strftime(charging_start_time, '%Y') AS y, "
+                "strftime(charging_start_time, '%m') AS m, count(*) AS n FROM long_sessions GROUP BY 1, 2)"),
+    _placed_sql("station_master", "charging_station_id, charging_station_location, charger_type, charging_rate_kw NULLS FIRST",
+                "concat(charging_station_id, ' / ', charging_station_location, ' / ', charger_type)", "charging_rate_kw",
+                "(SELECT DISTINCT charging_station_id, charging_station_location, charger_type, charging_rate_kw FROM sessions)"),
+    _placed_sql("missing_report", "m DESC, c", "c", "m", "(SELECT 'battery_capacity_kwh' AS c, count(*) - count(battery_capacity_kwh) AS m FROM "
+                "raw_sessions UNION ALL SELECT 'energy_consumed_kwh', count(*) - count(energy_consumed_kwh) FROM raw_sessions UNION ALL SELECT "
+                "'charging_rate_kw', count(*) - count(charging_rate_kw) FROM raw_sessions UNION ALL SELECT 'user_id', count(*) - count(user_id) "
+                "FROM raw_sessions)"),
+    _placed_sql("cluster_counts", "cluster", "CAST(cluster AS VARCHAR)", "n", RULE_PROFILE),
+])
+
+
+@query("ordered_reports", ORDERED, ("value",))
+def _(spark, sf_dir):
+    """Every ordered report, whole: its place is read from the rows as they come, part by part, and not computed again."""
+    from voltrail.models.segments import cluster_counts
+    from voltrail.operators.profile import missing_report
+    from voltrail.sources.mapping import rule_labels
+    df = sessions(spark, sf_dir)
+    labels = R.station_features(df).join(rule_labels(df), STATION)
+    text = lambda *names: F.concat_ws(" / ", *[F.col(n).cast("string") for n in names])
+    reports = {
+        "hourly_demand": (R.hourly_demand(df), text("start_hour"), "total_sessions"),
+        "station_demand": (R.station_demand(df), text(STATION), "sessions"),
+        "avg_charging_duration": (R.avg_charging_duration(df), text(STATION), "avg_duration_minutes"),
+        "monthly_trends": (R.monthly_trends(long_sessions(spark, sf_dir)), F.concat_ws("-", "year", "month"), "sessions"),
+        "station_master": (R.station_master(df), text(STATION, "charging_station_location", "charger_type"), "charging_rate_kw"),
+        "missing_report": (missing_report(raw_sessions(spark, sf_dir), ["battery_capacity_kwh", ENERGY, "charging_rate_kw", "user_id"]),
+                           text("column"), "missing_count"),
+        "cluster_counts": (cluster_counts(labels).orderBy("cluster"), text("cluster"), "station_count"),
+    }
+    parts = [
+        J.numbered(report).select(F.lit(name).alias("report"), "place", label.alias("label"), F.col(value).cast("double").alias("value"))
+        for name, (report, label, value) in reports.items()
+    ]
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part)
+    return table
+
+
+@query("raw_to_features", "SELECT user_id, charging_station_id, charging_start_time, station_session_load_7d, minutes_since_prev_session, "
+       "soc_delta_pct FROM features_of_files", ("station_session_load_7d", "minutes_since_prev_session", "soc_delta_pct"), extra={
+           "features_of_files": "SELECT *, state_of_charge_end_pct - state_of_charge_start_pct AS soc_delta_pct, "
+                                "CAST(count(*) OVER (PARTITION BY charging_station_id ORDER BY charging_start_time RANGE BETWEEN INTERVAL 7 DAY "
+                                "PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS DOUBLE) AS station_session_load_7d, "
+                                "date_diff('microsecond', lag(charging_start_time) OVER (PARTITION BY charging_station_id ORDER BY "
+                                "charging_start_time, row_id), charging_start_time) / 6e7 AS minutes_since_prev_session FROM sessions"})
+def _(spark, sf_dir):
+    """Raw files without a row number, from the CSV to the feature table."""
+    from voltrail.operators.features import engineer_features
+    raw = with_raw_headers(raw_sessions(spark, sf_dir)).orderBy("Row ID").drop("Row ID")
+    path = OUT.write_csv(raw, scratch_path(spark, "raw-csv"))
+    done = engineer_features(IN.load_clean(spark, path))
+    return done.select("user_id", STATION, "charging_start_time", "station_session_load_7d", "minutes_since_prev_session", "soc_delta_pct")
 
 
 @query("distinct_stations", "SELECT DISTINCT charging_station_id FROM sessions WHERE charging_station_id IS NOT NULL")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -11,7 +12,8 @@ from voltrail.operators.reports import DATE, daily_agg, hourly_agg, station_mast
 
 # The CSV writer's default format stops at milliseconds.
 FULL_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-CSV_OPTIONS = {"header": True, "timestampFormat": FULL_TIME, "timestampNTZFormat": FULL_TIME}
+# Standard quoting: a quote inside a cell is doubled.
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "timestampFormat": FULL_TIME, "timestampNTZFormat": FULL_TIME}
 
 
 def write_csv(df: DataFrame, path: str) -> str:
@@ -63,7 +65,14 @@ def load_coefficients(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def save_model(model, path: str) -> str:
-    """Persist a fitted ML pipeline."""
+def save_model(model, path: str, name: str | None = None, params: dict | None = None, scores: DataFrame | None = None) -> str:
+    """Persist a fitted ML pipeline; with ``name``, a table ``<path>-metadata`` says what it is, with its settings and scores."""
     model.write().overwrite().save(path)
+    if name is not None:
+        about = {
+            "saved_at_utc": F.lit(dt.datetime.now(dt.timezone.utc).isoformat()), "model_type": F.lit(name),
+            "params": F.lit(json.dumps(params or {}, sort_keys=True)),
+        }
+        source = scores if scores is not None else SparkSession.active().range(1).drop("id")
+        write_parquet(source.withColumns(about), f"{path}-metadata")
     return path

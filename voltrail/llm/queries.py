@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltrail.llm import bpe, exact_dedup, html_text, jaccard, language, mixing, near_vectors, quality, url_filter, wordpiece
+from voltrail.llm import bpe, empirical_bayes, exact_dedup, html_text, jaccard, language, mixing, near_vectors, quality, url_filter, wordpiece
 from voltrail.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,9 +89,48 @@ URL_RULES = (
 )
 
 
-@query("op5_url_filter")
+def _shrunk_sql(level: str, parent: str, rate: str) -> str:
+    """The posterior mean of a level's groups (n, bad) below their parent's rate, and the weight it rests on."""
+    p = f"CAST({parent} AS DOUBLE)"
+    low, high = repr(1 / (empirical_bayes.STRONGEST + 1)), repr(1 / (empirical_bayes.WEAKEST + 1))
+    spread = f"sum(pow(bad - n * {p}, 2) - n * {p} * (1 - {p}))"
+    room = f"sum(n * (n - 1) * {p} * (1 - {p}))"
+    worth = f"(SELECT 1 / least(greatest(coalesce({spread} / CASE WHEN {room} > 0 THEN {room} END, 0), {low}), {high}) - 1 FROM {level})"
+    return f"SELECT *, (bad + worth * {p}) / (n + worth) AS {rate}, n + worth AS weight FROM (SELECT *, {worth} AS worth FROM {level})"
+
+
+def _url_sql() -> str:
+    fits = [(f"(host = '{site}' OR ends_with(host, '.{site}')) AND starts_with(path, '{start}')", site + start, verdict)
+            for site, start, verdict in sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))]
+    rule = " ".join(f"WHEN {test} THEN '{name}'" for test, name, _ in fits)
+    verdict = " ".join(f"WHEN {test} THEN '{result}'" for test, _, result in fits)
+    suffix = " ".join(f"WHEN host = '{x}' OR ends_with(host, '.{x}') THEN '{x}'" for x in url_filter.LONG_SUFFIXES)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    margin = f"{url_filter.DEVIATIONS} * sqrt(rate * (1 - rate) / (weight + 1))"
+    return (
+        r"WITH named AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), "
+        rf"'{upper}', '{upper.lower()}') AS host, regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages), "
+        f"ruled AS (SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS ruled FROM named), "
+        "counted AS (SELECT host, count(ruled) AS n, count(*) FILTER (WHERE ruled = 'block') AS bad FROM ruled GROUP BY host), "
+        f"suffixed AS (SELECT *, CASE {suffix} ELSE string_split(host, '.')[-1] END AS suffix FROM counted), "
+        "hosts0 AS (SELECT *, CASE WHEN len(string_split(host, '.')) <= len(string_split(suffix, '.')) + 1 THEN host ELSE "
+        "array_to_string(string_split(host, '.')[-(len(string_split(suffix, '.')) + 1):], '.') END AS domain FROM suffixed), "
+        "domains0 AS (SELECT suffix, domain, CAST(sum(n) AS BIGINT) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM hosts0 GROUP BY 1, 2), "
+        "suffixes0 AS (SELECT suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM domains0 GROUP BY 1), "
+        "suffixes1 AS (SELECT *, (SELECT (sum(bad) + 0.5) / (sum(n) + 1.0) FROM suffixes0) AS all_rate FROM suffixes0), "
+        f"suffixes AS ({_shrunk_sql('suffixes1', 'all_rate', 'suffix_rate')}), "
+        "domains1 AS (SELECT d.*, suffix_rate FROM domains0 d JOIN suffixes USING (suffix)), "
+        f"domains AS ({_shrunk_sql('domains1', 'suffix_rate', 'domain_rate')}), "
+        "hosts1 AS (SELECT h.*, domain_rate FROM hosts0 h JOIN domains USING (suffix, domain)), "
+        f"hosts AS ({_shrunk_sql('hosts1', 'domain_rate', 'rate')}) "
+        "SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN greatest(rate - "
+        f"{margin}, 0) > {url_filter.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict FROM ruled r JOIN hosts h ON r.host = h.host"
+    )
+
+
+@query("op5_url_filter", _url_sql())
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 @query("op7_bpe")

@@ -15,7 +15,8 @@ TEXT = "A & B <C>\nOne two three four\nFive © AB a < b\nsix\nseven\neight\nnine
     (PAGE, TEXT), ("", ""), ("plain  text", "plain text"), ("<p>a<p>b", "a\nb"), ("<p>a</div>b</p>c", "a\nb\nc".replace("a\nb", "a\nb")),
     ("<article>x</article><article>y</article>z", "x\ny"), ("<main><p>x</main>z", "x"), ("<body><nav>m</nav><p>x</p><footer>f</footer>", "x"),
     ("<p>a<i", "a"), ("<article><p>x", "x"), ("<b><i>a</b></i> c", "a c"), ("<p>&am; &bogus; &#0;</p>", "&am; &bogus; �"), ("<p>a</p" + " " * 50, "a"),
-    ("<table><tr><td>1<td>2<tr><td>3</table>", "1\n2\n3"), ("<p a='>'>x</p>", "x"), ("<!-- open", ""), ("<script>x", ""), ("<P CLASS=AD>x</P>y", "y"),
+    ("<table><tr><td>1<td>2<tr><td>3</table>", "1\n2\n3"), ("<p a='>'>x</p>", "x"), ("<!-- open", ""), ("<script>x", ""), ('<div class="page-header">h</div><article><div class="header"><h1>t</h1></div>x</article>', "t\nx"),
+    ('<div id="header">h</div><p>x', "x"), ('<div class="ad-box">b</div><div class="added">c</div>', "c"), ("<P CLASS=AD>x</P>y", "y"),
 ])
 def test_main_text(html, text):
     assert H.Page(html).text() == text

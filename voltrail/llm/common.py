@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from voltrail.session import scratch_path, shared_dir
+from voltrail.session import scratch_path, shared_dir, stored as store  # noqa: F401
 
 #: ASCII white space, the only separator of words in these operators.
 SPACES = "[\\x20\\x09-\\x0D]"
@@ -21,13 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: later passes prune columns, lost executors cost a re-read."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def publish(spark: SparkSession, data: bytes, name: str, code: bool = False) -> str:
     """Write a file to the shared folder and have Spark hand it to all executors; its name there."""
     stem, extension = os.path.splitext(name)

@@ -45,7 +45,9 @@ CONTAINER = frozenset("div section ul ol dl table nav header footer aside form f
 NO_CONTENT = frozenset("ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies "
                        "consent gdpr notice notices notification alert menu nav navbar navigation breadcrumb breadcrumbs sidebar footer "
                        "masthead topbar toolbar comment comments disqus reply replies respond share sharing social related "
-                       "recommended newsletter subscribe signup login popup modal overlay paywall pagination pager".split())
+                       "recommended newsletter subscribe signup login popup modal overlay paywall pagination pager widget aside copyright".split())
+#: The same outside an article, whose own header holds its title.
+SITE_ONLY = frozenset(["header"])
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 #: An opening tag closes an open element of these names, up to the given boundary.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -57,11 +59,13 @@ _NAMES = regex.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden)(?:\s*=
 _WORDS = regex.compile(r"[a-z0-9]+")
 
 
-def _names_no_content(attributes: str) -> bool:
+def _names_no_content(attributes: str, outside: bool) -> bool:
     for name, value in _NAMES.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and not NO_CONTENT.isdisjoint(_WORDS.findall(value)):
-            return True
+        if name in ("class", "id"):
+            words = _WORDS.findall(value)
+            if not NO_CONTENT.isdisjoint(words) or outside and not SITE_ONLY.isdisjoint(words):
+                return True
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
     return False
@@ -162,9 +166,9 @@ class Page:
             if name in VOID:
                 continue
             attributes = tag[3]
-            outside = name == "header" and not self.counts["article"]
-            dropped = int(name in DROPPED or outside or (bool(attributes) and name not in ("html", "body", "article", "main")
-                                                         and _names_no_content(attributes)))
+            outside = not self.counts["article"]
+            dropped = int(name in DROPPED or name == "header" and outside
+                          or bool(attributes) and name not in ("html", "body", "article", "main") and _names_no_content(attributes, outside))
             self.open.append([name, dropped, [], len(self.blocks)])
             self.counts[name] += 1
             self.dropped += dropped

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voltrail.llm.common import WORD, cut, fresh, store, text_of
+from voltrail.llm.common import WORD, fresh, store, text_of
 
 #: Hash bits of a document's point, and bits refined at a time (4096 buckets for each source).
 BITS, STEP = 60, 12
@@ -43,7 +43,7 @@ def targets(rows: DataFrame, weights: Sequence[float] = (1, 2, 3), budget: float
     ``most`` times its source stops there, and the excess goes to the others by weight: sources fill up in the
     order of size by weight, so one pass over them finds the level where the rest of the budget fits.
     """
-    per = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    per = store(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     order = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]),
                           ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
@@ -66,7 +66,7 @@ def targets(rows: DataFrame, weights: Sequence[float] = (1, 2, 3), budget: float
 
 def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
     """One row per source of ``goals`` with its ``cut``: points below it are taken once more."""
-    goals = cut(goals)
+    goals = store(goals, "goals")  # a few values for each source: the planner broadcasts it while its files are small
     # open: the bucket in which the budget ends, as its leading bits, and the words below it
     found = goals.select("source", "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"))
     for left in range(BITS - STEP, -1, -STEP):
@@ -77,13 +77,14 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
         running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         steps = counts.withColumn("below", F.col("below") + F.coalesce(F.sum("words").over(running), F.lit(0)))
         # the last bucket that starts at or below the budget
-        found = cut(steps.where(F.col("below") <= F.col("rest")).groupBy("source")
-                    .agg(F.max_by(F.struct(F.col("bucket").alias("prefix"), "below", "words", "rest"), "bucket").alias("b"))
-                    .select("source", "b.*"))
+        found = store(steps.where(F.col("below") <= F.col("rest")).groupBy("source")
+                      .agg(F.max_by(F.struct(F.col("bucket").alias("prefix"), "below", "words", "rest"), "bucket").alias("b"))
+                      .select("source", "b.*"), "edges")
     # one point is left: take it when that comes nearer to the budget
     nearer = F.col("prefix") + F.when((F.col("rest") - F.col("below")) * 2 > F.col("words"), 1).otherwise(0)
     cuts = found.select(F.col("source").alias("s"), nearer.alias("cut"))
-    return goals.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("cut", F.coalesce("cut", F.lit(0)))
+    return store(goals.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+                 .withColumn("cut", F.coalesce("cut", F.lit(0))), "cuts")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), budget: float = 1.0, id_col: str = "doc_id",

@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voltrail.llm.common import arrow_map, cut
+from voltrail.llm.common import arrow_map, store
 
 DIMS = 4096
 CENTROIDS = 4
@@ -132,9 +132,13 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                            F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     seen, docs = _frequencies(rows)
     idf = (np.log((1 + docs) / (1 + seen)) + 1).astype(np.float32)
-    order = Window.partitionBy("lang").orderBy("place", "id")
-    keys = cut(rows.select("lang", "id", F.xxhash64("id").alias("place")).withColumn("n", F.row_number().over(order))
-               .where(F.col("n") <= sample).select("lang", "id", "place").distinct())
+    # about twice the sample passes the hash limit of its language, so few rows are ranked
+    sizes = rows.groupBy("lang").agg((2.0 * sample / F.count("*")).alias("share"))
+    placed = rows.select("lang", "id", F.xxhash64("id").alias("place")).join(sizes, "lang") \
+        .where(F.pmod("place", F.lit(1 << 32)) < F.col("share") * (1 << 32))
+    order = Window.partitionBy("lang").orderBy(F.pmod("place", F.lit(1 << 32)), "place", "id")
+    keys = store(placed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
+                 .select("lang", "id", "place").distinct(), "sample")
     # an id that repeats may bring more texts than were counted, so the limit holds again
     picked = rows.join(keys, ["lang", "id"]) \
         .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("n") <= sample) \

@@ -5,11 +5,12 @@ tokens at least T times. The lists are divided: the short ones, those of a set's
 merged, and each set met there is a candidate if its place in them still allows T common tokens. The long lists are never
 merged: a candidate's other tokens are probed by binary search in its sorted set, and it is kept when it reaches T.
 
-In Spark: sets with equal tokens are one class from the start. A first pass finds, in bounded memory, tokens that are
-common (a counter for each of ``BUCKETS`` hash buckets); these come last in the order of tokens. The order only has to be
+In Spark: sets with equal tokens are one class from the start. A first pass counts tokens in ``BUCKETS`` counters by hash,
+and tokens are ordered by their counter, the rarest first. The order only has to be
 the same for all sets, so the counters need not be exact. Before the merge, sets that share a minimum hash are compared with
 one of them, and what links is joined to components. The short lists are then shuffled by token; lists that one
-class or one component fills are dropped, long lists are dealt out in cells, and no pair within a component is
+class or one component fills are dropped, each of the others is compared with its most typical set and joined to components
+once more, long lists are dealt out in cells, and no pair within a component is
 looked at again. Candidates are judged in groups around one set: first by bitmaps, which bound the common tokens from above,
 then by the sets themselves.
 
@@ -24,6 +25,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,10 +40,10 @@ from voltrail.llm.shingles import shingle_set
 
 #: Jaccard similarity in hundredths.
 PERCENT = 80
-#: Counters for common tokens: one byte each in the tasks' shared file.
-BUCKETS = 1 << 22
-#: A token is common when a task sees it so often (and more where a task has very many tokens).
-COMMON = 8
+#: Counters of tokens by hash: one byte each in a task and in the file all tasks share, sent in so many blocks.
+BUCKETS, BLOCKS = 1 << 24, 256
+#: A token is common when its counter has this, and so many times the mean.
+COMMON, COMMON_TIMES = 1000, 16
 #: Minimum hashes by which sets are compared first.
 STARS = 3
 #: Largest part of a list, and most sets that are verified around one set in a task.
@@ -81,14 +84,25 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
 
 
+def _bucket(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """``docs``: (id, text). Rows (id, key, n, m: minimum hashes, b: bitmap), and rows (bucket, seen) of common tokens with n = -1.
+    """``docs``: (id, text). Rows (id, key, n, m: minimum hashes, b: bitmap), and rows (block, data) of a task's counters with n = -1.
 
     A task gives the bitmap of a class once.
     """
+    names = ["id", "key", "n", "m", "b", "block", "data"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, total, held, size = np.zeros(BUCKETS, np.int32), 0, [], 0
+        counters, held, size = np.zeros(BUCKETS, np.uint8), [], 0
         kind, done = None, set()
+
+        def count() -> None:
+            at, seen = np.unique(np.concatenate(held), return_counts=True)
+            counters[at] = np.minimum(255, counters[at] + seen)
+
         for batch in batches:
             kind = batch.column(0).type
             for start in range(0, batch.num_rows, 1024):
@@ -101,39 +115,61 @@ def described(docs: DataFrame) -> DataFrame:
                     maps.append(bitmap_of(tokens) if keys[-1] not in done and len(tokens) else None)
                     done.add(keys[-1])
                     least.append([int((tokens * turn).min()) - (1 << 63) for turn in _TURNS] if len(tokens) else [])
-                    held.append(tokens >> np.uint64(64 - BUCKETS.bit_length() + 1))
+                    held.append(_bucket(tokens))
                     size += len(tokens)
                     if size > 1 << 20:
-                        counters += np.bincount(np.concatenate(held).astype(np.int64), minlength=BUCKETS).astype(np.int32)
-                        total, held, size = total + size, [], 0
+                        count()
+                        held, size = [], 0
                 n = part.num_rows
                 yield pa.record_batch([part.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()),
-                                       pa.array(least, pa.list_(pa.int64())), pa.array(maps, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())],
-                                      ["id", "key", "n", "m", "b", "bucket", "seen"])
+                                       pa.array(least, pa.list_(pa.int64())), pa.array(maps, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if held:
-            counters += np.bincount(np.concatenate(held).astype(np.int64), minlength=BUCKETS).astype(np.int32)
-            total += size
-        common = np.flatnonzero(counters >= COMMON + 4 * (total // BUCKETS))
-        for start in range(0, len(common), 50000):
-            part = common[start:start + 50000]
-            n = len(part)
-            yield pa.record_batch([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.array(np.full(n, -1, np.int32)),
-                                   pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.binary()), pa.array(part.astype(np.int32)), pa.array(counters[part])],
-                                  ["id", "key", "n", "m", "b", "bucket", "seen"])
+            count()
+        blocks = counters.reshape(BLOCKS, -1)
+        used = np.flatnonzero(blocks.any(axis=1)).tolist()
+        if kind is not None and used:
+            n = len(used)
+            yield pa.record_batch([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.array(np.full(n, -1, np.int32)), pa.nulls(n, pa.list_(pa.int64())),
+                                   pa.nulls(n, pa.binary()), pa.array(used, pa.int32()),
+                                   pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in used], pa.binary())], names)
 
     kind = docs.schema["id"].dataType.simpleString()
-    return arrow_map(docs, run, f"id {kind}, key long, n int, m array<long>, b binary, bucket int, seen int")
+    return arrow_map(docs, run, f"id {kind}, key long, n int, m array<long>, b binary, block int, data binary")
 
 
-def publish_levels(found: DataFrame) -> str:
-    """The file of levels, a byte for each bucket: 0 for tokens that are not common, else twice the logarithm of the count."""
-    levels = np.zeros(BUCKETS, np.uint8)
-    for row in found.where("n < 0").groupBy("bucket").agg(F.sum("seen").alias("seen")).toLocalIterator():
-        levels[row.bucket] = max(1, min(255, int(2 * np.log2(row.seen))))
-    return publish(found.sparkSession, levels.tobytes(), "levels.bin")
+def _level(count: float) -> int:
+    return min(255, int(4 * np.log2(count + 1)))
 
 
-def postings(docs: DataFrame, levels: str, percent: int) -> DataFrame:
+def publish_levels(found: DataFrame) -> tuple[str, int]:
+    """The file of levels, one byte for each counter that grows with its logarithm, and the least level of a common token."""
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, None
+
+        def row() -> pa.RecordBatch:
+            levels = np.minimum(255, 4 * np.log2(own + 1)).astype(np.uint8)
+            return pa.record_batch([pa.array([at], pa.int32()), pa.array([zlib.compress(levels.tobytes(), 1)], pa.binary()), pa.array([int(own.sum())], pa.int64())],
+                                   ["block", "levels", "total"])
+
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if block != at:
+                    if at is not None:
+                        yield row()
+                    at, own = block, np.zeros(BUCKETS // BLOCKS, np.int64)
+                own += np.frombuffer(zlib.decompress(data.as_py()), np.uint8)
+        if at is not None:
+            yield row()
+
+    blocks = found.where("n < 0").select("block", "data").repartition("block").sortWithinPartitions("block")
+    levels, tokens = np.zeros((BLOCKS, BUCKETS // BLOCKS), np.uint8), 0
+    for row in arrow_map(blocks, total, "block int, levels binary, total long").collect():  # BUCKETS bytes at most
+        levels[row.block] = np.frombuffer(zlib.decompress(row.levels), np.uint8)
+        tokens += row.total
+    return publish(found.sparkSession, levels.tobytes(), "levels.bin"), _level(COMMON + COMMON_TIMES * tokens / BUCKETS)
+
+
+def postings(docs: DataFrame, levels: str, common: int, percent: int) -> DataFrame:
     """(token, key, place, n, common): the short lists' entries of each set; a task gives those of a class once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level_of = np.memmap(SparkFiles.get(levels), np.uint8, "r")
@@ -142,8 +178,8 @@ def postings(docs: DataFrame, levels: str, percent: int) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            tokens, keys, places, sizes, common = (np.concatenate(c) for c in zip(*columns))
-            return pa.record_batch([_signed(tokens), pa.array(keys), pa.array(places), pa.array(sizes), pa.array(common)],
+            tokens, keys, places, sizes, is_common = (np.concatenate(c) for c in zip(*columns))
+            return pa.record_batch([_signed(tokens), pa.array(keys), pa.array(places), pa.array(sizes), pa.array(is_common)],
                                    ["token", "key", "place", "n", "common"])
 
         for batch in batches:
@@ -155,10 +191,10 @@ def postings(docs: DataFrame, levels: str, percent: int) -> DataFrame:
                 done.add(key)
                 n = len(tokens)
                 short = n - -(-n * percent // 100) + 1
-                level = level_of[(tokens >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)]
+                level = level_of[_bucket(tokens)]
                 order = np.argsort(level, kind="stable")[:short]  # the set is sorted, so ties are in token order
                 columns.append((tokens[order], np.full(short, key, np.int64), np.arange(short, dtype=np.int32),
-                                np.full(short, n, np.int32), level[order] > 0))
+                                np.full(short, n, np.int32), level[order] >= common))
                 size += short
                 if size > 50000:
                     yield flush()
@@ -351,27 +387,49 @@ def reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _stars(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each class with the smallest key that shares one of its minimum hashes."""
-    spots = classes.select("key", "n", F.posexplode("m").alias("turn", "least"))
-    centres = spots.groupBy("turn", "least").agg(F.min(F.struct("key", "n")).alias("c"), F.count("*").alias("size")).where("size > 1")
+    """Pairs of each class with the one of the smallest id that shares one of its minimum hashes."""
+    spots = classes.select("key", "n", "id", F.posexplode("m").alias("turn", "least"))
+    centres = spots.groupBy("turn", "least").agg(F.min(F.struct("id", "key", "n")).alias("c"), F.count("*").alias("size")).where("size > 1")
     near = (100 * F.least("n", F.col("c.n")) >= percent * F.greatest("n", F.col("c.n")))
     return spots.join(centres, ["turn", "least"]).where((F.col("key") != F.col("c.key")) & near) \
         .select(F.col("c.key").alias("a"), F.col("key").alias("b")).distinct()
 
 
-def _crossing(entries: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components from the short lists."""
-    rows = store(entries.join(known.select(F.col("node").alias("key"), "component"), "key", "left")
+def _entries(shared: DataFrame, known: DataFrame) -> DataFrame:
+    """Stored entries of the short lists with the component of their class: (token, key, comp, place, n)."""
+    return store(shared.join(known.select(F.col("node").alias("key"), "component"), "key", "left")
                  .select("token", "key", F.coalesce("component", "key").alias("comp"), "place", "n"), "entries")
-    lists = rows.groupBy("token", "comp").agg(F.count("*").alias("c")) \
+
+
+def _lists(entries: DataFrame) -> DataFrame:
+    """The lists that more than one component shares: (token, size, top: its most frequent component, in_top, centre).
+
+    The centre is the entry with the fewest rarer tokens before it: the most typical set of those that differ in a few tokens.
+    """
+    return entries.groupBy("token", "comp").agg(F.count("*").alias("c"), F.min(F.struct("place", "n", "key")).alias("centre")) \
         .groupBy("token").agg(F.sum("c").alias("size"), F.max_by("comp", "c").alias("top"), F.max("c").alias("in_top"),
-                              F.count("*").alias("comps")).where("comps > 1")
+                              F.min(F.struct("centre", "comp")).alias("first"), F.count("*").alias("comps")).where("comps > 1") \
+        .select("token", "size", "top", "in_top", F.col("first.centre").alias("centre"), F.col("first.comp").alias("centre_comp"))
+
+
+def _typical(entries: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of each list's centre with the others: as many as entries at most."""
+    n, m = F.col("n"), F.col("centre.n")
+    left = F.least(n - F.col("place"), m - F.col("centre.place"))
+    return entries.join(lists, "token") \
+        .where((F.col("comp") != F.col("centre_comp")) & (100 * F.least(n, m) >= percent * F.greatest(n, m))
+               & ((100 + percent) * left >= percent * (n + m))) \
+        .select(F.least("key", "centre.key").alias("a"), F.greatest("key", "centre.key").alias("b")).distinct()
+
+
+def _crossing(entries: DataFrame, percent: int) -> DataFrame:
+    """All candidate pairs of different components."""
     split = F.col("size") > PART
-    lists = lists.withColumn("parts", F.when(split, F.ceil((F.col("size") - F.col("in_top")) / PART)).otherwise(1).cast("int")) \
+    lists = _lists(entries).withColumn("parts", F.when(split, F.ceil((F.col("size") - F.col("in_top")) / PART)).otherwise(1).cast("int")) \
         .withColumn("core_parts", F.when(split, F.ceil(F.col("in_top") / PART)).otherwise(0).cast("int")) \
         .select("token", "top", "parts", "core_parts")
     cells = cells_of("key", (F.col("core_parts") > 0) & (F.col("comp") == F.col("top")))
-    spread = rows.join(lists, "token").withColumn("c", F.explode(cells)) \
+    spread = entries.join(lists, "token").withColumn("c", F.explode(cells)) \
         .select(F.xxhash64("token", "c.x", "c.y").alias("cell"), "key", "comp", "place", "n", F.col("c.side").alias("side")) \
         .repartition("cell").sortWithinPartitions("cell")
     return arrow_map(spread, _candidates(percent), "a long, b long").distinct()
@@ -380,19 +438,23 @@ def _crossing(entries: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 def link_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """``docs``: (id, text). Returns rows (id, key, n) and (node, component) over keys that link."""
     found = store(described(docs), "described")
-    levels = publish_levels(found)
+    levels, common = publish_levels(found)
     rows = found.where("n >= 0").select("id", "key", "n", "m", "b")
     classes = store(rows.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("m").alias("m")), "classes")
     edges = store(verified(docs, rows, classes, _stars(classes, percent), percent), "edges")
     known = store(components(edges), "known")
-    entries = postings(docs, levels, percent)
+    entries = postings(docs, levels, common, percent)
     # an uncommon token's list is looked at whole; entries of common ones are dealt by key and judged by the counts that follow
     salt = F.when(F.col("common"), F.pmod(F.xxhash64("key"), F.lit(64)) + 1).otherwise(0)
     of_token = Window.partitionBy("token", "salt")
     shared = entries.withColumn("salt", salt) \
         .withColumn("k0", F.min("key").over(of_token)).withColumn("k1", F.max("key").over(of_token)) \
         .where("common or k0 != k1").groupBy("token", "key").agg(F.first("place").alias("place"), F.first("n").alias("n"))
-    more = store(verified(docs, rows, classes, _crossing(store(shared, "shared"), known, percent), percent), "edges")
+    entries = _entries(store(shared, "shared"), known)
+    # each list's most typical set first: what links to it needs no comparison among itself
+    edges = edges.unionByName(store(verified(docs, rows, classes, _typical(entries, _lists(entries), percent), percent), "edges"))
+    known = store(components(edges), "known")
+    more = store(verified(docs, rows, classes, _crossing(_entries(entries.select("token", "key", "place", "n"), known), percent), percent), "edges")
     return rows.select("id", "key", "n"), components(edges.unionByName(more))
 
 
@@ -409,7 +471,12 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
 
 
 def drop_near_copies(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component, with all their columns."""
-    gone = jaccard_join(docs, percent, id_col, text_col).where("component_id is not null and not (doc_id <=> component_id)")
-    names = store(gone.select(F.col("doc_id").alias(id_col)).distinct(), "gone")
+    """The rows of ``docs`` with the smallest id of their component, with all their columns.
+
+    Rows whose id is null or repeats stay: an id has to tell which text goes.
+    """
+    found = jaccard_join(docs, percent, id_col, text_col).where("doc_id is not null")
+    gone = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id")) \
+        .where("rows = 1 and component_id < doc_id")
+    names = store(gone.select(F.col("doc_id").alias(id_col)), "gone")
     return docs.join(names, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voltrail.llm.cells import cells_of
 from voltrail.llm.common import arrow_map, publish, store, text_of
@@ -268,27 +268,38 @@ def whole_cells(batches: Iterator[pa.RecordBatch], name: str, rows: int) -> Iter
         yield table.combine_chunks()
 
 
+def _wanted(values: DataFrame) -> str:
+    """The published filter of ``FILTER_BITS`` bits over a column ``bit``: bounded, whatever the number of values."""
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    for row in values.groupBy(F.shiftright("bit", 6).alias("word")) \
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toLocalIterator():
+        words[row.word] = row.bits
+    return publish(values.sparkSession, words.tobytes(), "wanted.bin")
+
+
+def _passing(name: str, bit: pa.Array) -> np.ndarray:
+    """Places in a batch whose bit is set."""
+    bits, place = np.memmap(SparkFiles.get(name), np.int64, "r"), bit.to_numpy()
+    return np.flatnonzero((bits[place >> 6] >> (place & 63)) & 1)
+
+
+def _bit(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).alias("bit")
+
+
 def needed_sets(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, tokens) of the classes in ``keys``, made again from the text of one document of each.
 
-    The documents are picked by a filter of ``FILTER_BITS`` bits over their ids; what it lets through in error is
-    dropped by the joins on the key that follow.
+    The documents are picked by a filter over their ids; what it lets through in error is dropped by the joins on the
+    key that follow.
     """
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    wanted = classes.join(keys, "key", "left_semi").select(bit.alias("bit")) \
-        .groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
-    words = np.zeros(FILTER_BITS // 64, np.int64)
-    for row in wanted.toLocalIterator():
-        words[row.word] = row.bits
-    name = publish(docs.sparkSession, words.tobytes(), "wanted.bin")
+    name = _wanted(classes.join(keys, "key", "left_semi").select(_bit("id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.memmap(SparkFiles.get(name), np.int64, "r")
         done: set[int] = set()
         for batch in batches:
-            place = batch.column(0).to_numpy()
             keys, sets = [], []
-            for at in np.flatnonzero((bits[place >> 6] >> (place & 63)) & 1):
+            for at in _passing(name, batch.column(0)):
                 tokens = shingle_set(batch.column(1)[int(at)].as_py().encode())
                 key = key_of(tokens)
                 if len(tokens) and key not in done:
@@ -301,7 +312,20 @@ def needed_sets(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFra
             if sets:
                 yield _sets(keys, sets)
 
-    return arrow_map(docs.select(bit.alias("bit"), "text"), run, "key long, tokens array<long>")
+    return arrow_map(docs.select(_bit("id"), "text"), run, "key long, tokens array<long>")
+
+
+def needed_bitmaps(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, n, b) of ``keys``, once each. A filter over the keys goes before the join, so that few bitmaps are shuffled."""
+    name = _wanted(keys.select(_bit("key")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.take(pa.array(_passing(name, batch.column(0))))
+            yield pa.record_batch(some.columns[1:], ["key", "n", "b"])
+
+    maps = rows.where("b is not null").select(_bit("key"), "key", "n", "b")
+    return arrow_map(maps, run, "key long, n int, b binary").join(keys, "key", "left_semi").dropDuplicates(["key"])
 
 
 def _sets(keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -354,8 +378,7 @@ def possible(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose bitmaps, an eighth of the sets' size, leave the similarity possible."""
     around = _around(store(pairs, "pairs"))
     keys = around.select("key").union(around.select("centre")).distinct()
-    maps = rows.where("b is not null").select("key", "n", "b").join(keys, "key", "left_semi").dropDuplicates(["key"])
-    return _judged(around, maps, "n b", lambda x, y: may_reach(x[1].as_py(), x[0].as_py(), y[1].as_py(), y[0].as_py(), percent))
+    return _judged(around, needed_bitmaps(rows, keys), "n b", lambda x, y: may_reach(x[1].as_py(), x[0].as_py(), y[1].as_py(), y[0].as_py(), percent))
 
 
 def verified(docs: DataFrame, rows: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:

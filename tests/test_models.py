@@ -327,3 +327,39 @@ def test_scope_series_have_a_key(spark, sf_dir):
     assert whole.select(STATION).distinct().count() == 1
     assert whole.agg(F.sum("y")).first()[0] == daily.agg(F.sum("total_sessions")).first()[0]
     assert R.scope_series(daily, "none", station="absent").isEmpty()
+
+
+def test_registered_search_is_the_whole_one(spark, sf_dir, monkeypatch):
+    import inspect
+    asked = {}
+    shape = inspect.signature(D.experiment)
+
+    def record(*args, **kwargs):
+        call = shape.bind(*args, **kwargs)
+        call.apply_defaults()
+        asked.update(call.arguments)
+
+    monkeypatch.setattr(Q, "once", lambda spark, sf_dir, label, build: build())
+    for name in ("stored_features", "prepared"):
+        monkeypatch.setattr(Q, name, lambda *_: None)
+    monkeypatch.setattr(D, "experiment", record)
+    Q.searched(spark, sf_dir)
+    assert (asked["n_sets"], asked["folds"], asked["grids"]) == (12, 3, None)
+
+
+def test_duration_queries_rest_on_the_search(spark, sf_dir, prepared, monkeypatch):
+    grids = {"random_forest": {"numTrees": [3], "maxDepth": [2]}, "hist_gradient_boosting": {"maxIter": [2], "maxDepth": [2]}}
+    found = D.experiment(Q.stored_features(spark, sf_dir), n_sets=1, folds=2, grids=grids, fit_rows=200, prepared=prepared)
+    monkeypatch.setattr(Q, "searched", lambda *_: found)
+    from voltrail.plans.registry import REGISTRY
+    run = lambda name: REGISTRY[name].run(spark, sf_dir)
+    errors = {r["model"]: r["mae"] for r in run("model_comparison").collect()}
+    assert errors == {r["model"]: r["mae"] for r in found.comparison.collect() if r["model"] != D.MEAN_PREDICTOR}
+    assert run("best_model").first()["best_model"] == found.best.name and run("duration_report").count() == 2
+    for name, model in zip(("duration_rf", "duration_gbt"), found.models):
+        error = run(name).agg(F.avg(F.abs(F.col("charging_duration_minutes") - F.col("predicted_minutes")))).first()[0]
+        assert error == pytest.approx(errors[model.name])
+    assert run("model_residuals").agg(F.sum("sessions")).first()[0] == prepared.test.count()
+    assert run("feature_importance").count() > 0 and run("duration_serve").count() > 0
+    scored = run("saved_pipeline").join(D.predict(found.best.model, found.prepared.test).select("row_id", F.col("predicted_minutes").alias("direct")), "row_id")
+    assert scored.count() == prepared.test.count() and scored.where("abs(predicted_minutes - direct) > 1e-9").isEmpty()

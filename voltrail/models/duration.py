@@ -144,13 +144,14 @@ def tune(
 
 @dataclass
 class Experiment:
-    """Tuned models with their validation scores, hold-out errors, and the best model with its residuals."""
+    """Tuned models with their validation scores, hold-out errors, the best model with its residuals, and the rows fitted on."""
 
     models: list[Fitted]
     scores: list[dict]
     comparison: DataFrame
     best: Fitted
     residuals: DataFrame
+    prepared: Prepared
 
 
 def experiment(features: DataFrame, n_sets: int = SEARCH_SETS, folds: int = SEARCH_FOLDS, fit_rows: int | None = None,
@@ -179,7 +180,7 @@ def experiment(features: DataFrame, n_sets: int = SEARCH_SETS, folds: int = SEAR
     residuals = residuals_by_station(predict(best.model, prepared.test))
     if path is not None:
         save_model(as_pipeline(prepared, best), path, best.name, best.params, compared.filter(F.col("model") == best.name))
-    return Experiment(models, scores, compared, best, residuals)
+    return Experiment(models, scores, compared, best, residuals, prepared)
 
 
 MEAN_PREDICTOR = "mean_predictor"

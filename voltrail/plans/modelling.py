@@ -186,57 +186,45 @@ def _(spark, sf_dir):
 
 
 # --- duration models (rows only) ------------------------------------------------------------------
-# The settings here are light; the library's defaults are the full search (12 sets, 3 folds).
+# All of these rest on the tuned models of the whole search: the library's grids, 12 sets and 3 folds for both models.
 
-def forest(spark, sf_dir) -> D.Fitted:
-    def build():
-        params = {"numTrees": 20, "maxDepth": 8}
-        return D.Fitted("random_forest", D.random_forest(**params).fit(prepared(spark, sf_dir).train), params)
-    return once(spark, sf_dir, "forest", build)
+#: Labelled rows that the search is fitted on (the library's documented bound; the hold-out part is whole).
+SEARCH_ROWS = 5000
 
 
-def boosted(spark, sf_dir) -> D.Fitted:
-    def build():
-        params = {"maxIter": 10, "stepSize": 0.1, "maxDepth": 5}
-        return D.Fitted("hist_gradient_boosting", D.boosting(**params).fit(prepared(spark, sf_dir).train), params)
-    return once(spark, sf_dir, "boosted", build)
+def searched(spark, sf_dir) -> D.Experiment:
+    return once(spark, sf_dir, "experiment", lambda: D.experiment(
+        stored_features(spark, sf_dir), fit_rows=SEARCH_ROWS, prepared=prepared(spark, sf_dir), path=scratch_path(spark, "best-model")))
 
 
-def compared(spark, sf_dir):
-    return D.comparison([forest(spark, sf_dir), boosted(spark, sf_dir)], prepared(spark, sf_dir).test)
+def tuned(spark, sf_dir, name: str) -> D.Fitted:
+    return next(m for m in searched(spark, sf_dir).models if m.name == name)
 
 
-@query("duration_rf")
-def _(spark, sf_dir):
-    rows = D.predict(forest(spark, sf_dir).model, prepared(spark, sf_dir).test)
-    return rows.select(ROW_ID, STATION, MINUTES, "predicted_minutes")
+def tuned_errors(spark, sf_dir):
+    """Hold-out errors of the tuned models."""
+    return searched(spark, sf_dir).comparison.filter(F.col("model") != D.MEAN_PREDICTOR)
 
 
-@query("duration_gbt")
-def _(spark, sf_dir):
-    rows = D.predict(boosted(spark, sf_dir).model, prepared(spark, sf_dir).test)
+def predicted(spark, sf_dir, name: str):
+    rows = D.predict(tuned(spark, sf_dir, name).model, searched(spark, sf_dir).prepared.test)
     return rows.select(ROW_ID, STATION, MINUTES, "predicted_minutes")
 
 
-# Settings of the search that fit the time of a check; the library's defaults are the full grids with 12 sets.
-LIGHT_GRIDS = {
-    "random_forest": {"numTrees": [5, 10], "maxDepth": [3, 5], "minInstancesPerNode": [1, 2, 4]},
-    "hist_gradient_boosting": {"stepSize": [0.05, 0.1], "maxDepth": [3, 4], "maxIter": [5]},
-}
-#: Labelled rows that the search is fitted on (the library's documented bound; the hold-out part is whole).
-SEARCH_ROWS = 5000
+@query("duration_rf")
+def _(spark, sf_dir):
+    return predicted(spark, sf_dir, "random_forest")
 
 
-def searched(spark, sf_dir) -> D.Experiment:
-    return once(spark, sf_dir, "experiment", lambda: D.experiment(
-        stored_features(spark, sf_dir), n_sets=2, folds=3, fit_rows=SEARCH_ROWS, grids=LIGHT_GRIDS, prepared=prepared(spark, sf_dir),
-        path=scratch_path(spark, "best-model")))
+@query("duration_gbt")
+def _(spark, sf_dir):
+    return predicted(spark, sf_dir, "hist_gradient_boosting")
 
 
 @query("tune")
 def _(spark, sf_dir):
     """Validation scores of both models."""
-    names = sorted({k for grid in LIGHT_GRIDS.values() for k in grid})
+    names = sorted({k for _, grid in D.MODELS.values() for k in grid})
     rows = [(s["model"], *[float(s[k]) if k in s else None for k in names], s["cv_mae"]) for s in searched(spark, sf_dir).scores]
     return spark.createDataFrame(rows, "model string, " + ", ".join(f"{k} double" for k in names) + ", cv_mae double")
 
@@ -255,46 +243,76 @@ def _(spark, sf_dir):
 
 @query("model_comparison")
 def _(spark, sf_dir):
-    return compared(spark, sf_dir)
+    return tuned_errors(spark, sf_dir)
 
 
 @query("best_model")
 def _(spark, sf_dir):
-    return D.best_model(compared(spark, sf_dir))
+    return D.best_model(tuned_errors(spark, sf_dir))
 
 
 @query("duration_report")
 def _(spark, sf_dir):
-    return T.duration_table(compared(spark, sf_dir))
+    return T.duration_table(tuned_errors(spark, sf_dir))
 
 
 @query("model_residuals")
 def _(spark, sf_dir):
-    return H.residuals_by_station(D.predict(boosted(spark, sf_dir).model, prepared(spark, sf_dir).test))
+    return H.residuals_by_station(predicted(spark, sf_dir, "hist_gradient_boosting"))
 
 
 @query("feature_importance")
 def _(spark, sf_dir):
-    return D.feature_importance(spark, forest(spark, sf_dir), prepared(spark, sf_dir))
+    return D.feature_importance(spark, tuned(spark, sf_dir, "random_forest"), searched(spark, sf_dir).prepared)
 
 
 @query("duration_serve")
 def _(spark, sf_dir):
-    return D.serve(requests(spark, sf_dir), stored_labels(spark, sf_dir), prepared(spark, sf_dir).preprocessor,
-                   forest(spark, sf_dir))
+    found = searched(spark, sf_dir)
+    return D.serve(requests(spark, sf_dir), stored_labels(spark, sf_dir), found.prepared.preprocessor, found.best)
 
 
 @query("saved_pipeline")
 def _(spark, sf_dir):
-    """Persist the encoding and the model as one pipeline, load it and score all sessions with it."""
-    path = OUT.save_model(D.as_pipeline(prepared(spark, sf_dir), forest(spark, sf_dir)),
-                          scratch_path(spark, "pipeline"))
+    """Persist the encoding and the best model as one pipeline, load it and score all sessions with it."""
+    found = searched(spark, sf_dir)
+    path = OUT.save_model(D.as_pipeline(found.prepared, found.best), scratch_path(spark, "pipeline"))
     return PipelineModel.load(path).transform(stored_features(spark, sf_dir)).select(
         ROW_ID, F.col("prediction").alias("predicted_minutes")
     )
 
 
 # --- checked properties of what has no SQL form ----------------------------------------------------
+# The properties hold for any model, so they are checked on small ones; the SQL of the search's check fixes 2 sets.
+
+def forest(spark, sf_dir) -> D.Fitted:
+    def build():
+        params = {"numTrees": 20, "maxDepth": 8}
+        return D.Fitted("random_forest", D.random_forest(**params).fit(prepared(spark, sf_dir).train), params)
+    return once(spark, sf_dir, "forest", build)
+
+
+def boosted(spark, sf_dir) -> D.Fitted:
+    def build():
+        params = {"maxIter": 10, "stepSize": 0.1, "maxDepth": 5}
+        return D.Fitted("hist_gradient_boosting", D.boosting(**params).fit(prepared(spark, sf_dir).train), params)
+    return once(spark, sf_dir, "boosted", build)
+
+
+def compared(spark, sf_dir):
+    return D.comparison([forest(spark, sf_dir), boosted(spark, sf_dir)], prepared(spark, sf_dir).test)
+
+
+LIGHT_GRIDS = {
+    "random_forest": {"numTrees": [5, 10], "maxDepth": [3, 5], "minInstancesPerNode": [1, 2, 4]},
+    "hist_gradient_boosting": {"stepSize": [0.05, 0.1], "maxDepth": [3, 4], "maxIter": [5]},
+}
+
+
+def light_search(spark, sf_dir) -> D.Experiment:
+    return once(spark, sf_dir, "light search", lambda: D.experiment(
+        stored_features(spark, sf_dir), n_sets=2, folds=3, fit_rows=SEARCH_ROWS, grids=LIGHT_GRIDS, prepared=prepared(spark, sf_dir)))
+
 
 TEST_ROWS = "SELECT * FROM features WHERE substring(md5(concat('42-', row_id)), 1, 8) < '33333333'"
 
@@ -333,7 +351,7 @@ _model_properties("duration_gbt_properties", boosted)
     (("random_forest", 2), ("hist_gradient_boosting", 2))))
 def _(spark, sf_dir):
     """Each model has the number of distinct settings asked for, all scored, and keeps the one with the least error."""
-    found = searched(spark, sf_dir)
+    found = light_search(spark, sf_dir)
     rows = []
     for fitted in found.models:
         own = [s for s in found.scores if s["model"] == fitted.name]

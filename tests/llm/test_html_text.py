@@ -45,6 +45,20 @@ def test_templates_of_a_host_are_deleted(spark):
     assert got[None].text == "x" and got["http://a.net/none"].text == ""
 
 
+def test_copies_of_an_article_are_no_template(spark):
+    box = "<div><p>Welcome to our site</p></div>"
+    body = "<div class=body><p>Long story</p><ul><li>point</ul></div><table><tr><td>7</table>"
+    rows = [(f"http://a.net/copy?print={i}", f"{box}<article><h1>T</h1>{body}</article>") for i in range(10)]
+    rows += [(f"http://a.net/{i}", f"{box}<article><div><p>Tale {i}</p></div></article>") for i in range(15)]
+    rows += [(f"http://b.net/{i}", f"<div>{body}</div>") for i in range(12)] + [(f"http://b.net/t{i}", f"<p>Tale {i}</p>") for i in range(12)]
+    rows += [(f"http://c.net/{i}", f"{box}<article><p>Tale {i}</p><div>Read more</div></article>") for i in range(12)]
+    got = {r.url: r for r in H.extract(frame(spark, rows)).collect()}
+    for i in range(10):
+        assert got[f"http://a.net/copy?print={i}"].text == "T\nLong story\npoint\n7"
+        assert got[f"http://b.net/{i}"].text == "Long story\npoint\n7" and got[f"http://b.net/{i}"].n_templates == 0
+        assert got[f"http://a.net/{i}"].text == got[f"http://c.net/{i}"].text == f"Tale {i}"
+
+
 def test_no_pages(spark):
     assert H.extract(frame(spark, [])).isEmpty()
 

@@ -1,8 +1,9 @@
 """Main text of web pages, with site templates removed.
 
 A page is read once by a tolerant tokenizer that keeps a stack of open elements. Every closed container gets the hash of
-its subtree: tag, text and the hashes of its children. Spark counts on how many pages of a host each hash occurs, and a
-subtree that recurs on many pages of its host (``MIN_PAGES`` and ``SHARE``) is a template of the site. The second
+its subtree: tag, text and the hashes of its children. Spark counts beside how many different main texts of a host each hash
+occurs, and a subtree that recurs beside many of them (``MIN_PAGES`` and ``SHARE``) is a template of the site. Pages with one main
+text count once, so that copies of an article do not make a template of it. The second
 reading deletes those subtrees, and with them what markup names as no content: menus, headers, footers, sidebars, notices,
 adverts, forms, comments, scripts and styles. Where a page has ``article`` elements (else ``main``), only their text counts;
 paragraphs and headings in them are the page's own words and are never taken for a template.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from voltrail.llm.common import arrow_map, store, text_of
 from voltrail.llm.url_filter import host_of
 
-#: A subtree is a template when it occurs on so many pages of its host, and on this share of them.
+#: A subtree is a template when it occurs beside so many different main texts of its host, and beside this share of them.
 MIN_PAGES, SHARE = 10, 0.2
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -183,27 +184,21 @@ class Page:
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, hashes): the subtrees that recur on many pages of each host. Tasks sum their own pages first."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(seen: Counter) -> pa.RecordBatch:
-            return pa.record_batch([pa.array([h for h, _ in seen], pa.string()), pa.array([x for _, x in seen], pa.int64()),
-                                    pa.array(list(seen.values()), pa.int64())], ["host", "hash", "n"])
-
-        seen: Counter = Counter()
+    """(host, hashes): the subtrees that recur beside many main texts of each host."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for host, html in zip(batch.column(0), batch.column(1)):
-                host = host.as_py()
-                seen.update((host, x) for x in Page(html.as_py()).hashes)
-                seen[host, None] += 1  # the pages of the host
-                if len(seen) > 200000:
-                    yield flush(seen)
-                    seen = Counter()
-        yield flush(seen)
+            texts, hashes = [], []
+            for html in batch.column(1):
+                page = Page(html.as_py())
+                texts.append(xxhash.xxh3_64_intdigest(page.text()) - (1 << 63))
+                hashes.append([None, *page.hashes])  # null stands for the page
+            yield pa.record_batch([batch.column(0), pa.array(texts, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["host", "text", "hashes"])
 
     texts = pages.select(host_of(text_of(url_col)).alias("host"), text_of(html_col).alias("html"))
-    counts = store(arrow_map(texts, count, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n")), "subtrees")
+    found = arrow_map(texts, read, "host string, text long, hashes array<long>").select("host", "text", F.explode("hashes").alias("hash"))
+    counts = store(found.groupBy("host", "hash").agg(F.count_distinct("text").alias("n")), "subtrees")
     hosts = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    # each kept hash is on a share of the host's pages, so there are at most (subtrees of a page / share) for a host
+    # each kept hash is beside a share of the host's main texts, which keeps the list of a host short
     return store(counts.where(F.col("hash").isNotNull() & (F.col("n") >= min_pages)).join(hosts, "host")
                  .where(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("hash").alias("hashes")), "templates")
 

@@ -22,6 +22,20 @@ def test_main_text(html, text):
     assert H.Page(html).text() == text
 
 
+@pytest.mark.parametrize("html,text", [
+    *[(f"<div {a}><nav>m</nav><article><p>x</p></article></div>", "x") for a in (
+        'class="content no-sidebar"', 'id="page" class="has-sidebar"', 'class="wrap with-footer"', 'class="post share-enabled"', 'class="sidebar-page"')],
+    ('<div class="has-sidebar"><p>x</div>', "x"), ('<div class="sidebar-layout"><h1>t</h1><p>x</div><div class="sidebar">y</div>', "t\nx"),
+    ('<article>a<section class="related-work">b</section><div class="notice-text">c</div><p id="ad-hoc">d</p></article>', "a\nb\nc\nd"),
+    ('<article>a<div class="related-posts">b</div><div class="share-buttons">c</div><div class="left-sidebar">d</div></article>', "a"),
+    ('<div class="comments"><article>c</article></div><article>a</article>', "a"), ('a <span class="ad">b</span> c', "a c"), ('a<div class="sidebar-no-border">b</div>', "a"),
+    ('<div class="sidebar-wrap"><article>a</article><div class="comments"><article>c</article></div></div>', "a"),
+    ('<div class="ad"><div class="ad"><p>x</div></div>y', "y"), ('<main>m<div class="promo"><article>p</article></div></main>', "m"),
+])
+def test_names_of_wrappers_and_sections(html, text):
+    assert H.Page(html).text() == text
+
+
 def test_deep_and_long_pages():
     assert H.Page("<div>" * 20000 + "x" + "</div>" * 20000).text() == "x"
     assert H.Page("<article>" + "<p>word " * 20000).text() == "\n".join(["word"] * 20000)

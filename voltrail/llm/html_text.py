@@ -5,7 +5,7 @@ its subtree: tag, text and the hashes of its children. Spark counts beside how m
 occurs, and a subtree that recurs beside many of them (``MIN_PAGES`` and ``SHARE``) is a template of the site. Pages with one main
 text count once, so that copies of an article do not make a template of it. The second
 reading deletes those subtrees, and with them what markup names as no content: menus, headers, footers, sidebars, notices,
-adverts, forms, comments, scripts and styles. Where a page has ``article`` elements (else ``main``), only their text counts;
+adverts, forms, comments, scripts and styles. A class or an id never drops what holds the page's only article, main or h1. Where a page has ``article`` elements (else ``main``), only their text counts;
 paragraphs and headings in them are the page's own words and are never taken for a template.
 
 Text is cut at block elements. Character references are decoded, white space inside a block becomes one blank, and
@@ -42,13 +42,20 @@ DROPPED = frozenset("script style noscript template iframe object embed svg math
                     "select textarea input label dialog menu head title xmp noembed noframes".split())
 #: Containers whose subtrees are hashed.
 CONTAINER = frozenset("div section ul ol dl table nav header footer aside form figure details p center fieldset".split())
-#: Words in a class or an id, and roles, that name no content.
-NO_CONTENT = frozenset("ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies "
-                       "consent gdpr notice notices notification alert menu nav navbar navigation breadcrumb breadcrumbs sidebar footer "
-                       "masthead topbar toolbar comment comments disqus reply replies respond share sharing social related "
-                       "recommended newsletter subscribe signup login popup modal overlay paywall pagination pager widget aside copyright".split())
+#: Words of a class or an id that name no content wherever they stand,
+NEVER_CONTENT = frozenset("advert adverts advertisement advertising adbox sponsored gdpr nav navbar breadcrumb breadcrumbs sidebar footer "
+                          "masthead topbar toolbar disqus newsletter paywall pagination pager".split())
+#: and words that do so alone or with others of these kinds: "share-buttons" is none, "related-work" is content.
+NO_CONTENT = frozenset("ad ads banner sponsor promo promotion cookie cookies consent notice notices notification alert menu navigation comment "
+                       "comments reply replies respond share sharing social related recommended subscribe signup login popup modal overlay "
+                       "widget aside copyright".split())
 #: The same outside an article, whose own header holds its title.
 SITE_ONLY = frozenset(["header"])
+NEUTRAL = frozenset("area articles bar block bottom box button buttons col column container content form group holder icon icons inner item "
+                    "items left link links list main outer page panel placeholder posts right row section site slot stories top unit wrap "
+                    "wrapper".split())
+#: What a name says after the first of these, or before the last, is how an element looks: "has-sidebar", "share-enabled".
+BEFORE, AFTER = frozenset("has have is no non not hide show use with without".split()), frozenset("disabled enabled off on".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 #: An opening tag closes an open element of these names, up to the given boundary.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -60,16 +67,50 @@ _NAMES = regex.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden)(?:\s*=
 _WORDS = regex.compile(r"[a-z0-9]+")
 
 
-def _names_no_content(attributes: str, outside: bool) -> bool:
+def _is_no_content(name: str, outside: bool) -> bool:
+    """Whether one name of a class or an id says that its element is no content."""
+    words = _WORDS.findall(name)
+    if words and words[-1] in AFTER:
+        return False
+    words = words[:next((i for i, w in enumerate(words) if w in BEFORE), len(words))]
+    if not NEVER_CONTENT.isdisjoint(words):
+        return True
+    telling = [w for w in words if w not in NEUTRAL and not w.isdigit()]
+    return bool(telling) and all(w in NO_CONTENT or outside and w in SITE_ONLY for w in telling)
+
+
+def _judge(attributes: str, outside: bool) -> tuple[bool, bool]:
+    """Whether an element is hidden or has a role that is no content, and whether its class or id names no content."""
+    hidden = named = False
     for name, value in _NAMES.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            words = _WORDS.findall(value)
-            if not NO_CONTENT.isdisjoint(words) or outside and not SITE_ONLY.isdisjoint(words):
-                return True
+            named = named or any(_is_no_content(v, outside) for v in value.split())
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+            hidden = True
+    return hidden, named
+
+
+class Named:
+    """An element that its class or id names no content. Whether it is dropped shows when the page is read: not if its scope (the next
+    such element around it, else the page) has no other article or main, or heading h1, than those in it."""
+
+    def __init__(self, scope: Named | None, first: int = 0):
+        self.scope, self.first, self.last = scope, first, first
+        self.own = [False, False]  # an h1, an article or main directly in it
+        self.holds = [False, False]  # the same, or in a named element in it
+        self.dropped = False
+
+    def has(self, kind: int) -> None:
+        self.own[kind] = True
+        at = self
+        while at and not at.holds[kind]:
+            at.holds[kind] = True
+            at = at.scope
+
+    def decide(self) -> None:
+        wrapper = self.holds[1] and not self.scope.own[1] or not self.holds[1] and self.holds[0] and not self.scope.own[0]
+        self.dropped = self.scope.dropped or not wrapper
 
 
 class Page:
@@ -79,18 +120,29 @@ class Page:
         self.templates = templates
         self.hashes: set[int] = set()
         self.blocks: list[tuple[int, str]] = []  # (region, text); region 2 in an article, 1 in main, 0 elsewhere
-        self.open: list[list] = []  # tag, dropped, hash parts, first block
+        self.open: list[list] = []  # tag, dropped, hash parts, first block, named element
         self.counts: Counter = Counter()
         self.dropped = 0
         self.words: list[str] = []
-        self.regions = 0
+        self.marks: list[tuple[int, Named]] = []  # region that opens, scope
+        self.cuts: list[tuple[int, int]] = []  # spans of blocks that templates delete
+        self.page = self.scope = Named(None)
+        self.named: list[Named] = []
         self._read(html)
         while self.open:
             self._close()
         self._flush()
+        for named in self.named:
+            named.decide()
+        self.regions = max((region for region, scope in self.marks if not scope.dropped), default=0)
 
     def text(self) -> str:
-        return "\n".join(text for region, text in self.blocks if region >= self.regions)
+        cuts = sorted(self.cuts + [(n.first, n.last) for n in self.named if n.dropped])
+        kept, at = [], 0
+        for first, last in [*cuts, (len(self.blocks), 0)]:
+            kept += self.blocks[at:first]
+            at = max(at, last)
+        return "\n".join(text for region, text in kept if region >= self.regions)
 
     def _region(self) -> int:
         return 2 if self.counts["article"] else 1 if self.counts["main"] else 0
@@ -111,19 +163,22 @@ class Page:
             self.words.append(unescape(text) if "&" in text else text)
 
     def _close(self) -> None:
-        tag, dropped, parts, first = self.open[-1]
+        tag, dropped, parts, first, named = self.open[-1]
         if tag in BLOCK:
             self._flush()
         self.open.pop()
         self.counts[tag] -= 1
         self.dropped -= dropped
+        if named:
+            self._flush()
+            named.last, self.scope = len(self.blocks), named.scope
         own = xxhash.xxh3_64_intdigest("\x1f".join([tag, *parts])) - (1 << 63)
         if self.open:
             self.open[-1][2].append(f"#{own}")
         if parts and tag in CONTAINER and not (tag == "p" and self._region()):
             self.hashes.add(own)
             if own in self.templates:
-                del self.blocks[first:]
+                self.cuts.append((first, len(self.blocks)))
 
     def _close_to(self, names: set[str], bounds: set[str]) -> None:
         if any(self.counts[n] for n in names):
@@ -168,13 +223,22 @@ class Page:
                 continue
             attributes = tag[3]
             outside = not self.counts["article"]
-            dropped = int(name in DROPPED or name == "header" and outside
-                          or bool(attributes) and name not in ("html", "body", "article", "main") and _names_no_content(attributes, outside))
-            self.open.append([name, dropped, [], len(self.blocks)])
+            hidden, named = _judge(attributes, outside) if attributes and name not in ("html", "body", "article", "main") else (False, False)
+            wraps = name in BLOCK or "-" in name  # what stands in a line holds no article
+            dropped = int(name in DROPPED or name == "header" and outside or hidden or named and not wraps)
+            if named and wraps:
+                self._flush()
+                named = self.scope = Named(self.scope, len(self.blocks))
+                self.named.append(named)
+            else:
+                named = None
+            self.open.append([name, dropped, [], len(self.blocks), named])
             self.counts[name] += 1
             self.dropped += dropped
-            if not self.dropped:
-                self.regions = max(self.regions, 2 if name == "article" else 1 if name == "main" else 0)
+            if not self.dropped and name in ("article", "main", "h1"):
+                if name != "h1":
+                    self.marks.append((2 if name == "article" else 1, self.scope))
+                self.scope.has(int(name != "h1"))
             if name in RAW:
                 close = regex.compile(rf"</{name}(?=[\s/>])", regex.I).search(html, at)
                 stop = close.start() if close else end

@@ -73,6 +73,14 @@ def test_copies_of_an_article_are_no_template(spark):
         assert got[f"http://a.net/{i}"].text == got[f"http://c.net/{i}"].text == f"Tale {i}"
 
 
+def test_a_box_on_a_small_share_of_a_large_host(spark):
+    rows = [(f"http://a.net/{i}", f"<div><p>Story {i}</p></div>" + (f"<div>Notice of section {i % 6}</div>" if i < 240 else "")) for i in range(600)]
+    rows += [(f"http://a.net/quote{i}", f"<div><p>Essay {i}</p></div><div>A rare quote</div>") for i in range(12)]
+    got = {r.url: r.text for r in H.extract(frame(spark, rows)).collect()}
+    assert all(got[f"http://a.net/{i}"] == f"Story {i}" for i in range(600))  # each notice is on 40 of 612 pages
+    assert got["http://a.net/quote3"] == "Essay 3\nA rare quote"  # too few for a host of this size
+
+
 def test_no_pages(spark):
     assert H.extract(frame(spark, [])).isEmpty()
 

@@ -2,8 +2,9 @@
 
 A page is read once by a tolerant tokenizer that keeps a stack of open elements. Every closed container gets the hash of
 its subtree: tag, text and the hashes of its children. Spark counts beside how many different main texts of a host each hash
-occurs, and a subtree that recurs beside many of them (``MIN_PAGES`` and ``SHARE``) is a template of the site. Pages with one main
-text count once, so that copies of an article do not make a template of it. The second
+occurs, and a subtree that recurs beside many of them (``MIN_PAGES``, or their square root on hosts with more than a hundred) is a
+template of the site, however small its share of a large host. Pages with one main text count once, so that copies of an article do
+not make a template of it. Hosts, subtrees and pages meet by hashes in shuffles; no list of a whole host is made. The second
 reading deletes those subtrees, and with them what markup names as no content: menus, headers, footers, sidebars, notices,
 adverts, forms, comments, scripts and styles. A class or an id never drops what holds the page's only article, main or h1. Where a page has ``article`` elements (else ``main``), only their text counts;
 paragraphs and headings in them are the page's own words and are never taken for a template.
@@ -29,8 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 from voltrail.llm.common import arrow_map, store, text_of
 from voltrail.llm.url_filter import host_of
 
-#: A subtree is a template when it occurs beside so many different main texts of its host, and beside this share of them.
-MIN_PAGES, SHARE = 10, 0.2
+#: A subtree is a template when it occurs beside so many different main texts of its host, and beside the square root of all of them.
+MIN_PAGES = 10
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -247,24 +248,26 @@ class Page:
                 at = stop
 
 
-def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, hashes): the subtrees that recur beside many main texts of each host."""
+def subtrees(pages: DataFrame) -> DataFrame:
+    """``pages``: (key, host, html). Rows (key, host, text, hashes): the hash of the main text and those of all subtrees of each page."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, hashes = [], []
-            for html in batch.column(1):
+            for html in batch.column(2):
                 page = Page(html.as_py())
                 texts.append(xxhash.xxh3_64_intdigest(page.text()) - (1 << 63))
-                hashes.append([None, *page.hashes])  # null stands for the page
-            yield pa.record_batch([batch.column(0), pa.array(texts, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["host", "text", "hashes"])
+                hashes.append([*page.hashes])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))],
+                                  ["key", "host", "text", "hashes"])
 
-    texts = pages.select(host_of(text_of(url_col)).alias("host"), text_of(html_col).alias("html"))
-    found = arrow_map(texts, read, "host string, text long, hashes array<long>").select("host", "text", F.explode("hashes").alias("hash"))
-    counts = store(found.groupBy("host", "hash").agg(F.count_distinct("text").alias("n")), "subtrees")
-    hosts = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    # each kept hash is beside a share of the host's main texts, which keeps the list of a host short
-    return store(counts.where(F.col("hash").isNotNull() & (F.col("n") >= min_pages)).join(hosts, "host")
-                 .where(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("hash").alias("hashes")), "templates")
+    return store(arrow_map(pages, read, "key long, host long, text long, hashes array<long>"), "subtrees")
+
+
+def templates(found: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, hash) of the subtrees that recur beside many main texts of their host."""
+    hosts = found.groupBy("host").agg(F.count_distinct("text").alias("texts"))
+    counts = found.select("host", "text", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count_distinct("text").alias("n"))
+    return store(counts.where(F.col("n") >= min_pages).join(hosts, "host").where("n >= sqrt(texts)").select("host", "hash"), "templates")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -281,8 +284,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                                    pa.array(list(map(len, texts)), pa.int64()), pa.array(found, pa.int64())],
                                   ["page_id", "url", "text", "n_chars", "n_templates"])
 
-    known = templates(pages, url_col, html_col)
+    # pages that are alike in host and html have one key, as they have the same templates
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), text_of(html_col).alias("html"),
-                        host_of(text_of(url_col)).alias("host")).join(known, "host", "left").select("page_id", "url", "html", "hashes")
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("page_id", "url")}
-    return arrow_map(rows, run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long, n_templates long")
+                        F.xxhash64(host_of(text_of(url_col))).alias("host")).withColumn("key", F.xxhash64("host", "html"))
+    found = subtrees(rows.select("key", "host", "html"))
+    known = found.select("key", "host", F.explode("hashes").alias("hash")).join(templates(found), ["host", "hash"]) \
+        .groupBy("key").agg(F.collect_set("hash").alias("hashes"))
+    marked = rows.join(known.hint("merge"), "key", "left").select("page_id", "url", "html", "hashes")
+    kinds = {c: marked.schema[c].dataType.simpleString() for c in ("page_id", "url")}
+    return arrow_map(marked, run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long, n_templates long")

@@ -73,6 +73,11 @@ def test_invalid_vectors_link_with_nothing(spark):
     assert V.near_vectors(frame(spark, [])).isEmpty()
 
 
+def test_vectors_of_one_and_two_components(spark):
+    rows = [(1, [2.0]), (2, [0.5]), (3, [-1.0]), (4, [1.0, 1.0]), (5, [1.0, 1.1]), (6, [-1.0, 1.0]), (7, [1.0, 2.0, 3.0]), (8, [1.0, 2.0, 3.0])]
+    assert answers(V.near_vectors(frame(spark, rows))) == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (1, 7), 8: (1, 7)}
+
+
 def test_transform_is_a_rotation():
     x = np.random.default_rng(4).normal(size=(5, 16))
     y = V.hadamard(x)

@@ -47,7 +47,7 @@ def hadamard(rows: np.ndarray) -> np.ndarray:
 
 def hash_codes(vectors: np.ndarray, tables: int = TABLES, visits: int = VISITS) -> np.ndarray:
     """(rows, tables, 1 + visits): the home bucket and the buckets to visit, nearest first."""
-    size = 1 << max(1, (vectors.shape[1] - 1).bit_length())
+    size = 1 << max(2, (vectors.shape[1] - 1).bit_length())  # fewer axes have fewer buckets than are visited
     padded = np.zeros((len(vectors), size))
     padded[:, :vectors.shape[1]] = vectors
     random = np.random.default_rng(SEED + size)

@@ -108,6 +108,14 @@ def test_one_of_a_group_stays(documents):
     assert sorted(r.doc_id for r in left.collect()) == sorted(i for i, _, least in brute_force(rows) if i == least)
 
 
+def test_one_of_a_group_stays_whatever_its_ids(documents):
+    text = lambda name, last: " ".join([f"{name}{i}" for i in range(60)] + [last])
+    rows = [(7, text("a", "x")), (7, text("a", "y")), (None, text("a", "z")), (None, text("b", "x")), (None, text("b", "y")), (9, text("c", "x")),
+            (None, text("c", "x")), (9, text("d", "x")), (None, None), (None, ""), (7, "")]
+    left = [(r.doc_id, (r.text or "")[:2]) for r in J.drop_near_copies(documents(rows, clashes=True)).collect()]
+    assert sorted(left, key=str) == sorted([(7, "a0"), (None, "b0"), (9, "c0"), (9, "d0"), (None, ""), (None, ""), (7, "")], key=str)
+
+
 def test_real_documents(table):
     docs = table("documents")
     rows = [(r.doc_id, r.text) for r in docs.collect()]

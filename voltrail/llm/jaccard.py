@@ -34,7 +34,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voltrail.llm.cells import cells_of
-from voltrail.llm.common import arrow_map, publish, store, text_of
+from voltrail.llm.common import arrow_map, fresh, publish, store, text_of
 from voltrail.llm.components import components
 from voltrail.llm.shingles import shingle_set
 
@@ -494,12 +494,17 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
 
 
 def drop_near_copies(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component, with all their columns.
+    """One row of each component of ``docs``, with all its columns: that of the smallest id, then the first stored one. Null ids come last.
 
-    Rows whose id is null or repeats stay: an id has to tell which text goes.
+    Rows are stored with a number and dropped by it, so ids may repeat or be null.
     """
-    found = jaccard_join(docs, percent, id_col, text_col).where("doc_id is not null")
-    gone = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id")) \
-        .where("rows = 1 and component_id < doc_id")
-    names = store(gone.select(F.col("doc_id").alias(id_col)), "gone")
-    return docs.join(names, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = fresh(docs, "row")
+    numbered = store(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    rows, linked = link_classes(numbered.select(F.col(row).alias("id"), text_of(text_col).alias("text")), percent)
+    members = store(rows.where("n > 0").select(F.col("id").alias("row"), "key"), "members")
+    ids = numbered.select(F.col(row).alias("row"), F.col(id_col).alias("id"))
+    first = members.join(ids, "row").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"))
+    stays = first.join(linked.withColumnRenamed("node", "key"), "key", "left") \
+        .groupBy(F.coalesce("component", "key").alias("component")).agg(F.min("first").alias("first")).select("first.row")
+    gone = store(members.join(stays, "row", "left_anti").select(F.col("row").alias(row)), "gone")
+    return numbered.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltrail.llm import bpe, empirical_bayes, exact_dedup, html_text, jaccard, language, mixing, near_vectors, quality, url_filter, wordpiece
+from voltrail.llm import (
+    alignment, bpe, empirical_bayes, exact_dedup, filter_audit, html_text, jaccard, language, mixing, near_vectors, pstable_search, quality, url_filter, wordpiece,
+)
 from voltrail.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +175,48 @@ def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts are the sources, paths the languages within a source. Tested by its accuracy on labels it was not fitted on."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_pstable_search")
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 20th id against all vectors. Tested by recall and against all pairs."""
+    return pstable_search.search(table(spark, sf_dir, "embeddings"))
+
+
+AUDIT_SQL = r"""
+WITH marks AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+texts AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part,
+                 list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS words FROM documents),
+docs AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                concat(CASE WHEN len(words) < 200 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END,
+                       CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END,
+                       CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END,
+                       CASE WHEN t.doc_id > min(t.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END) AS fails
+         FROM texts t LEFT JOIN marks m ON t.doc_id = m.doc_id),
+counted AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM docs GROUP BY 1, 2),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+           WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT filter_order, CAST(step AS INT) AS step, filter_order[step] AS f, '[' || filter_order[:step - 1] || '0]' AS before
+          FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+lines AS (SELECT part, filter_order, step, f, n, good, toxic, fails, contains(fails, f) AS failing, regexp_matches(fails, before) AS early FROM counted, steps),
+summed AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (WHERE NOT failing AND NOT early), 0) AS kept,
+                  coalesce(sum(n) FILTER (WHERE failing AND NOT early), 0) AS removed, coalesce(sum(n) FILTER (WHERE failing AND early), 0) AS redundant,
+                  coalesce(sum(n) FILTER (WHERE fails = f), 0) AS unique_fails, coalesce(sum(good) FILTER (WHERE failing AND NOT early), 0) AS good_lost,
+                  coalesce(sum(toxic) FILTER (WHERE failing AND NOT early), 0) AS toxic_lost FROM lines GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM summed
+"""
+
+
+@query("op12_filter_audit", AUDIT_SQL)
+def filter_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all orders, for each language."""
+    return filter_audit.audit(spark, sf_dir)
+
+
+@query("op13_alignment")
+def token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level against piece tokens. Tested against whole texts and all pairs of overlapping tokens."""
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))

@@ -62,7 +62,7 @@ def test_all_orders_equal_brute_force(spark, documents, tmp_path, files):
     labels = spark.createDataFrame([(*m, "x") for m in MARKS], LABELS)
     found = A.counters(spark, f"{tmp_path}/documents.parquet", labels, files)
     assert read(A.interactions(found)) == brute_force(ROWS, MARKS)
-    assert found.agg({"n": "sum"}).scalar() == len(ROWS)
+    assert found.agg({"n": "sum"}).first()[0] == len(ROWS)
 
 
 def test_falling_ids_retract_every_batch(spark, documents, tmp_path):

@@ -186,7 +186,7 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 AUDIT_SQL = r"""
 WITH marks AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
 texts AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part,
-                 list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS words FROM documents),
+                 regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 docs AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
                 concat(CASE WHEN len(words) < 200 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END,
                        CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END,

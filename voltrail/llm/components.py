@@ -32,6 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         stars = cut(small)
         found = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if found == state:
-            return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            roots = stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+            return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
         state = found
     raise RuntimeError("components did not settle")

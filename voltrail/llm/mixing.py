@@ -84,7 +84,7 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
     nearer = F.col("prefix") + F.when((F.col("rest") - F.col("below")) * 2 > F.col("words"), 1).otherwise(0)
     cuts = found.select(F.col("source").alias("s"), nearer.alias("cut"))
     return store(goals.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-                 .withColumn("cut", F.coalesce("cut", F.lit(0))), "cuts")
+                 .withColumn("cut", F.when(F.col("rest") > 0, F.coalesce("cut", F.lit(0))).otherwise(0)), "cuts")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), budget: float = 1.0, id_col: str = "doc_id",

@@ -4,19 +4,16 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from itertools import product
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voltrail.functions.scalar import is_weekend, served_duration, start_hour_bin, valid_duration_request
 from voltrail.models.heuristic import eval_metrics, residuals_by_station
 from voltrail.models.preprocess import build_preprocessor, feature_names, is_test_row, prepared_rows
+from voltrail.models.trees import Boosting, Forest, boosting_errors, nested_errors, take
 from voltrail.operators.joins import modal_cluster_default
 from voltrail.schema import (
     CATEGORICAL_FEATURES, ENERGY, MINUTES, NUMERIC_FEATURES, ROW_ID, STATION, WEEKDAYS,
@@ -26,32 +23,33 @@ from voltrail.sources.sinks import save_model
 
 SEED = 42
 
-# The searched settings. None (no depth limit) is 30 for the forest, Spark's limit, and 8
-# for boosting; 15, 31 and 63 leaves are depth 4, 5 and 6.
+# The searched settings. A depth of None has no limit.
 FOREST_GRID = {
     "numTrees": [200, 400, 600],
-    "maxDepth": [30, 10, 20],
+    "maxDepth": [None, 10, 20, 30],
+    "minSamplesSplit": [2, 5, 10],
     "minInstancesPerNode": [1, 2, 4],
 }
 BOOSTING_GRID = {
     "stepSize": [0.03, 0.05, 0.1],
-    "maxDepth": [4, 5, 6, 8, 10],
+    "maxDepth": [None, 6, 10],
+    "maxLeafNodes": [15, 31, 63],
     "minInstancesPerNode": [10, 20, 30],
+    "l2": [0.0, 0.1, 0.5],
 }
 SEARCH_SETS, SEARCH_FOLDS = 12, 3
 
 
-def random_forest(**params) -> RandomForestRegressor:
-    settings = {"numTrees": 200, "maxDepth": 10, "minInstancesPerNode": 2, "seed": SEED, **params}
-    return RandomForestRegressor(**settings)
+def random_forest(**params) -> Forest:
+    return Forest(**params)
 
 
-def boosting(**params) -> GBTRegressor:
-    settings = {"maxIter": 100, "stepSize": 0.03, "maxDepth": 6, "minInstancesPerNode": 20, "seed": SEED, **params}
-    return GBTRegressor(**settings)
+def boosting(**params) -> Boosting:
+    return Boosting(**params)
 
 
 MODELS = {"random_forest": (random_forest, FOREST_GRID), "hist_gradient_boosting": (boosting, BOOSTING_GRID)}
+ERRORS = {"random_forest": nested_errors, "hist_gradient_boosting": boosting_errors}
 
 
 @dataclass
@@ -115,28 +113,20 @@ def tune(
     prepared: Prepared,
     n_sets: int = SEARCH_SETS,
     folds: int | list[Prepared] = SEARCH_FOLDS,
-    parallelism: int = 4,
     grid: dict[str, list] | None = None,
     **fixed,
 ) -> tuple[Fitted, list[dict]]:
     """Random search with cross-validation on MAE; the best settings are refitted on all train rows.
 
     The preprocessing is part of what is validated: every fold learns its own (``split_folds``, which several models can share).
+    Validation takes at most ``FIT_ROWS`` rows of each part; its fits are tasks of one job.
     """
     build, full_grid = MODELS[name]
     settings = sample_sets(grid or full_grid, n_sets)
     parts = split_folds(prepared, folds) if isinstance(folds, int) else folds
-    judge = RegressionEvaluator(metricName="mae")
-
-    def score(job: tuple[dict, Prepared]) -> float:
-        chosen, part = job
-        model = build(**fixed, **chosen).fit(part.train.select("features", "label"))
-        return float(judge.evaluate(model.transform(part.test.select("features", "label"))))
-
-    jobs = [(chosen, part) for chosen in settings for part in parts]
-    with ThreadPoolExecutor(parallelism) as pool:
-        errors = list(pool.map(inheritable_thread_target(prepared.train.sparkSession)(score), jobs))
-    means = [sum(errors[i * len(parts):(i + 1) * len(parts)]) / len(parts) for i in range(len(settings))]
+    samples = [(train, take(part.test.select("features", "label"), binning=train.binning))
+               for part in parts for train in [take(part.train.select("features", "label"))]]
+    means = ERRORS[name](prepared.train.sparkSession, [{**fixed, **chosen} for chosen in settings], samples)
     scores = [{"model": name, **chosen, "cv_mae": mean} for chosen, mean in zip(settings, means)]
     best = settings[min(range(len(settings)), key=means.__getitem__)]
     return Fitted(name, build(**fixed, **best).fit(prepared.train), best), scores

@@ -225,7 +225,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Validation scores of both models."""
     names = sorted({k for _, grid in D.MODELS.values() for k in grid})
-    rows = [(s["model"], *[float(s[k]) if k in s else None for k in names], s["cv_mae"]) for s in searched(spark, sf_dir).scores]
+    rows = [(s["model"], *[float(s[k]) if s.get(k) is not None else None for k in names], s["cv_mae"]) for s in searched(spark, sf_dir).scores]
     return spark.createDataFrame(rows, "model string, " + ", ".join(f"{k} double" for k in names) + ", cv_mae double")
 
 

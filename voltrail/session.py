@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,11 +60,34 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/voltrail/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark removes the shuffle files of an execution when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the time of a block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: later passes prune its columns."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a table to the shared folder and read it back: later passes prune its columns.
+
+    What the write shuffled is removed at once, as the stored rows are what is read from now on.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    with setting(spark, SHUFFLE_CLEANUP, "true"):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -36,9 +36,15 @@ def publish(spark: SparkSession, data: bytes, name: str, code: bool = False) ->
 _SHIPPED: set[str] = set()
 
 
+#: Bytes of a batch between Spark and Python, in place of Spark's own 64 MB: texts are long, and a worker holds a batch several times.
+BATCH, SPARKS_BATCH = str(8 << 20), "67108864b"
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Give the package to the executors' Python, once for each application."""
+    """Give the package to the executors' Python, once for each application, and bound the batches they exchange where the user has not."""
     application = spark.sparkContext.applicationId
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == SPARKS_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     if application in _SHIPPED:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -117,7 +117,7 @@ def described(docs: DataFrame) -> DataFrame:
                     least.append([int((tokens * turn).min()) - (1 << 63) for turn in _TURNS] if len(tokens) else [])
                     held.append(_bucket(tokens))
                     size += len(tokens)
-                    if size > 1 << 20:
+                    if size > 1 << 18:
                         count()
                         held, size = [], 0
                 n = part.num_rows

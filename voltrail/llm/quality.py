@@ -144,21 +144,24 @@ def site_rates(scored: DataFrame) -> DataFrame:
     return store(shrunk(paths.join(hosts, "host"), "host_rate", "rate").select("host", "path", "n", "host_rate", "rate"), "rates")
 
 
-def _learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str, fit_rows: int) -> tuple[Model, DataFrame, DataFrame]:
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str, fit_rows: int, keep: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Stored rows (id, host, path, evidence), each text scored once, and rates by path. ``keep``: all columns of ``docs`` as a struct of this name."""
     ship_code(docs.sparkSession)
     known = labels_of(labels)
     model = fit(docs, known, id_col, text_col, fit_rows)
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(keep)] if keep else []
     scored = store(docs.select(F.col(id_col).alias("id"), named(host_col).alias("host"), named(path_col).alias("path"),
-                               evidence(model, text_of(text_col)).alias("evidence")), "evidence")
+                               evidence(model, text_of(text_col)).alias("evidence"), *whole), "evidence")
     alone = probability(F.col("evidence") + F.lit(model.base))
-    rates = site_rates(scored.join(known, "id", "left").select("host", "path", F.coalesce(F.col("bad").cast("double"), alone).alias("bad")))
-    return model, scored, rates
+    rates = site_rates(scored.select("id", "host", "path", "evidence").join(known, "id", "left")
+                       .select("host", "path", F.coalesce(F.col("bad").cast("double"), alone).alias("bad")))
+    return scored, rates
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
              path_col: str = "lang", fit_rows: int = FIT_ROWS, reject: float = REJECT) -> DataFrame:
     """One row per document: doc_id, host, path, evidence, site_rate, p_bad, keep."""
-    _, scored, rates = _learned(docs, labels, id_col, text_col, host_col, path_col, fit_rows)
+    scored, rates = _scored(docs, labels, id_col, text_col, host_col, path_col, fit_rows)
     nameless = lambda c: F.when(F.col(c) != NO_NAME, F.col(c)).alias(c)
     return scored.join(rates, ["host", "path"]) \
         .withColumn("p_bad", probability(F.col("evidence") + log_odds(F.col("rate")))) \
@@ -169,9 +172,6 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
               path_col: str = "lang", fit_rows: int = FIT_ROWS, reject: float = REJECT) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with all their columns."""
-    model, _, rates = _learned(docs, labels, id_col, text_col, host_col, path_col, fit_rows)
-    host, path, rate = (fresh(docs, c) for c in ("site_host", "site_path", "site_rate"))
-    sites = rates.select(F.col("host").alias(host), F.col("path").alias(path), F.col("rate").alias(rate))
-    bad = probability(evidence(model, text_of(text_col)) + log_odds(F.col(rate)))
-    return docs.withColumns({host: named(host_col), path: named(path_col)}).join(sites, [host, path]) \
-        .where(bad < reject).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored, rates = _scored(docs, labels, id_col, text_col, host_col, path_col, fit_rows, keep="document")
+    bad = probability(F.col("evidence") + log_odds(F.col("rate")))
+    return scored.join(rates, ["host", "path"]).where(bad < reject).select("document.*")

@@ -7,7 +7,7 @@ import xxhash
 
 SHINGLE = 5
 #: Words whose hash a task remembers; it starts anew beyond that.
-REMEMBERED = 400000
+REMEMBERED = 100000
 _UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.random.default_rng(20240502).integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
 

@@ -36,7 +36,7 @@ from voltrail.llm.lexicon import Lexicon, compile_lexicon
 #: Most words in the lexicon (a bound on its size, about 40 bytes each), and how often each must occur.
 LEXICON_WORDS, LEXICON_COUNT = 50000, 8
 #: Chunks of text whose ids a worker remembers; it starts anew beyond that.
-REMEMBERED = 400000
+REMEMBERED = 200000
 #: Letters of text that are encoded at a time, and bytes of a word that is merged in an array with others.
 AT_ONCE, IN_ARRAY = 4_000_000, 48
 #: White space of the tokenizer's pattern: the Unicode property, which lacks U+001C to U+001F.

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import os
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voltrail.session import scratch_path, shared_dir, stored as store  # noqa: F401
@@ -59,9 +61,22 @@ def ship_code(spark: SparkSession) -> None:
     _SHIPPED.add(application)
 
 
+def give_back() -> None:
+    """Return a worker's free memory to the machine: workers outlive their tasks, and their pools keep what they once used."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim is not None:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     ship_code(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def cut(df: DataFrame) -> DataFrame:

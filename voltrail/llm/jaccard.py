@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from voltrail.llm.cells import cells_of
 from voltrail.llm.common import arrow_map, fresh, publish, store, text_of
 from voltrail.llm.components import components
-from voltrail.llm.shingles import shingle_set
+from voltrail.llm.shingles import forget_words, shingle_set
 
 #: Jaccard similarity in hundredths.
 PERCENT = 80
@@ -125,6 +125,7 @@ def described(docs: DataFrame) -> DataFrame:
                                        pa.array(least, pa.list_(pa.int64())), pa.array(maps, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if held:
             count()
+        forget_words()
         blocks = counters.reshape(BLOCKS, -1)
         used = np.flatnonzero(blocks.any(axis=1)).tolist()
         if kind is not None and used:
@@ -201,6 +202,7 @@ def postings(docs: DataFrame, levels: str, common: int, percent: int) -> DataFra
                     columns, size = [], 0
         if columns:
             yield flush()
+        forget_words()
 
     return arrow_map(docs, run, "token long, key long, place int, n int, common boolean")
 
@@ -311,6 +313,7 @@ def needed_sets(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFra
                     keys, sets = [], []
             if sets:
                 yield _sets(keys, sets)
+        forget_words()
 
     return arrow_map(docs.select(_bit("id"), "text"), run, "key long, tokens array<long>")
 

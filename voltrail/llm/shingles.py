@@ -23,6 +23,11 @@ class _Hashes(dict):
 _WORDS = _Hashes()
 
 
+def forget_words() -> None:
+    """Called at the end of a task: its worker lives on."""
+    _WORDS.clear()
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """Spread 64-bit values evenly (the finaliser of splitmix64)."""
     values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

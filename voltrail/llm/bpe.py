@@ -38,7 +38,7 @@ LEXICON_WORDS, LEXICON_COUNT = 50000, 8
 #: Chunks of text whose ids a worker remembers; it starts anew beyond that.
 REMEMBERED = 200000
 #: Letters of text that are encoded at a time, and bytes of a word that is merged in an array with others.
-AT_ONCE, IN_ARRAY = 4_000_000, 48
+AT_ONCE, IN_ARRAY = 1_000_000, 48
 #: White space of the tokenizer's pattern: the Unicode property, which lacks U+001C to U+001F.
 BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NONE = 1 << 60

@@ -36,6 +36,24 @@ def test_names_of_wrappers_and_sections(html, text):
     assert H.Page(html).text() == text
 
 
+@pytest.mark.parametrize("html,text", [
+    ("<svg/><p>x</p>", "x"), ('<svg><path d="M1"/><g/></svg><p>x</p>', "x"), ("<div/><p>x</p>", "x"),
+    ("<main><h1>T</h1><p>Story</p><section><article>teaser</article></section></main>", "T\nStory"),
+    ('<main><h1>T</h1><p>Story</p><article class="comment">First and longest of all</article></main>', "T\nStory"),
+    ("<div><h1>T</h1><p>Long story</p></div><section><article>Other post</article><article>One more</article></section>", "T\nLong story"),
+    ("<h1>Site</h1><p>Hello</p><article><p>A long story here</p></article>", "A long story here"),
+    ("<main><h1>Blog</h1><article>A long post</article></main>", "A long post"),
+    ("<h1>Site</h1><article><h1>T</h1>x</article><section><article><h2>Other</h2></article></section>", "T\nx"),
+    ("<article><h1>A</h1>x</article><article><h1>B</h1>y</article>", "A\nx\nB\ny"),
+    ('<div><p>Story</p></div><article class="comment-body">First!</article>', "Story"),
+    ('<article>Story<article class="comment">First!</article></article>', "Story"), ('<article class="related">x</article>', "x"),
+    ('<article>x</article><article class="related">y</article>', "x"), ('<article class="post sidebar-layout">x</article>', "x"),
+    ("<main><p>x</p></main><div><h1>T</h1></div>", "x"),
+])
+def test_regions(html, text):
+    assert H.Page(html).text() == text
+
+
 def test_deep_and_long_pages():
     assert H.Page("<div>" * 20000 + "x" + "</div>" * 20000).text() == "x"
     assert H.Page("<article>" + "<p>word " * 20000).text() == "\n".join(["word"] * 20000)
@@ -81,6 +99,46 @@ def test_a_box_on_a_small_share_of_a_large_host(spark):
     assert got["http://a.net/quote3"] == "Essay 3\nA rare quote"  # too few for a host of this size
 
 
+def test_versions_and_own_parts_of_articles(spark):
+    """A line that changes does not make a template of the article, nor does a table that many articles share."""
+    rows = [(f"http://a.net/{i}", f"<div><p>Long story body</p><p>second part</p></div><div>Viewed {i} times</div>") for i in range(12)]
+    rows += [(f"http://b.net/{i}", f"<article><h1>T</h1><div><p>Long story body</p></div><p>Printed on day {i}</p></article>") for i in range(12)]
+    rows += [(f"http://c.net/{i}", f"<article><p>Case {i}</p><div><table><tr><td>Verdict<td>guilty</table></div><div>Read on</div></article>") for i in range(12)]
+    got = {r.url: r.text for r in H.extract(frame(spark, rows)).collect()}
+    for i in range(12):
+        assert got[f"http://a.net/{i}"] == f"Long story body\nsecond part\nViewed {i} times"
+        assert got[f"http://b.net/{i}"] == f"T\nLong story body\nPrinted on day {i}"
+        assert got[f"http://c.net/{i}"] == f"Case {i}\nVerdict\nguilty"
+
+
+def test_template_rule_against_brute_force(spark):
+    """Hashes beside at least 10 stories of a host, and the square root of all of them, counted in plain Python."""
+    import random
+    rng = random.Random(3)
+    boxes = [f"<div><p>Box {b}</p></div>" for b in range(8)]
+    rows = []
+    for i in range(400):
+        host = rng.choice(["a.net", "a.net", "a.net", "b.net", "c.net"])
+        story = rng.randrange(150)
+        rows.append((f"http://{host}/{i}", f"<article><h1>Title {story}</h1><p>Story {story}</p></article>"
+                     + "".join(b for n, b in enumerate(boxes) if rng.random() < 0.6 / (n + 1))))
+    rows += rows[:20]
+    beside, stories = {}, {}
+    for url, html in rows:
+        host, page = url.split("/")[2], H.Page(html)
+        stories.setdefault(host, set()).add(page.story())
+        for own in page.hashes:
+            beside.setdefault((host, own), set()).add(page.story())
+    known = {k for k, s in beside.items() if len(s) >= 10 and len(s) >= len(stories[k[0]]) ** 0.5}
+    assert 0 < len(known) < len(beside)
+    got = H.extract(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for row in got:  # the row's place is its id, and repeated rows have their own
+        host, html = row.url.split("/")[2], rows[row.page_id][1]
+        mine = {own for own in H.Page(html).hashes if (host, own) in known}
+        assert row.text == H.Page(html, frozenset(mine)).text() and row.n_templates == len(mine)
+
+
 def test_no_pages(spark):
     assert H.extract(frame(spark, [])).isEmpty()
 

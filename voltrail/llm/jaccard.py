@@ -273,9 +273,9 @@ def whole_cells(batches: Iterator[pa.RecordBatch], name: str, rows: int) -> Iter
 def _wanted(values: DataFrame) -> str:
     """The published filter of ``FILTER_BITS`` bits over a column ``bit``: bounded, whatever the number of values."""
     words = np.zeros(FILTER_BITS // 64, np.int64)
-    for row in values.groupBy(F.shiftright("bit", 6).alias("word")) \
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toLocalIterator():
-        words[row.word] = row.bits
+    found = values.groupBy(F.shiftright("bit", 6).alias("word")) \
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()  # one job; a row for each word at most
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return publish(values.sparkSession, words.tobytes(), "wanted.bin")
 
 

@@ -8,7 +8,7 @@ cosine. ``rejected`` marks texts that lie further from it than nearly all of the
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and not rejected. Rows with null text or
 language are not learned from. Equal cosines go to the first language in code point order. Without training
-rows every text is ``und``. An empty table gives no rows. Other columns are ignored, whatever their names.
+rows every text is ``und``. Repeated rows are judged each; very long texts are read whole. An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voltrail.llm.common import arrow_map, store
+from voltrail.llm.common import arrow_map, cut, store
+from voltrail.operators.joins import size_checked
 
 DIMS = 4096
 CENTROIDS = 4
@@ -133,7 +134,8 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     seen, docs = _frequencies(rows)
     idf = (np.log((1 + docs) / (1 + seen)) + 1).astype(np.float32)
     # about twice the sample passes the hash limit of its language, so few rows are ranked
-    sizes = rows.groupBy("lang").agg((2.0 * sample / F.count("*")).alias("share"))
+    # the filter runs in the scan: a row for each language is broadcast where these are counted to be few
+    sizes = size_checked(cut(rows.groupBy("lang").agg((2.0 * sample / F.count("*")).alias("share"))))
     placed = rows.select("lang", "id", F.xxhash64("id").alias("place")).join(sizes, "lang") \
         .where(F.pmod("place", F.lit(1 << 32)) < F.col("share") * (1 << 32))
     order = Window.partitionBy("lang").orderBy(F.pmod("place", F.lit(1 << 32)), "place", "id")

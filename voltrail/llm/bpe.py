@@ -10,7 +10,8 @@ blank, lower case, and a split by a pattern no part of which matches white space
 tokens are read from the file. Special tokens in a text are encoded as such, and a vocabulary without decoder joins
 its tokens by a blank, as the library does.
 
-Defined results: a null text is an empty text and has no tokens. An empty table gives no rows. Other columns of the input are
+Defined results: a null text is an empty text and has no tokens. Repeated rows stay and are encoded each;
+very long texts are encoded whole. An empty table gives no rows. Other columns of the input are
 ignored, whatever their names.
 """
 

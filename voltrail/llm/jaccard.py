@@ -17,7 +17,7 @@ then by the sets themselves.
 Tokens and classes are 64-bit hashes; two different classes get one key with a probability below n^2 / 2^64.
 
 Defined results: a null or empty text, or one without words, has the empty set, links with nothing and is its own component.
-Repeated ids are documents of their own; a component is named by its smallest id, nulls left out. An empty table
+Repeated ids are documents of their own; a component is named by its smallest id, nulls left out. Very long texts are read whole. An empty table
 gives no rows. Other columns of the input are ignored, whatever their names.
 """
 

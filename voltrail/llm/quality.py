@@ -11,7 +11,7 @@ The classifier is fitted on at most ``FIT_ROWS`` labelled documents, chosen by h
 
 Defined results: a null text is an empty text. A null host or path is a value of its own. Without labels of both kinds the
 classifier says nothing, and documents are judged by the rates alone. Repeated ids are judged each by its own text, and a
-document with contradicting labels counts as bad. An empty table gives no rows. Other columns are ignored, whatever their names.
+document with contradicting labels counts as bad. Very long texts are read whole. An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ Everything runs in DataFrame functions; rules and suffixes are short lists given
 
 Defined results: a null url, or one without ``://``, has an empty host and an empty path, fits no rule, and shares the
 reputation of the empty host. Without any label every page is allowed. An empty table gives no rows.
+Repeated rows and ids stay and are judged each by its url; very long urls are read whole.
 Other columns of the input are ignored, whatever their names.
 """
 

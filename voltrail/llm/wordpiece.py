@@ -8,7 +8,8 @@ never built, and the work is linear in the word's length.
 A piece is either the start of a word or a continuation. A word that cannot be covered is one unknown token. Words are
 the runs of a text without ASCII white space.
 
-Defined results: a null or empty text has no words and no tokens. An empty table gives no rows. Other columns of the
+Defined results: a null or empty text has no words and no tokens. Repeated rows are counted each; very long texts
+and words are read whole. An empty table gives no rows. Other columns of the
 input are ignored, whatever their names.
 """
 

@@ -39,6 +39,7 @@ TEXT_COLUMNS = [
 
 REQUIRED_COLUMNS = ["energy_consumed_kwh", "charging_duration_hours"]
 
+# Columns of the station list.
 STATION_MASTER_COLUMNS = [
     "charging_station_id",
     "charging_station_location",
@@ -49,6 +50,7 @@ STATION_MASTER_COLUMNS = [
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 WEEKEND_DAYS = ["Saturday", "Sunday"]
 
+# Feature names of the duration models.
 BASE_NUMERIC_FEATURES = [
     "battery_capacity_kwh",
     "energy_consumed_kwh",
@@ -88,6 +90,7 @@ DERIVED_CATEGORICAL_FEATURES = ["temperature_band", "start_hour_bin", "station_c
 NUMERIC_FEATURES = BASE_NUMERIC_FEATURES + DERIVED_NUMERIC_FEATURES
 CATEGORICAL_FEATURES = BASE_CATEGORICAL_FEATURES + DERIVED_CATEGORICAL_FEATURES
 
+# Feature names of the segments.
 SEGMENT_FEATURES = [
     "session_count",
     "unique_users",

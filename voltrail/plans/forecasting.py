@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voltrail.models import forecast as M
+from voltrail.models import changepoints as C, forecast as M
 from voltrail.operators import reports as R, tables as T
 from voltrail.operators.joins import unknown_station_sample, unknown_stations
 from voltrail.plans.registry import once, query
@@ -258,3 +258,95 @@ def _(spark, sf_dir):
        extra=STATION_FIT)
 def _(spark, sf_dir):
     return T.forecast_table(M.metrics(station_days(spark, sf_dir)))
+
+
+# --- trend with bends -----------------------------------------------------------------------------
+
+def diagonal_sql(start: str) -> str:
+    """Elimination of the systems of a table (station, i, j, v), without pivoting."""
+    return (
+        f"WITH RECURSIVE r AS (SELECT charging_station_id, 0 AS k, i, j, v FROM {start} UNION ALL "
+        "SELECT a.charging_station_id, a.k + 1, a.i, a.j, CASE WHEN a.i = a.k THEN a.v ELSE a.v - p.v * f.v / d.v END FROM r a "
+        "JOIN r p ON p.charging_station_id = a.charging_station_id AND p.i = a.k AND p.j = a.j "
+        "JOIN r f ON f.charging_station_id = a.charging_station_id AND f.i = a.i AND f.j = a.k "
+        "JOIN r d ON d.charging_station_id = a.charging_station_id AND d.i = a.k AND d.j = a.k "
+        f"WHERE a.k < {C.SIZE}) SELECT n.charging_station_id, n.i, n.j - {C.SIZE} AS side, n.v / d.v AS v FROM r n JOIN r d ON "
+        f"d.charging_station_id = n.charging_station_id AND d.k = n.k AND d.i = n.i AND d.j = n.i WHERE n.k = {C.SIZE} AND n.j >= {C.SIZE}"
+    )
+
+
+def left_over_sql(solved: str) -> str:
+    return (
+        f"SELECT charging_station_id, CASE WHEN sum((y - yhat) * (y - yhat)) > sum(y * y) * {C.EXACT!r} THEN sum((y - yhat) * (y - yhat)) "
+        f"ELSE 0e0 END AS squares, count(*) AS train_rows, sum(y * y) AS yy FROM (SELECT charging_station_id, ds, any_value(y) AS y, "
+        f"sum(b.v * s.v) AS yhat FROM bend_basis b JOIN {solved} s USING (charging_station_id, i) WHERE s.side = 0 GROUP BY 1, 2) GROUP BY 1"
+    )
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(values) + "]"
+
+
+LAST_KNOT = 1 + C.CHANGES
+SHRUNK = f"CASE WHEN i <> j OR i < 2 THEN 0e0 WHEN i <= {LAST_KNOT} THEN %s ELSE {M.WEEKDAY_SHRINKAGE}e0 END"
+BENT = {**SERIES, **{
+    "bend_days": "SELECT *, CAST(ds - first_day AS DOUBLE) / CAST(last_day - first_day AS DOUBLE) AS x, isodow(ds) - 1 AS weekday FROM "
+                 "(SELECT charging_station_id, ds, CAST(y AS DOUBLE) AS y, min(ds) OVER (PARTITION BY charging_station_id) AS first_day, "
+                 "max(ds) OVER (PARTITION BY charging_station_id) AS last_day FROM series) WHERE first_day < last_day",
+    "bend_basis": f"SELECT charging_station_id, ds, y, unnest(generate_series(0, {C.SIZE - 1})) AS i, unnest(" + _list(
+        ["1e0"] + [f"greatest(x - CAST({k!r} AS DOUBLE), 0e0)" for k in C.KNOTS]
+        + [f"CASE WHEN weekday = {w} THEN 1e0 ELSE 0e0 END" for w in range(7)]) + ") AS v FROM bend_days",
+    "bend_normal": "SELECT charging_station_id, a.i, b.i AS j, sum(a.v * b.v) AS v FROM bend_basis a JOIN bend_basis b USING "
+                   f"(charging_station_id, ds) GROUP BY 1, 2, 3 UNION ALL SELECT charging_station_id, i, {C.SIZE}, sum(v * y) FROM bend_basis "
+                   "GROUP BY 1, 2",
+    "bend_start1": f"SELECT charging_station_id, i, j, v + {SHRUNK % repr(C.FIRST_PENALTY)} AS v FROM bend_normal UNION ALL "
+                   f"SELECT charging_station_id, i, {C.SIZE} + side, CASE WHEN i = side + 1 THEN 1e0 ELSE 0e0 END FROM (SELECT DISTINCT "
+                   f"charging_station_id, i FROM bend_normal), generate_series(1, {C.CHANGES}) AS g(side)",
+    "bend_first": diagonal_sql("bend_start1"),
+    "bend_squares1": left_over_sql("bend_first"),
+    "bend_noise": f"SELECT *, squares / greatest(train_rows - {2 + C.CHANGES}, 1) AS noise FROM bend_squares1",
+    "bend_real": f"SELECT charging_station_id, noise, CASE WHEN real > yy / train_rows * {C.EXACT!r} THEN real ELSE 0e0 END AS bend_variance FROM "
+                 "(SELECT charging_station_id, any_value(noise) AS noise, any_value(yy) AS yy, any_value(train_rows) AS train_rows, "
+                 "(sum(CASE WHEN side = 0 THEN v * v ELSE 0e0 END) - any_value(noise) * sum(CASE WHEN side > 0 THEN v ELSE 0e0 END)) / "
+                 f"{C.CHANGES} AS real FROM bend_first JOIN bend_noise USING (charging_station_id) WHERE i BETWEEN 2 AND {LAST_KNOT} AND "
+                 "(side = 0 OR side = i - 1) GROUP BY 1)",
+    "bend_shrink": "SELECT *, CASE WHEN bend_variance > 0 THEN greatest({0!r}, least({1!r}, noise / bend_variance)) ELSE {1!r} END AS "
+                   "bend_penalty FROM bend_real".format(*C.PENALTY_RANGE),
+    "bend_start2": f"SELECT charging_station_id, i, j, v + {SHRUNK % 'bend_penalty'} AS v FROM bend_normal JOIN bend_shrink USING "
+                   f"(charging_station_id) UNION ALL SELECT charging_station_id, i, {C.SIZE} + side, "
+                   f"CASE WHEN side = 1 THEN {_list(map(repr, C.LAST_LEVEL))}[i + 1] ELSE {_list(map(repr, C.LAST_SLOPE))}[i + 1] END FROM "
+                   "(SELECT DISTINCT charging_station_id, i FROM bend_normal), generate_series(1, 2) AS g(side)",
+    "bend_second": diagonal_sql("bend_start2"),
+    "bend_squares2": left_over_sql("bend_second"),
+    "bend_fit": "SELECT charging_station_id, any_value(train_rows) AS train_rows, any_value(first_day) AS first_day, any_value(last_day) AS "
+                "last_day, any_value(bend_penalty) AS bend_penalty, any_value(bend_variance) AS bend_variance, "
+                "sqrt(any_value(squares) / greatest(any_value(train_rows) - 2, 1)) AS sigma, "
+                + ", ".join(f"max(CASE WHEN side = 0 AND i = {i} THEN v END) AS {name}" for i, name in enumerate(C.PARAMETERS))
+                + ", " + ", ".join(
+                    f"sum(CASE WHEN side = {side} THEN v * CAST({_list(map(repr, weights))}[i + 1] AS DOUBLE) END) AS {name}"
+                    for name, side, weights in (("level_spread", 1, C.LAST_LEVEL), ("level_slope_spread", 2, C.LAST_LEVEL),
+                                                ("slope_spread", 2, C.LAST_SLOPE)))
+                + " FROM bend_second JOIN bend_squares2 USING (charging_station_id) JOIN bend_shrink USING (charging_station_id) JOIN "
+                "(SELECT DISTINCT charging_station_id, first_day, last_day FROM bend_days) USING (charging_station_id) GROUP BY 1",
+    "bend_ahead": "SELECT *, CAST(ds - first_day AS DOUBLE) / CAST(last_day - first_day AS DOUBLE) AS x, CAST(ds - last_day AS DOUBLE) / "
+                  "CAST(last_day - first_day AS DOUBLE) AS ahead FROM (SELECT *, last_day + CAST(unnest(generate_series(1, 30)) AS INT) AS ds "
+                  "FROM bend_fit)",
+}}
+FITTED = ["bend_penalty", "bend_variance", "sigma", *C.PARAMETERS, "level_spread", "level_slope_spread", "slope_spread"]
+
+
+@query("changepoint_fit", f"SELECT charging_station_id, train_rows, first_day, last_day, {', '.join(FITTED)} FROM bend_fit", FITTED, extra=BENT)
+def _(spark, sf_dir):
+    return C.fit(station_days(spark, sf_dir)).select(STATION, "train_rows", "first_day", "last_day", *FITTED)
+
+
+@query("changepoint_forecast", "SELECT charging_station_id, ds, yhat, yhat - half AS yhat_lower, yhat + half AS yhat_upper FROM (SELECT "
+       "charging_station_id, ds, intercept + slope * x + "
+       + " + ".join(f"{c} * greatest(x - CAST({k!r} AS DOUBLE), 0e0)" for c, k in zip(C.BENDS, C.KNOTS[1:]))
+       + " + CASE isodow(ds) " + " ".join(f"WHEN {i + 1} THEN {n}" for i, n in enumerate(M.EFFECTS)) + " END AS yhat, "
+       "sqrt(sigma * sigma * (1 + level_spread + 2 * ahead * level_slope_spread + ahead * ahead * slope_spread) + bend_variance * "
+       f"CAST({C.CHANGES / C.RANGE!r} AS DOUBLE) * power(ahead + CAST({1 - C.RANGE!r} AS DOUBLE), 3) / 3) * {Z80} AS half FROM bend_ahead)",
+       BANDS, extra=BENT)
+def _(spark, sf_dir):
+    """Thirty days after each series by the bent trend, with bands that widen."""
+    return C.future(C.fit(station_days(spark, sf_dir)), 30)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voltrail.schema import STATION
+from voltrail.schema import ENERGY, STATION
 from voltrail.session import stored
 
 # A side is broadcast only when it was counted and holds at most this many (narrow) rows.
@@ -41,6 +41,14 @@ def attach_cluster(sessions: DataFrame, clusters: DataFrame | None, unknown: str
     )
 
 
+def label_totals(sessions: DataFrame, clusters: DataFrame, unknown: str = "unknown") -> DataFrame:
+    """Sessions and energy of each station with its label. On tables bucketed alike by station nothing is exchanged."""
+    labels = clusters.select(STATION, F.col("cluster").cast("string").alias("station_cluster_label"))
+    return sessions.join(labels.hint("merge"), STATION, "left") \
+        .groupBy(STATION, F.coalesce("station_cluster_label", F.lit(unknown)).alias("station_cluster_label")) \
+        .agg(F.count(F.lit(1)).alias("sessions"), F.sum(ENERGY).alias("total_energy_kwh"))
+
+
 # The text served for each cluster number.
 CLUSTER_TEXTS = {
     0: "Low demand – occasional use station",

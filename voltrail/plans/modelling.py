@@ -7,9 +7,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from voltrail.models import duration as D, forecast as M, heuristic as H, preprocess as P, segments as G
+from voltrail.models.permutation import permutation_importance
 from voltrail.operators import joins as J, reports as R, tables as T
 from voltrail.plans.forecasting import STATION_FIT, station_days
-from voltrail.plans.history import FEATURES, labelled_features, stored_labels
+from voltrail.plans.history import FEATURE_COLUMNS, FEATURES, labelled_features, stored_labels
 from voltrail.plans.registry import once, query
 from voltrail.plans.reporting import FEATURE_DOUBLES, STATION_FEATURES
 from voltrail.schema import (
@@ -266,6 +267,37 @@ def _(spark, sf_dir):
     return D.feature_importance(spark, tuned(spark, sf_dir, "random_forest"), searched(spark, sf_dir).prepared)
 
 
+@query("permutation_importance")
+def _(spark, sf_dir):
+    """Growth of the tuned boosting's hold-out error, one mixed column at a time."""
+    fitted, parts = tuned(spark, sf_dir, "hist_gradient_boosting"), searched(spark, sf_dir).prepared
+    return permutation_importance(parts.test.drop("features", "label"), FEATURE_COLUMNS,
+                                  lambda rows: D.predict(fitted.model, parts.preprocessor.transform(rows)))
+
+
+MIXED_COLUMNS = [ENERGY, "start_hour", "user_id"]
+MIXED = {
+    "dealt": "SELECT *, md5(concat('42-', row_id)) AS digest, (SELECT greatest(1, CAST(ceil(count(*) / 1e3) AS BIGINT)) FROM sessions) AS "
+             "groups FROM sessions",
+    "lending": "SELECT *, " + ", ".join(
+        f"CASE WHEN place = n THEN first_value({c}) OVER w ELSE lead({c}) OVER w END AS lent_{c}" for c in MIXED_COLUMNS)
+        + " FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY digest, row_id) AS place, count(*) OVER (PARTITION BY part) AS n "
+        "FROM (SELECT *, CAST('0x' || substring(digest, 1, 8) AS BIGINT) % groups AS part FROM dealt)) "
+        "WINDOW w AS (PARTITION BY part ORDER BY place)",
+    "rule_errors": " UNION ALL ".join(
+        f"SELECT '{mixed}' AS feature, avg(abs(charging_duration_minutes - (6e0 * {'lent_' if mixed == ENERGY else ''}{ENERGY} + "
+        f"{'lent_' if mixed == 'start_hour' else ''}start_hour))) AS mae FROM lending" for mixed in ["", *MIXED_COLUMNS]),
+}
+
+
+@query("permutation_importance_of_rule", "SELECT feature, mae - (SELECT mae FROM rule_errors WHERE feature = '') AS importance, mae FROM rule_errors "
+       "WHERE feature <> ''", ("importance", "mae"), extra=MIXED)
+def _(spark, sf_dir):
+    """The same on a predictor that SQL has too; it does not look at the user, whose importance is 0."""
+    return permutation_importance(sessions(spark, sf_dir), MIXED_COLUMNS, lambda rows: rows.withColumn(
+        "predicted_minutes", 6.0 * F.col(ENERGY) + F.col("start_hour")))
+
+
 @query("duration_serve")
 def _(spark, sf_dir):
     found = searched(spark, sf_dir)

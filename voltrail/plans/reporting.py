@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from voltrail.operators import cleaning as C, joins as J, reports as R
 from voltrail.plans.registry import once, query
-from voltrail.schema import ENERGY, MINUTES, RAW_HEADERS, STATION
+from voltrail.schema import ENERGY, MINUTES, RAW_HEADERS, ROW_ID, START, STATION
 from voltrail.session import scratch_path
 from voltrail.sources import readers as IN, sinks as OUT
 from voltrail.sources.mapping import long_sessions, raw_sessions, sessions
+from voltrail.sources.refresh import refresh_daily
 
 HEADER_OF = {C.standard_name(h): h for h in RAW_HEADERS} | {"row_id": "Row ID"}
 
@@ -86,6 +87,32 @@ def _(spark, sf_dir):
     return spark.sql("SELECT charger_type, count(*) AS sessions FROM ev_sessions GROUP BY charger_type")
 
 
+BUCKETS = 16
+
+
+@query("bucketed_tables", "SELECT charging_station_id, coalesce(CAST(cluster AS VARCHAR), 'unknown') AS station_cluster_label, count(*) AS sessions, "
+       "sum(energy_consumed_kwh) AS total_energy_kwh FROM sessions LEFT JOIN labels USING (charging_station_id) GROUP BY 1, 2", ("total_energy_kwh",))
+def _(spark, sf_dir):
+    """Sessions and station labels as tables bucketed by station: labels joined and sessions counted without an exchange."""
+    from voltrail.plans.history import stored_labels
+    left = OUT.register_table(sessions(spark, sf_dir), "sessions_by_station", buckets=BUCKETS, sort_by=[START],
+                              path=scratch_path(spark, "sessions-by-station"))
+    right = OUT.register_table(stored_labels(spark, sf_dir), "labels_by_station", buckets=BUCKETS, path=scratch_path(spark, "labels-by-station"))
+    return J.label_totals(left, right)
+
+
+@query("refresh_daily", "SELECT charging_station_id, session_date, total_sessions, total_energy_kwh, avg_duration_minutes FROM daily",
+       ("total_energy_kwh", "avg_duration_minutes"))
+def _(spark, sf_dir):
+    """A part of the sessions is stored and aggregated, the others arrive, and only the days they touch are refreshed."""
+    df = sessions(spark, sf_dir).withColumn("session_date", F.to_date(START)).filter("session_date IS NOT NULL")
+    arrived, folder = (F.dayofmonth("session_date") % 2 == 0) | (F.col(ROW_ID) % 2 == 0), scratch_path(spark, "by-day")
+    OUT.write_parquet(df.filter(arrived), f"{folder}/sessions", partition_by="session_date")
+    refresh_daily(spark, f"{folder}/sessions", f"{folder}/daily")
+    df.filter(~arrived).write.mode("append").partitionBy("session_date").parquet(f"{folder}/sessions")
+    return refresh_daily(spark, f"{folder}/sessions", f"{folder}/daily")
+
+
 @query("row_count", "SELECT count(*) AS row_count FROM sessions")
 def _(spark, sf_dir):
     return R.row_count(sessions(spark, sf_dir))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voltrail.operators.reports import DATE, daily_agg, hourly_agg, station_master
+from voltrail.schema import STATION
 
 
 # The CSV writer's default format stops at milliseconds.
@@ -31,9 +33,18 @@ def write_parquet(df: DataFrame, path: str, partition_by: str | None = None) ->
     return path
 
 
-def register_table(df: DataFrame, name: str = "ev_sessions", managed: bool = False) -> DataFrame:
-    """Make ``df`` a SQL table of this name, replacing an earlier one."""
-    if managed:
+def register_table(df: DataFrame, name: str = "ev_sessions", managed: bool = False, buckets: int = 0, key: str = STATION,
+                   sort_by: Sequence[str] = (), path: str | None = None) -> DataFrame:
+    """Make ``df`` a SQL table of this name, replacing an earlier one.
+
+    With ``buckets`` its rows are stored by a hash of ``key`` (at ``path``, else in the warehouse) and sorted within: tables of the
+    same key and number of buckets join without an exchange, as do windows and aggregates by the key. Rows of a bucket meet
+    before they are written, so a bucket is one file and one task: let the largest key fit one task, or leave the table unbucketed.
+    """
+    if buckets:
+        writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key, *sort_by)
+        (writer.option("path", path) if path else writer).saveAsTable(name)
+    elif managed:
         df.write.mode("overwrite").saveAsTable(name)
     else:
         df.createOrReplaceTempView(name)

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from voltrail.llm.common import store
 from voltrail.llm import jaccard as J
 from voltrail.llm.shingles import shingle_set
 
@@ -100,19 +101,24 @@ def test_edges(documents):
     assert joined(documents([(1, None), (2, None)])) == [(1, 0, 1), (2, 0, 2)]
 
 
-def test_one_of_a_group_stays(documents):
+@pytest.mark.parametrize("in_files", [False, True])
+def test_one_of_a_group_stays(documents, in_files):
     rows = corpus(seed=2)
     df = documents(rows, clashes=True)
-    left = J.drop_near_copies(df)
+    df = store(df.repartition(5), "t") if in_files else df
+    left = J.drop_near_copies(df, in_files=in_files)
     assert left.columns == df.columns
     assert sorted(r.doc_id for r in left.collect()) == sorted(i for i, _, least in brute_force(rows) if i == least)
 
 
-def test_one_of_a_group_stays_whatever_its_ids(documents):
+@pytest.mark.parametrize("in_files", [False, True])
+def test_one_of_a_group_stays_whatever_its_ids(documents, in_files):
     text = lambda name, last: " ".join([f"{name}{i}" for i in range(60)] + [last])
     rows = [(7, text("a", "x")), (7, text("a", "y")), (None, text("a", "z")), (None, text("b", "x")), (None, text("b", "y")), (9, text("c", "x")),
             (None, text("c", "x")), (9, text("d", "x")), (None, None), (None, ""), (7, "")]
-    left = [(r.doc_id, (r.text or "")[:2]) for r in J.drop_near_copies(documents(rows, clashes=True)).collect()]
+    df = documents(rows, clashes=True)
+    df = store(df.repartition(3), "t") if in_files else df
+    left = [(r.doc_id, (r.text or "")[:2]) for r in J.drop_near_copies(df, in_files=in_files).collect()]
     assert sorted(left, key=str) == sorted([(7, "a0"), (None, "b0"), (9, "c0"), (9, "d0"), (None, ""), (None, ""), (7, "")], key=str)
 
 

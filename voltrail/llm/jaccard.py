@@ -496,13 +496,25 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
                 F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _numbered(docs: DataFrame, row: str) -> DataFrame:
+    """Rows of Parquet files with a number of their own, from the file and the place in it: it is the same in every scan, so nothing is stored but the files' names."""
+    place, file = docs.metadataColumn("_metadata"), fresh(docs, "file")
+    names = docs.select(place["file_path"].alias(file)).distinct()
+    files = store(names.withColumn(row, F.row_number().over(Window.orderBy(file))), "files")  # a row for each file
+    at = fresh(docs, "at")
+    return docs.select("*", place["file_path"].alias(file), place["row_index"].alias(at)).join(files, file) \
+        .withColumn(row, F.shiftleft(F.col(row).cast("long"), 33) + F.col(at)).drop(file, at)
+
+
+def drop_near_copies(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text",
+                     in_files: bool = False) -> DataFrame:
     """One row of each component of ``docs``, with all its columns: that of the smallest id, then the first stored one. Null ids come last.
 
-    Rows are stored with a number and dropped by it, so ids may repeat or be null.
+    Rows have a number and are dropped by it, so ids may repeat or be null. They are stored for that, unless the caller knows that ``docs`` is
+    just a read of Parquet files (``in_files``): then a row's number is its place in them.
     """
     row = fresh(docs, "row")
-    numbered = store(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    numbered = _numbered(docs, row) if in_files else store(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     rows, linked = link_classes(numbered.select(F.col(row).alias("id"), text_of(text_col).alias("text")), percent)
     members = store(rows.where("n > 0").select(F.col("id").alias("row"), "key"), "members")
     ids = numbered.select(F.col(row).alias("row"), F.col(id_col).alias("id"))

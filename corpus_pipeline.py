@@ -23,8 +23,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return jaccard.drop_near_copies(docs)
+    """One document of each group of near copies; ``docs`` is a read of Parquet files, as the contract of stages says."""
+    return jaccard.drop_near_copies(docs, in_files=True)
 
 
 def weighted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ by station, no Python.
 
 Bands widen with the horizon for two reasons: level and slope at the last day are estimates, and bends go on after the last one
 fitted, at the past rate and mean square, so that the trend's variance grows with the third power of time. Bends that drown in
-the noise of a series are not found, and its bands are then too narrow for them.
+the noise of a series are not found, and its bands are then far too narrow for them (figures in the README).
 
 Days without a value are left out; repeated days count as several observations; series of a single day are left out.
 """

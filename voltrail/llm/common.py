@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from voltrail.session import scratch_path, shared_dir, stored as store  # noqa: F401
+from voltrail.session import SHUFFLE_CLEANUP, scratch_path, setting, shared_dir, stored as store  # noqa: F401
 
 #: ASCII white space, the only separator of words in these operators.
 SPACES = "[\\x20\\x09-\\x0D]"
@@ -79,10 +79,16 @@ def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(tidy, schema)
 
 
+def shuffles_go(spark: SparkSession):
+    """A block in which Spark removes what a job shuffled as soon as it ends. It holds for tables made in the block, not for earlier ones."""
+    return setting(spark, SHUFFLE_CLEANUP, "true")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A small table on reliable storage."""
+    """A small table on reliable storage; what it took to shuffle goes at once."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with shuffles_go(df.sparkSession):
+        return df.select("*").checkpoint()
 
 
 def tokenizer_path(name: str) -> str:

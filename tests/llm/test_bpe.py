@@ -77,3 +77,27 @@ def test_empty_lexicon(tmp_path):
     path = tmp_path / "lexicon"
     path.write_bytes(compile_lexicon([], []))
     assert Lexicon(str(path)).ids_of(b"a") is None
+
+
+def test_what_comes_again_stays_remembered(tmp_path, monkeypatch):
+    """A chunk of many texts is learned once, although rare ones fill the memory several times."""
+    monkeypatch.setattr(B, "KNOWN", 400)
+    path = tmp_path / "lexicon"
+    path.write_bytes(compile_lexicon([], []))
+    encoder, learned = B.Encoder(B.merger(PATH), Lexicon(str(path))), []
+    learn = encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda chunks, *rest: learned.extend(chunks) or learn(chunks, *rest))
+    known = {}
+    for i in range(0, 60, 2):
+        usual = "often, " if i % 4 else ""  # not in every call
+        made = [list(p) for p in encoder.pieces([f"{usual}r{i}x{j} r{i}y{j}" for j in range(20)], known, list)]
+        assert len(known) <= 400 and all(made)
+    assert learned.count("often,") == 1
+
+
+def test_words_before_marks(library):
+    model = B.merger(PATH)
+    assert model.ends == set(",.;:!?")
+    for text in ("word,", "\u00e9t\u00e9.", "\u4e2d\u6587!", "1,", "a1.", "it's,", ",", ",,", "a,,", "don't", "\u00aa;", "\u2160.", "a\u0301?"):
+        ids = [x for c in model.chunks(text) for w in model.words(c) for x in model.merge(w.encode())]
+        assert ids == library.encode(text, add_special_tokens=False).ids

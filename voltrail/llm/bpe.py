@@ -36,8 +36,8 @@ from voltrail.llm.lexicon import Lexicon, compile_lexicon
 
 #: Most words in the lexicon (a bound on its size, about 40 bytes each), and how often each must occur.
 LEXICON_WORDS, LEXICON_COUNT = 50000, 8
-#: Chunks of text whose ids a worker remembers; it starts anew beyond that.
-REMEMBERED = 200000
+#: Chunks of text that a task counts before it gives their words away, and those whose ids a worker remembers; beyond that it keeps what came more than once.
+REMEMBERED, KNOWN = 200000, 400000
 #: Letters of text that are encoded at a time, and bytes of a word that is merged in an array with others.
 AT_ONCE, IN_ARRAY = 1_000_000, 48
 #: White space of the tokenizer's pattern: the Unicode property, which lacks U+001C to U+001F.
@@ -111,6 +111,8 @@ class Merger:
         for name, members in ((r"\p{L}", "a-zA-Z"), (r"\p{N}", "0-9")):
             plain = plain.replace(name, members)
         self.ascii_words = re.compile(plain, re.ASCII).findall
+        # marks that the pattern cuts off from letters, as most chunks that are no word end in one
+        self.ends = {mark for mark in ",.;:!?" if all(self.any_words(word + mark) == [word, mark] for word in ("a", "é", "ab", "éb中"))}
         keys = np.array(sorted(self.pairs), np.int64)
         self.pair_keys, self.pair_values = keys, np.array([self.pairs[k] for k in keys.tolist()], np.int64)
         self.inner_ids, self.last_ids = np.array(self.inner, np.int64), np.array(self.last, np.int64)
@@ -132,6 +134,8 @@ class Merger:
         """Words of a chunk."""
         if chunk.isalpha():
             return [chunk]
+        if chunk[-1] in self.ends and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
         return self.ascii_words(chunk) if chunk.isascii() else self.any_words(chunk)
 
     def segments(self, text: str) -> list[tuple[bool, str]]:
@@ -277,6 +281,7 @@ class Encoder:
 
     def __init__(self, model: Merger, words: Lexicon):
         self.model, self.lexicon = model, words
+        self.again: set[str] = set()  # remembered chunks that came again
 
     def learn(self, chunks: set[str], known: dict, shape: Callable) -> None:
         """Put ``shape(ids)`` of each chunk into ``known``; None where it has no tokens."""
@@ -306,13 +311,17 @@ class Encoder:
             keys.append(own)
         every = set().union(*keys)
         new = every.difference(known)
-        if len(known) + len(new) > REMEMBERED:
-            kept = {k: known[k] for k in every if k in known}
+        if len(known) + len(new) > KNOWN:
+            stay = self.again if len(self.again) + len(every) <= KNOWN * 3 // 4 else ()
+            kept = {k: known[k] for k in every.union(stay) if k in known}
             known.clear()
             known.update(kept)
+            self.again = set()
+        self.again |= every - new
         self.learn(new, known, shape)
+        here = {chunk: known[chunk] for chunk in every}  # small enough for a processor's cache
         for own in keys:
-            yield list(filter(None, map(known.__getitem__, own)))
+            yield list(filter(None, map(here.__getitem__, own)))
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(next(self.pieces([text], {}, list))))
@@ -370,10 +379,15 @@ def digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(merger(tokenizer), lexicon(name))
-        known = remembered(name, f"digest {keep_ids}")
+        known = remembered(name, "digest")
 
-        def shape(ids: list[int]) -> tuple:
-            return len(ids), " ".join(map(str, ids)), encoder.decode(ids), ids if keep_ids else None
+        # a remembered chunk is a string with a letter for each token, whose code is the id: it is small, and texts are joined from such strings
+        letters = {i: chr(i) for i in encoder.model.tokens}
+        numbers = {letter: str(i) for i, letter in letters.items()}
+        tokens = {letter: encoder.model.tokens[i] for i, letter in letters.items()}
+
+        def shape(ids: list[int]) -> str:
+            return letters[ids[0]] if len(ids) == 1 else "".join(map(letters.__getitem__, ids))
 
         for batch in batches:
             for part, texts in parts_of(batch):
@@ -381,14 +395,14 @@ def digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 for made in encoder.pieces(texts, known, shape):
                     one, two = hashlib.sha256(), hashlib.sha256()
                     for i in range(0, len(made), 65536):  # a very long text is never joined whole
-                        gap = " " if i else ""
-                        one.update((gap + " ".join([p[1] for p in made[i:i + 65536]])).encode())
-                        two.update((gap + " ".join([p[2] for p in made[i:i + 65536]])).encode())
-                    sizes.append(sum([p[0] for p in made]))
+                        gap, own = " " if i else "", "".join(made[i:i + 65536])
+                        one.update((gap + " ".join(map(numbers.__getitem__, own))).encode())
+                        two.update((gap + " ".join(map(tokens.__getitem__, own))).encode())
+                    sizes.append(sum(map(len, made)))
                     ids.append(one.hexdigest())
                     decoded.append(two.hexdigest())
                     if keep_ids:
-                        whole.append(np.fromiter(chain.from_iterable([p[3] for p in made]), np.int32, sizes[-1]))
+                        whole.append(np.frombuffer("".join(made).encode("utf-32-le", "surrogatepass"), np.int32))
                 columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
                 if keep_ids:
                     columns.append(pa.array(whole, pa.list_(pa.int32())))

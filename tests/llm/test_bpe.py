@@ -1,6 +1,11 @@
 import hashlib
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+import regex
 from hypothesis import given, settings, strategies as st
 
 from voltrail.llm import bpe as B
@@ -101,3 +106,60 @@ def test_words_before_marks(library):
     for text in ("word,", "\u00e9t\u00e9.", "\u4e2d\u6587!", "1,", "a1.", "it's,", ",", ",,", "a,,", "don't", "\u00aa;", "\u2160.", "a\u0301?"):
         ids = [x for c in model.chunks(text) for w in model.words(c) for x in model.merge(w.encode())]
         assert ids == library.encode(text, add_special_tokens=False).ids
+
+
+def test_memory_grows_with_different_chunks(documents, tmp_path, monkeypatch):
+    """Python makes no string for each place of a chunk, and no letter for each token."""
+    path = tmp_path / "lexicon"
+    path.write_bytes(compile_lexicon([], []))
+    monkeypatch.setattr(B, "arrow_map", lambda df, run, schema: run)
+    monkeypatch.setattr(B, "build_lexicon", lambda *args: "lexicon")
+    monkeypatch.setattr(B, "lexicon", lambda name: Lexicon(str(path)))
+    run = B.digest(documents([]), PATH)
+    batch = pa.record_batch([pa.array([1, 2]), pa.array(["few words, often " * 55000, "x"])], ["doc_id", "text"])
+    list(run(iter([batch.slice(1)])))
+    tracemalloc.start()
+    rows = pa.Table.from_batches(run(iter([batch]))).to_pylist()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows[0]["n_tokens"] == 4 * 55000
+    assert most < 10 * len(batch.column(1)[0].as_py())
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_digests_of_texts_cut_in_blocks(size, monkeypatch):
+    monkeypatch.setattr(B, "JOINED", size)
+    values, places, ends = ["a b ", "", "c ", "dd e "], [1, 0, 2, 1, 1, 1, 3, 3, 1, 1, 0], [0, 2, 2, 3, 6, 11, 11]
+    got = B.joined_sha256(pa.array([v.encode() for v in values], pa.large_binary()), np.array(places, np.int32), np.array(ends))
+    whole = ["".join(values[p] for p in places[a:b])[:-1] for a, b in zip([0, *ends], ends)]
+    assert got == [hashlib.sha256(w.encode()).hexdigest() for w in whole]
+    assert B.joined_sha256(pa.array([], pa.large_binary()), np.array([], np.int32), np.array([0, 0])) == [hashlib.sha256().hexdigest()] * 2
+
+
+def test_texts_of_one_call(library, tmp_path):
+    """Plain, odd and special texts side by side, with a small lexicon."""
+    words = [b"a", b"the", b"word"]
+    path = tmp_path / "lexicon"
+    path.write_bytes(compile_lexicon(words, B.merger(PATH).merge_many(words)))
+    encoder = B.Encoder(B.merger(PATH), Lexicon(str(path)))
+    texts = [t or "" for t in TEXTS] + [" word\x1cthe ", "\u16ea0 \U00016ea0x \ua7da.", "<|endoftext|><|startoftext|>", "the\u2003word\xa0a ", "\x1f", "\x1f <|endoftext|>\x1c the"]
+    made = [[i for ids in own for i in ids] for own in encoder.pieces(texts * 2, {}, list)]
+    assert made == [of_library(library, t)[0] for t in texts] * 2
+    assert [encoder.encode(t) for t in texts] == made[:len(texts)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(max_size=40) | st.sampled_from(["<|endoftext|>", "a\x1d b", " the "]), max_size=5))
+def test_any_split(texts):
+    model = B.merger(PATH)
+    chunks, places, ends = model.split(texts)
+    flat = [chunks[p] for p in places]
+    got = [[c for c in flat[a:b] if c] for a, b in zip([0, *ends], ends)]
+    assert got == [[c for special, part in model.segments(t) for c in ([" " + part] if special else model.chunks(part))] for t in texts]
+
+
+def test_arrow_splits_where_the_tokenizer_does():
+    letters = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    cut = pc.list_value_length(pc.utf8_split_whitespace(pa.array([f"a{c}b" for c in letters]))).to_numpy() > 1
+    blank = regex.compile(f"[{B.BLANK}\x1c-\x1f]").fullmatch  # texts with the last four are split by ``odd_chunks``
+    assert [c for c, own in zip(letters, cut) if own] == [c for c in letters if blank(c)]

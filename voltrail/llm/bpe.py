@@ -21,12 +21,12 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
@@ -43,6 +43,7 @@ AT_ONCE, IN_ARRAY = 1_000_000, 48
 #: White space of the tokenizer's pattern: the Unicode property, which lacks U+001C to U+001F.
 BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NONE = 1 << 60
+CHUNKS = pa.list_(pa.large_string())
 
 # Code points of Unicode 16 that the tables of an older Python lack, as letters and as numbers, and lower
 # cases of Unicode 17 in the form first-last:distance. The tokenizers library has them.
@@ -100,6 +101,10 @@ class Merger:
             self.pairs.setdefault(vocab[a] << 20 | vocab[b], rank << 20 | vocab[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.special.items()}
+        self.letters = {i: chr(i) for i in self.tokens}
+        # ids as decimals and as tokens, each with a blank after it, in the places of the ids
+        self.names = tuple(pa.array([(name(i) + " ").encode() if i in self.tokens else b"" for i in range(max(self.tokens) + 1)], pa.large_binary())
+                           for name in (str, self.tokens.__getitem__))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         pattern = split["pattern"]["Regex"]
         for name, members in ((r"\p{L}", _class("L", NEW_LETTERS)), (r"\p{N}", _class("N", NEW_NUMBERS)), (r"\s", BLANK)):
@@ -116,22 +121,58 @@ class Merger:
         keys = np.array(sorted(self.pairs), np.int64)
         self.pair_keys, self.pair_values = keys, np.array([self.pairs[k] for k in keys.tolist()], np.int64)
         self.inner_ids, self.last_ids = np.array(self.inner, np.int64), np.array(self.last, np.int64)
+        # values of two neighbouring bytes: inside a word, and where the second ends it
+        self.byte_values = np.concatenate([self._values(np.repeat(self.inner_ids, 256), np.tile(second, 256)) for second in (self.inner_ids, self.last_ids)])
         self.cases = _cases()
         self.new_case = regex.compile("[" + "".join(map(chr, self.cases)) + "]").search
         self.odd_chunks = regex.compile(f"[^{BLANK}]+").findall
 
-    def chunks(self, text: str) -> list[str]:
-        """Pieces between white space of a normalised text."""
+    def normal(self, text: str) -> str:
+        """The normalised text, but for the lower cases that Python lacks: ``words`` adds them."""
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        text = text.replace("Σ", "σ").lower()  # letter by letter: no final sigma
-        if not text.isascii() and self.new_case(text):
-            text = text.translate(self.cases)
+        return text.replace("Σ", "σ").lower()  # letter by letter: no final sigma
+
+    def chunks(self, text: str) -> list[str]:
+        """Pieces of a text between white space, normalised by ``normal``."""
+        text = self.normal(text)
         # str.split also splits at four control characters that are not white space here
-        return text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else self.odd_chunks(text)
+        return text.split() if not self.odd(text) else self.odd_chunks(text)
+
+    def odd(self, text: str) -> bool:
+        return any(c in text for c in "\x1c\x1d\x1e\x1f")
+
+    def split(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Different chunks of the texts, the place among them of every chunk in order, and where each text's chunks end.
+
+        A special token is a chunk that begins with a blank. The empty chunk stands for white space at an end of a text.
+        """
+        lists: list[pa.Array] = [pa.array([], CHUNKS)]
+        plain: list[str] = []
+
+        def cut() -> None:
+            lists.append(pc.utf8_split_whitespace(pa.array(plain, pa.large_string())))
+            plain.clear()
+
+        for text in texts:
+            segments = self.segments(text)
+            own = self.normal(text) if len(segments) == 1 and not segments[0][0] else None
+            if own is not None and not self.odd(own):  # Arrow splits where str.split does
+                plain.append(own)
+                continue
+            cut()
+            lists.append(pa.array([[c for special, part in segments for c in ([" " + part] if special else self.chunks(part))]], CHUNKS))
+        cut()
+        chunks = pa.concat_arrays(lists)
+        coded = chunks.flatten().dictionary_encode()
+        return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.cumsum(pc.list_value_length(chunks).to_numpy(), dtype=np.int64)
 
     def words(self, chunk: str) -> list[str]:
         """Words of a chunk."""
+        if not chunk:
+            return []
+        if not chunk.isascii() and self.new_case(chunk):
+            chunk = chunk.translate(self.cases)
         if chunk.isalpha():
             return [chunk]
         if chunk[-1] in self.ends and chunk[:-1].isalpha():
@@ -178,12 +219,17 @@ class Merger:
             part = np.array(short[start:start + 8192])
             sizes = np.array([len(words[i]) for i in part])
             ids = np.full((len(part), int(sizes[-1]) + 1), -1, np.int64)
-            data = np.frombuffer(b"".join([words[i] for i in part]), np.uint8)
+            data = np.frombuffer(b"".join([words[i] for i in part]), np.uint8).astype(np.int64)
             row = np.repeat(np.arange(len(part)), sizes)
             ends = np.cumsum(sizes)
-            ids[row, np.arange(len(data)) - np.repeat(ends - sizes, sizes)] = self.inner_ids[data]
+            place = np.arange(len(data)) - np.repeat(ends - sizes, sizes)
+            ids[row, place] = self.inner_ids[data]
             ids[np.arange(len(part)), sizes - 1] = self.last_ids[data[ends - 1]]
-            values = self._values(ids[:, :-1], ids[:, 1:])
+            values = np.full((len(part), ids.shape[1] - 1), NONE, np.int64)
+            closing = np.zeros(len(data), bool)
+            closing[ends - 1] = True
+            inside = np.flatnonzero(~closing)  # bytes with another after them
+            values[row[inside], place[inside]] = self.byte_values[closing[inside + 1] * 65536 + data[inside] * 256 + data[inside + 1]]
             column = np.arange(ids.shape[1])
             while len(part):
                 at = values.argmin(axis=1)
@@ -233,25 +279,26 @@ def word_counts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Data
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = merger(tokenizer)
 
-        def flush(seen: Counter) -> Iterator[pa.RecordBatch]:
-            words: Counter = Counter()
+        def flush(seen: dict[str, int]) -> Iterator[pa.RecordBatch]:
+            words: dict[str, int] = {}
             for chunk, n in seen.items():
-                for word in model.words(chunk):
-                    words[word] += n
+                if not chunk.startswith(" "):  # no special token
+                    for word in model.words(chunk):
+                        words[word] = words.get(word, 0) + n
             keys = list(words)
             for i in range(0, len(keys), 50000):
                 part = keys[i:i + 50000]
                 yield pa.record_batch([pa.array(part, pa.string()), pa.array([words[w] for w in part], pa.int64())], ["word", "n"])
 
-        seen: Counter = Counter()
+        seen: dict[str, int] = {}
         for batch in batches:
-            for text in texts_of(batch, 0):
-                for special, part in model.segments(text):
-                    if not special:
-                        seen.update(model.chunks(part))
+            for _, texts in parts_of(batch, 0):
+                chunks, places, _ = model.split(texts)
+                for chunk, n in zip(chunks, np.bincount(places, minlength=len(chunks)).tolist()):
+                    seen[chunk] = seen.get(chunk, 0) + n
                 if len(seen) > REMEMBERED:
                     yield from flush(seen)
-                    seen = Counter()
+                    seen = {}
         yield from flush(seen)
 
     return arrow_map(docs.select(text_of(text_col).alias("text")), count, "word string, n long") \
@@ -283,45 +330,41 @@ class Encoder:
         self.model, self.lexicon = model, words
         self.again: set[str] = set()  # remembered chunks that came again
 
-    def learn(self, chunks: set[str], known: dict, shape: Callable) -> None:
-        """Put ``shape(ids)`` of each chunk into ``known``; None where it has no tokens."""
-        parts = {chunk: self.model.words(chunk) for chunk in chunks}
-        ids: dict[str, list[int] | None] = {}
-        for words in parts.values():
-            for word in words:
-                if word not in ids:
-                    ids[word] = self.lexicon.ids_of(word.encode())
+    def learn(self, chunks: list[str], known: dict, shape: Callable) -> None:
+        """Put ``shape(ids)`` of each chunk into ``known``."""
+        parts = {chunk: self.model.words(chunk) for chunk in chunks if not chunk.startswith(" ")}
+        words = list(set(chain.from_iterable(parts.values())))
+        ids = dict(zip(words, self.lexicon.many([word.encode() for word in words])))
         unseen = [word for word, found in ids.items() if found is None]
         ids.update(zip(unseen, self.model.merge_many([word.encode() for word in unseen])))
-        for chunk, words in parts.items():
-            own = ids[words[0]] if len(words) == 1 else [i for word in words for i in ids[word]]
-            known[chunk] = shape(own) if own else None
-
-    def pieces(self, texts: list[str], known: dict, shape: Callable) -> Iterator[list]:
-        """For each text the shapes of its chunks in order. ``known`` remembers them between calls."""
-        keys = []
-        for text in texts:
-            own: list[str] = []
-            for special, part in self.model.segments(text):
-                if special:  # a key with a blank is no chunk
-                    known[" " + part] = shape([self.model.special[part]])
-                    own.append(" " + part)
-                else:
-                    own += self.model.chunks(part)
-            keys.append(own)
-        every = set().union(*keys)
-        new = every.difference(known)
+        for chunk in chunks:
+            words = parts.get(chunk)
+            if words is None:
+                known[chunk] = shape([self.model.special[chunk[1:]]])
+            else:
+                known[chunk] = shape(ids[words[0]] if len(words) == 1 else [i for word in words for i in ids[word]])
+
+    def shapes(self, chunks: list[str], known: dict, shape: Callable) -> list:
+        """The shapes of different chunks. ``known`` remembers them between calls."""
+        found = list(map(known.get, chunks))
+        new = [chunk for chunk, own in zip(chunks, found) if own is None]
         if len(known) + len(new) > KNOWN:
-            stay = self.again if len(self.again) + len(every) <= KNOWN * 3 // 4 else ()
-            kept = {k: known[k] for k in every.union(stay) if k in known}
+            stay = self.again if len(self.again) + len(chunks) <= KNOWN * 3 // 4 else ()
+            kept = {k: known[k] for k in {*stay, *chunks} if k in known}
             known.clear()
             known.update(kept)
             self.again = set()
-        self.again |= every - new
+        self.again.update(compress(chunks, found))
         self.learn(new, known, shape)
-        here = {chunk: known[chunk] for chunk in every}  # small enough for a processor's cache
-        for own in keys:
-            yield list(filter(None, map(here.__getitem__, own)))
+        return list(map(known.__getitem__, chunks)) if new else found
+
+    def pieces(self, texts: list[str], known: dict, shape: Callable) -> Iterator[list]:
+        """For each text the shapes of its chunks in order, without chunks that have no tokens."""
+        chunks, places, ends = self.model.split(texts)
+        here, start = self.shapes(chunks, known, shape), 0
+        for end in ends.tolist():
+            yield [here[i] for i in places[start:end].tolist() if here[i]]
+            start = end
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(next(self.pieces([text], {}, list))))
@@ -341,6 +384,36 @@ def parts_of(batch: pa.RecordBatch, column: int = 1) -> Iterator[tuple[pa.Record
             start, texts, size = end, [], 0
 
 
+#: Chunks whose strings are joined at a time; a very long text is never joined whole.
+JOINED = 65536
+
+
+def grouped(values: pa.LargeBinaryArray, edges: np.ndarray) -> pa.LargeBinaryArray:
+    """Neighbouring values joined to one from each edge to the next."""
+    if not len(values):
+        return pa.array([b""] * (len(edges) - 1), pa.large_binary())
+    offsets = np.frombuffer(values.buffers()[1], np.int64, len(values) + 1)[edges]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(offsets), values.buffers()[2]])
+
+
+def joined_sha256(values: pa.LargeBinaryArray, places: np.ndarray, ends: np.ndarray) -> list[str]:
+    """For each text the digest of its values in order, without the very last blank; each value ends in a blank or is empty."""
+    sums, begun = [hashlib.sha256() for _ in ends], [False] * len(ends)
+    for low in range(0, len(places), JOINED):
+        taken = values.take(pa.array(places[low:low + JOINED]))
+        joined, high = memoryview(taken.buffers()[2] or b""), low + len(taken)
+        first, last = np.searchsorted(ends, low, "right"), np.searchsorted(ends, high)
+        cuts = np.clip(np.concatenate([[low], ends[first:last + 1]]), low, high) - low
+        at = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)[cuts].tolist()
+        for text, (a, b) in enumerate(zip(at, at[1:]), int(first)):
+            if a < b:
+                if begun[text]:  # the text began in an earlier block
+                    sums[text].update(b" ")
+                sums[text].update(joined[a:b - 1])
+                begun[text] = True
+    return [one.hexdigest() for one in sums]
+
+
 #: What a worker remembers for the lexicon it used last, by kind of shape.
 _KNOWN: dict[tuple[str, str], dict] = {}
 
@@ -381,31 +454,25 @@ def digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         encoder = Encoder(merger(tokenizer), lexicon(name))
         known = remembered(name, "digest")
 
-        # a remembered chunk is a string with a letter for each token, whose code is the id: it is small, and texts are joined from such strings
-        letters = {i: chr(i) for i in encoder.model.tokens}
-        numbers = {letter: str(i) for i, letter in letters.items()}
-        tokens = {letter: encoder.model.tokens[i] for i, letter in letters.items()}
+        letters = encoder.model.letters  # a remembered chunk is a string with a letter for each token, whose code is the id: it is small
 
         def shape(ids: list[int]) -> str:
             return letters[ids[0]] if len(ids) == 1 else "".join(map(letters.__getitem__, ids))
 
         for batch in batches:
             for part, texts in parts_of(batch):
-                sizes, ids, decoded, whole = [], [], [], []
-                for made in encoder.pieces(texts, known, shape):
-                    one, two = hashlib.sha256(), hashlib.sha256()
-                    for i in range(0, len(made), 65536):  # a very long text is never joined whole
-                        gap, own = " " if i else "", "".join(made[i:i + 65536])
-                        one.update((gap + " ".join(map(numbers.__getitem__, own))).encode())
-                        two.update((gap + " ".join(map(tokens.__getitem__, own))).encode())
-                    sizes.append(sum(map(len, made)))
-                    ids.append(one.hexdigest())
-                    decoded.append(two.hexdigest())
-                    if keep_ids:
-                        whole.append(np.frombuffer("".join(made).encode("utf-32-le", "surrogatepass"), np.int32))
-                columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+                chunks, places, ends = encoder.model.split(texts)
+                made = encoder.shapes(chunks, known, shape)
+                sizes = np.fromiter(map(len, made), np.int64, len(made))
+                flat = np.frombuffer("".join(made).encode("utf-32-le", "surrogatepass"), np.int32)
+                edges = np.concatenate([[0], np.cumsum(sizes)])
+                total = np.concatenate([[0], np.cumsum(sizes[places])])
+                bounds = np.concatenate([[0], ends])
+                columns = [part.column(0), pa.array(np.diff(total[bounds]), pa.int64())]
+                columns += [pa.array(joined_sha256(grouped(names.take(pa.array(flat)), edges), places, ends), pa.string()) for names in encoder.model.names]
                 if keep_ids:
-                    columns.append(pa.array(whole, pa.list_(pa.int32())))
+                    lists = pa.LargeListArray.from_arrays(pa.array(edges), pa.array(flat))
+                    columns.append(pa.array([lists.take(pa.array(places[a:b])).flatten().to_numpy() for a, b in zip(bounds, bounds[1:])], pa.list_(pa.int32())))
                 yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][:len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -9,7 +9,6 @@ file of them is opened by ``numpy.memmap``, so that tasks on a machine share its
 from __future__ import annotations
 
 import json
-from bisect import bisect_left
 from collections.abc import Sequence
 
 import numpy as np
@@ -90,20 +89,36 @@ class Lexicon:
             setattr(self, name, memoryview(np.asarray(data[start:end]).view(kind)))
             start = end + -end % 8
         self.root = head["root"]
-
-    def place(self, word: bytes) -> int:
-        """The word's number, or -1."""
-        first, label, target, output = self.first, self.label, self.target, self.output
-        state, total = self.root, 0
-        for byte in word:
-            end = first[state + 1]
-            arc = bisect_left(label, byte, first[state], end)
-            if arc == end or label[arc] != byte:
-                return -1
-            total += output[arc]
-            state = target[arc]
-        return total if self.final[state] else -1
+        # an arc's key: its state above its label; the arcs lie in the order of their keys
+        first = np.asarray(self.first)
+        self.arcs = np.repeat(np.arange(len(first) - 1, dtype=np.int64), np.diff(first)) << 8 | np.asarray(self.label)
+        self.targets, self.outputs, self.ends = np.asarray(self.target), np.asarray(self.output), np.asarray(self.final) == 1
+
+    def places(self, words: Sequence[bytes]) -> np.ndarray:
+        """The words' numbers, or -1; all words take their next arc at once."""
+        data, sizes = np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(sizes) - sizes
+        out = np.full(len(words), -1, np.int64)
+        state, total = np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
+        on, depth = np.arange(len(words)), 0
+        while len(on):
+            ended = sizes[on] == depth
+            done = on[ended]
+            out[done] = np.where(self.ends[state[done]], total[done], -1)
+            on = on[~ended]
+            keys = state[on] << 8 | data[starts[on] + depth]
+            arc = np.searchsorted(self.arcs, keys)
+            fits = self.arcs[np.minimum(arc, len(self.arcs) - 1)] == keys if len(self.arcs) else np.zeros(len(on), bool)
+            on, arc = on[fits], arc[fits]
+            total[on] += self.outputs[arc]
+            state[on] = self.targets[arc]
+            depth += 1
+        return out
+
+    def many(self, words: Sequence[bytes]) -> list[list[int] | None]:
+        """The ids of each word, or None."""
+        offsets, ids = self.offsets, self.ids
+        return [None if place < 0 else ids[offsets[place]:offsets[place + 1]].tolist() for place in self.places(words).tolist()]
 
     def ids_of(self, word: bytes) -> list[int] | None:
-        place = self.place(word)
-        return None if place < 0 else self.ids[self.offsets[place]:self.offsets[place + 1]].tolist()
+        return self.many([word])[0]

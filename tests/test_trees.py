@@ -1,9 +1,13 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from voltrail.models import duration as D, trees as T
+from voltrail.models.permutation import permutation_importance
 from voltrail.plans import modelling as Q
+from voltrail.plans.history import FEATURE_COLUMNS
+from voltrail.schema import STATION
 
 
 def made_up(n, seed, noise=0.5):
@@ -144,3 +148,50 @@ def test_an_unseen_value_and_numbers_beyond_the_sample_are_scored():
     binning = T.learn_bins(["energy_consumed_kwh", "user_type", "user_type"], np.array([[1.0], [2.0], [4.0]]))
     assert binning.codes(np.array([[-9.0, 1, 0], [3.0, 0, 1], [99.0, 0, 0]])).tolist() == [[0, 0], [1, 1], [2, 2]]
     assert T.learn_bins(["energy_consumed_kwh"], np.arange(9000.0)[:, None]).widths[0] <= T.BINS
+
+
+def some_models():
+    """A boosting and a forest over more than one block of trees, and their binning."""
+    codes, widths, one_value, y = made_up(300, 4)
+    binning = T.Binning([0, 1, 2], [1, 2, 7], [np.arange(11), np.arange(4), None], 7)
+    base, boosted = T.grow_boosted(codes, widths, one_value, y, 120, 0.1, 6, 1 << 30, 5, 0.0)
+    forest = T.joined_nodes([T.grow_forest(codes, widths, one_value, y, range(i, i + 60), 1 << 30, 1, 2) for i in (0, 60)])
+    return [T.TreesModel(binning, boosted, base, mean=False), T.TreesModel(binning, forest)]
+
+
+def test_mixed_values_equal_scoring_of_every_mixture():
+    own, lent = made_up(80, 5)[0], made_up(80, 6)[0]
+    groups = [[0], [1], [2], [0, 2], []]
+    for model in some_models():
+        found = model.mixed_values(own, lent, groups)
+        assert (found[:, 0] == model.values(own)).all() and (found[:, 5] == found[:, 0]).all()
+        for k, group in enumerate(groups, 1):
+            mixed = own.copy()
+            mixed[:, group] = lent[:, group]
+            assert (found[:, k] == model.values(mixed)).all()
+        assert model.mixed_values(own[:0], lent[:0], groups).shape == (0, 6)
+
+
+def test_vectors_are_read_whole_whether_sparse_or_dense_or_cut():
+    kind = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+    vectors = pa.array([{"type": 0, "size": 4, "indices": [1, 3], "values": [5.0, 6.0]}, {"type": 1, "size": 4, "indices": None, "values": [1.0, 2.0, 0.0, 4.0]},
+                        {"type": 0, "size": 4, "indices": [], "values": []}, {"type": 0, "size": 4, "indices": [0], "values": [7.0]}], kind)
+    rows = [[0, 5, 0, 6], [1, 2, 0, 4], [0, 0, 0, 0], [7, 0, 0, 0]]
+    assert T.dense_rows(vectors, 4).tolist() == rows
+    assert T.dense_rows(vectors.slice(1, 2), 4).tolist() == rows[1:3] and T.dense_rows(vectors.slice(4), 4).shape == (0, 4)
+
+
+@pytest.mark.parametrize("hashed", [(), (STATION,)])
+def test_importance_reads_a_row_once_and_equals_scoring_every_mixture(spark, sf_dir, hashed):
+    parts = D.prepare(Q.stored_features(spark, sf_dir).where("row_id % 3 = 0"), hash_columns=hashed)
+    rows = parts.test.drop("features", "label").withColumn("charging_rate_kw", F.when(F.col("row_id") % 2 == 0, F.col("charging_rate_kw"))) \
+        .withColumn("user_type", F.when(F.col("row_id") % 5 > 0, F.col("user_type")))
+    scorer = D.Scorer(parts.preprocessor, T.Boosting(maxIter=15, stepSize=0.3, minInstancesPerNode=5).fit(parts.train))
+    found = permutation_importance(rows, FEATURE_COLUMNS, scorer)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("Generate") < plan.index("ArrowEvalPython")  # repeated after the model, not before
+    got = {r.feature: (r.importance, r.mae) for r in found.collect()}
+    slow = {r.feature: (r.importance, r.mae) for r in permutation_importance(rows, FEATURE_COLUMNS, lambda mixed: scorer(mixed)).collect()}
+    assert got.keys() == slow.keys() == set(FEATURE_COLUMNS)
+    assert all(got[c] == pytest.approx(slow[c], abs=1e-9) for c in slow) and max(v[0] for v in got.values()) > 1
+    assert permutation_importance(rows.limit(0), FEATURE_COLUMNS, scorer).count() == 0

@@ -130,6 +130,15 @@ def test_boosting_scores_equal_fits_alone(spark, samples):
     assert T.boosting_errors(spark, settings, samples) == pytest.approx(alone)
 
 
+def test_a_fitted_forest_has_the_nodes_of_its_blocks_in_order(spark, sf_dir):
+    rows = Q.prepared(spark, sf_dir).train.where("row_id % 5 = 0").select("features", "label")
+    sample = T.take(rows)
+    parts = [T.grow_forest(sample.codes, sample.binning.widths, sample.binning.one_value, sample.label, range(i, min(i + T.BLOCK, 60)), 6, 2, 2)
+             for i in range(0, 60, T.BLOCK)]
+    fitted, direct = T.Forest(numTrees=60, maxDepth=6).fit(rows).nodes, T.joined_nodes(parts)
+    assert all((fitted[k] == direct[k]).all() and fitted[k].dtype == direct[k].dtype for k in direct)
+
+
 def test_grids_have_all_settings_and_differ():
     assert set(D.FOREST_GRID) == {"numTrees", "maxDepth", "minSamplesSplit", "minInstancesPerNode"}
     assert set(D.BOOSTING_GRID) == {"stepSize", "maxDepth", "maxLeafNodes", "minInstancesPerNode", "l2"}
